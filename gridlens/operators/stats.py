@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,35 +38,8 @@ def moments(metric: str) -> list[Column]:
     ]
 
 
-def five_numbers(groups: GroupedData, keep: list[str], metrics: list[str]) -> DataFrame:
-    """Statistics of groups known to be small: their rows are gathered once and every metric's
-    values sorted, which gives min, max and median; NULL values sort first and are skipped."""
-    gathered = groups.agg(
-        F.collect_list(F.struct(*metrics)).alias("_rows"),
-        *[F.count(m).alias("_n" + m) for m in metrics],
-        *[F.avg(m).alias("mean" + m) for m in metrics],
-        *[F.stddev_pop(m).alias("std" + m) for m in metrics],
-    )
-    ordered = gathered.select(
-        *keep,
-        *[f"{kind}{m}" for m in metrics for kind in ("_n", "mean", "std")],
-        F.size("_rows").alias("_size"),
-        *[F.sort_array(F.col("_rows")[m]).alias("_v" + m) for m in metrics],
-    )
-
-    def from_end(metric: str, rank: Column) -> Column:
-        return F.get("_v" + metric, (F.col("_size") - 1 - rank).cast("int"))
-
-    picked = []
-    for m in metrics:
-        n = F.col("_n" + m)
-        middle = (from_end(m, F.floor((n - 1) / 2)) + from_end(m, F.floor(n / 2))) / 2
-        picked += [
-            F.when(n > 0, from_end(m, n - 1)).alias("min" + m),
-            from_end(m, F.lit(0)).alias("max" + m),
-            F.when(n > 0, middle).alias("median" + m),
-        ]
-    return ordered.select(*keep, *[f"{kind}{m}" for m in metrics for kind in ("mean", "std")], *picked)
+def five_numbers(metric: str) -> list[Column]:
+    return [*moments(metric), F.median(metric).alias("median" + metric)]
 
 
 def exact_median(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -185,9 +158,11 @@ def interval_window_stats(
     columns = [*group, *stat_columns(metrics)]
 
     def cold(part: DataFrame) -> DataFrame:
-        segment = [*place, *keys, "_from", "_to"]
-        pieces_of = _segments(part, [*place, *keys], first, last + step).groupBy(*segment)
-        stats = five_numbers(pieces_of, segment, metrics)
+        stats = (
+            _segments(part, [*place, *keys], first, last + step)
+            .groupBy(*place, *keys, "_from", "_to")
+            .agg(*[c for m in metrics for c in five_numbers(m)])
+        )
         cells = F.explode(F.sequence("_from", F.col("_to") - step, step)).alias("beginDate")
         return stats.select("*", cells).select(*columns)
 

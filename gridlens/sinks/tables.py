@@ -72,11 +72,6 @@ def bulk_copy_days(
     return spark.createDataFrame(status, "day string, ok boolean, rows bigint, error string")
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """A report as text, one line per row, in the order of ``position``."""
-    lines.orderBy("position").select("line").write.mode("overwrite").text(path)
-
-
 def write_points(points: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
     """Chart points, one folder per page key."""
     points.write.mode("overwrite").format(fmt).partitionBy(*by).save(path)

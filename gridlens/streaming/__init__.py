@@ -1,0 +1 @@
+"""Intentionally empty: every analysis of the inventory is a bounded batch over fixed dates."""

@@ -175,3 +175,14 @@ def net_health(spark: SparkSession, sf_dir: str) -> DataFrame:
         append_summary(summary(spark, sf_dir), path)
 
     return read_summary(tune(spark), _staged(spark, sf_dir, "net_health", write))
+
+
+def probe_day_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with one probe dataset per day."""
+
+    def write(path: str) -> None:
+        stamp = F.timestamp_seconds("ts_s")
+        dated = probes(spark, sf_dir).withColumn("timestamp", stamp).withColumn("day", stamp.cast("date"))
+        write_store(dated, path, ["day"])
+
+    return _staged(spark, sf_dir, "probe_days", write)

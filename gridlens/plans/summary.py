@@ -19,7 +19,12 @@ from gridlens.operators.filters import (
     sited_probes,
     task_set,
 )
-from gridlens.operators.joins import join_site_names, semi_data_site, semi_probe_pairs
+from gridlens.operators.joins import (
+    join_site_names,
+    semi_data_site,
+    semi_probe_pairs,
+    semi_work_site,
+)
 from gridlens.operators.probes import with_side
 from gridlens.operators.stats import BUCKET, HOT_LIMIT, interval_window_stats
 from gridlens.operators.windows import Grid
@@ -49,7 +54,8 @@ def select_jobs(
     wanted = task_set(completed_jobs(offsite_jobs(jobs)), tasks).filter(
         exists_all(*REQUIRED_FIELDS) & in_period(F.col("JobFinishedHookDone"), period)
     )
-    named = join_site_names(semi_data_site(wanted, allowlist), site_map)
+    known = semi_work_site(semi_data_site(wanted, allowlist), allowlist)
+    named = join_site_names(known, site_map)
     metrics = [m for m in job_metrics(jobs) if m != "Lumosity"]
     return named.select(
         F.col("TaskType").alias("task_type"),

@@ -25,7 +25,7 @@ def append_summary(summary: DataFrame, path: str) -> None:
 def reset_summary(spark: SparkSession, path: str, schema: T.StructType | None = None) -> None:
     """Drop the summary's content and recreate it empty with its declared schema."""
     empty = spark.createDataFrame([], schema or summary_schema())
-    empty.write.mode("overwrite").parquet(path)
+    empty.write.mode("overwrite").partitionBy("task_type").parquet(path)
 
 
 def write_store(df: DataFrame, path: str, by: list[str]) -> None:

@@ -41,8 +41,12 @@ def all_probes(current: DataFrame, older: DataFrame) -> DataFrame:
     return current.unionByName(probes_from_text_time(older), allowMissingColumns=True)
 
 
-def read_summary(spark: SparkSession, path: str, task: str | None = None) -> DataFrame:
-    summary = spark.read.parquet(path)
+def read_summary(
+    spark: SparkSession, path: str, task: str | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """The summary table; with a declared ``schema`` also while it is empty."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    summary = reader.parquet(path)
     return summary if task is None else summary.filter(F.col("task_type") == task)
 
 

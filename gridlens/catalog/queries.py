@@ -148,7 +148,7 @@ def bulk_copy_days_(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_lines_(spark: SparkSession, sf: str) -> DataFrame:
-    fits = regressions.overbyte_regression(fx.net_health(spark, sf)).filter("significant")
+    fits = _stored_fits(spark, sf, "overbyte").filter("significant")
     rounded = _fits(fits, [*regressions.SLOT_KEYS, "series"], ["c_", "e_"])
     keys = [*regressions.SLOT_KEYS, "series"]
     return report_lines(rounded, keys, {"c_": "meanCpuEff", "e_": "meanInputGB"})
@@ -236,7 +236,7 @@ def filter_metric_present(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filter_significant(spark: SparkSession, sf: str) -> DataFrame:
-    fits = regressions.scatter_regression(fx.net_health(spark, sf)).filter("significant")
+    fits = _stored_fits(spark, sf, "scatter").filter("significant")
     return _fits(fits, [*regressions.SLOT_KEYS, "series"], ["c_", "e_"])
 
 
@@ -470,12 +470,24 @@ def regress_xy(spark: SparkSession, sf: str) -> DataFrame:
     return _fits(fits, ["TaskType", "Site"], ["c_"])
 
 
+ANALYSES = {
+    "network": (regressions.network_regression, regressions.opposed_effects),
+    "overbyte": (regressions.overbyte_regression, regressions.negative_effects),
+    "scatter": (regressions.scatter_regression, regressions.opposed_effects),
+}
+
+
+def _stored_fits(spark: SparkSession, sf: str, analysis: str) -> DataFrame:
+    """The fits of an analysis, written once; counters and reports read them several times."""
+
+    def write(path: str) -> None:
+        ANALYSES[analysis][0](fx.net_health(spark, sf)).write.parquet(path)
+
+    return spark.read.parquet(fx.staged(spark, sf, f"fits_{analysis}", write))
+
+
 def _effects(spark: SparkSession, sf: str, analysis: str) -> DataFrame:
-    table = fx.net_health(spark, sf)
-    if analysis == "overbyte":
-        return regressions.negative_effects(regressions.overbyte_regression(table), table)
-    fits = {"network": regressions.network_regression, "scatter": regressions.scatter_regression}
-    return regressions.opposed_effects(fits[analysis](table), table)
+    return ANALYSES[analysis][1](_stored_fits(spark, sf, analysis), fx.net_health(spark, sf))
 
 
 def _shares(spark: SparkSession, sf: str, analysis: str) -> DataFrame:

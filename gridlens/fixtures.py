@@ -125,7 +125,7 @@ def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_map(spark, sf_dir).select("cms_site")
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+def staged(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     """Path of a derived table, written once per application and test directory."""
     app = spark.sparkContext.applicationId
     key = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
@@ -144,7 +144,7 @@ def job_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         day = F.timestamp_seconds("JobFinishedHookDone").cast("date")
         write_store(jobs(spark, sf_dir).withColumn("day", day), path, ["day"])
 
-    return read_jobs(tune(spark), _staged(spark, sf_dir, "jobs", write))
+    return read_jobs(tune(spark), staged(spark, sf_dir, "jobs", write))
 
 
 def probe_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ def probe_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         day = F.timestamp_seconds("ts_s").cast("date")
         write_store(probes(spark, sf_dir).withColumn("day", day), path, ["mtype", "day"])
 
-    return read_probes(tune(spark), _staged(spark, sf_dir, "probes", write))
+    return read_probes(tune(spark), staged(spark, sf_dir, "probes", write))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def net_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
         append_summary(summary(spark, sf_dir), path)
 
-    return read_summary(tune(spark), _staged(spark, sf_dir, "net_health", write))
+    return read_summary(tune(spark), staged(spark, sf_dir, "net_health", write))
 
 
 def probe_day_path(spark: SparkSession, sf_dir: str) -> str:
@@ -185,4 +185,4 @@ def probe_day_path(spark: SparkSession, sf_dir: str) -> str:
         dated = probes(spark, sf_dir).withColumn("timestamp", stamp).withColumn("day", stamp.cast("date"))
         write_store(dated, path, ["day"])
 
-    return _staged(spark, sf_dir, "probe_days", write)
+    return staged(spark, sf_dir, "probe_days", write)

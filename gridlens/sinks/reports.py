@@ -17,7 +17,7 @@ FIT_FIELDS = [
 
 
 def _number(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.6f", value), F.lit("nan"))
+    return F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%.6f", value))
 
 
 def _fit_lines(prefix: str, x: Column, y: str) -> list[Column]:

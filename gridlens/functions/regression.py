@@ -7,8 +7,9 @@ is never gathered.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spread below this share of the mean square is rounding noise of equal values.
@@ -35,62 +36,95 @@ def moments(y: Column, x: Column, prefix: str = "") -> list[Column]:
     ]
 
 
-def fit(prefix: str = "") -> list[Column]:
-    """Slope, intercept, r, p and standard error from the columns of :func:`moments`.
+def fit(sums: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Add slope, intercept, r, p and stderr per prefix to the columns of :func:`moments`.
 
     A constant x gives no slope and no p-value, fewer than three points give no p-value, a
-    constant y gives slope 0, r 0 and p 1.
+    constant y gives slope 0, r 0 and p 1. Shared terms become columns step by step, so that the
+    sum behind a p-value reads them instead of evaluating them once per term.
     """
-    n, avgx, avgy, sxx, syy, sxy = (
-        F.col(prefix + c) for c in ("n", "avgx", "avgy", "sxx", "syy", "sxy")
-    )
-    flat_x = sxx <= F.lit(FLAT) * n * avgx * avgx
-    flat_y = syy <= F.lit(FLAT) * n * avgy * avgy
-    slope = F.when(~flat_x, F.when(flat_y, F.lit(0.0)).otherwise(sxy / sxx))
-    raw = sxy / F.sqrt(sxx * syy)
-    r = (
-        F.when(flat_x | flat_y, F.lit(0.0))
-        .when(F.abs(raw) > 1 - PERFECT, F.signum(raw))
-        .otherwise(raw)
-    )
-    df = n - 2
-    tested = ~flat_x & (df > 0)
-    t = F.abs(r) * F.sqrt(df / ((1 - r + F.lit(TINY)) * (1 + r + F.lit(TINY))))
-    return [
-        slope.alias(prefix + "slope"),
-        (avgy - slope * avgx).alias(prefix + "intercept"),
-        r.alias(prefix + "r"),
-        F.when(tested, two_sided_p(t, df)).alias(prefix + "p"),
-        F.when(tested, F.sqrt((1 - r * r) * syy / sxx / df)).alias(prefix + "stderr"),
-    ]
+
+    def step(df: DataFrame, build: Callable[[Callable[[str], Column]], dict[str, Column]]) -> DataFrame:
+        added = [
+            column.alias(prefix + name)
+            for prefix in prefixes
+            for name, column in build(lambda c, p=prefix: F.col(p + c)).items()
+        ]
+        return df.select("*", *added)
+
+    flat = step(sums, _flatness)
+    lines = step(flat, _line)
+    tests = step(lines, _statistic)
+    angles = step(tests, _angle)
+    return step(angles, _results)
 
 
-def two_sided_p(t: Column, df: Column) -> Column:
-    """P(|T| > t) of Student's t for whole degrees of freedom and t >= 0."""
-    inside = F.when(df <= SERIES_LIMIT, _inside_series(t, df)).otherwise(_inside_integral(t, df))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - inside))
+def _flatness(c: Callable[[str], Column]) -> dict[str, Column]:
+    return {
+        "flat_x": c("sxx") <= F.lit(FLAT) * c("n") * c("avgx") * c("avgx"),
+        "flat_y": c("syy") <= F.lit(FLAT) * c("n") * c("avgy") * c("avgy"),
+        "raw_r": F.try_divide(c("sxy"), F.sqrt(c("sxx") * c("syy"))),
+    }
 
 
-def _inside_series(t: Column, df: Column) -> Column:
-    """P(|T| <= t) by the finite series in the angle atan(t / sqrt(df))."""
-    angle = F.atan(t / F.sqrt(df))
-    cos2 = df / (df + t * t)
+def _line(c: Callable[[str], Column]) -> dict[str, Column]:
+    return {
+        "slope": F.when(~c("flat_x"), F.when(c("flat_y"), F.lit(0.0)).otherwise(c("sxy") / c("sxx"))),
+        "r": F.when(c("flat_x") | c("flat_y"), F.lit(0.0))
+        .when(F.abs(c("raw_r")) > 1 - PERFECT, F.signum(c("raw_r")))
+        .otherwise(c("raw_r")),
+        "df": F.when(~c("flat_x") & (c("n") > 2), c("n") - 2).cast("double"),
+    }
+
+
+def _statistic(c: Callable[[str], Column]) -> dict[str, Column]:
+    r = c("r")
+    return {"t": F.abs(r) * F.sqrt(c("df") / ((1 - r + F.lit(TINY)) * (1 + r + F.lit(TINY))))}
+
+
+def _angle(c: Callable[[str], Column]) -> dict[str, Column]:
+    df, t = c("df"), c("t")
     odd = df % 2 == 1
-    terms = F.when(odd, (df - 1) / 2).otherwise(df / 2).cast("int")
-    # Ratio of neighbouring terms: cos2 * 2k/(2k+1) for odd df, cos2 * (2k-1)/(2k) for even df.
-    first = F.when(odd, F.sqrt(cos2)).otherwise(F.lit(1.0))
+    return {
+        "angle": F.atan(t / F.sqrt(df)),
+        "cos2": df / (df + t * t),
+        "odd": odd.cast("int"),
+        "terms": F.floor((df - odd.cast("int")) / 2).cast("int"),
+    }
+
+
+def _results(c: Callable[[str], Column]) -> dict[str, Column]:
+    r = c("r")
+    inside = F.when(
+        c("df") <= SERIES_LIMIT, _inside_series(c("angle"), c("cos2"), c("odd"), c("terms"))
+    ).otherwise(_inside_integral(c("t"), c("df")))
+    return {
+        "intercept": c("avgy") - c("slope") * c("avgx"),
+        "p": F.when(c("df").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - inside))),
+        "stderr": F.sqrt(F.try_divide((1 - r * r) * c("syy"), c("sxx")) / c("df")),
+    }
+
+
+def _inside_series(angle: Column, cos2: Column, odd: Column, terms: Column) -> Column:
+    """P(|T| <= t) by the finite series in the angle atan(t / sqrt(df)).
+
+    Neighbouring terms differ by cos2 * 2k/(2k+1) for odd df and by cos2 * (2k-1)/(2k) for even df.
+    """
+    first = F.when(odd == 1, F.sqrt(cos2)).otherwise(F.lit(1.0))
     start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
 
-    def step(state: Column, k: Column) -> Column:
-        ratio = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    def add(state: Column, k: Column) -> Column:
+        ratio = (2 * k - 1 + odd) / (2 * k + odd)
         return F.struct(
             (state["term"] * cos2 * ratio).alias("term"),
             (state["total"] + state["term"]).alias("total"),
         )
 
     steps = F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(steps, start, step, lambda state: state["total"])
-    return F.when(odd, (angle + F.sin(angle) * total) * (2 / math.pi)).otherwise(F.sin(angle) * total)
+    total = F.aggregate(steps, start, add, lambda state: state["total"])
+    return F.when(odd == 1, (angle + F.sin(angle) * total) * (2 / math.pi)).otherwise(
+        F.sin(angle) * total
+    )
 
 
 def _inside_integral(t: Column, df: Column) -> Column:

@@ -17,9 +17,8 @@ def regress(df: DataFrame, keys: list[str], x: str, responses: dict[str, str]) -
     sums = df.groupBy(*keys).agg(
         *[c for prefix, y in responses.items() for c in moments(F.col(y), F.col(x), prefix)]
     )
-    return sums.select(
-        *keys, *[c for prefix in responses for c in (F.col(prefix + "n"), *fit(prefix))]
-    )
+    fields = ["n", "slope", "intercept", "r", "p", "stderr"]
+    return fit(sums, list(responses)).select(*keys, *[p + f for p in responses for f in fields])
 
 
 def with_significance(fits: DataFrame) -> DataFrame:

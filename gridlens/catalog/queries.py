@@ -14,11 +14,11 @@ from gridlens.catalog.settle import digits_of, settle, settled
 from gridlens.functions import labels, ratios, times
 from gridlens.operators import filters, joins, probes, reshape, sorting, terms, windows
 from gridlens.operators.regression import effect_shares, regress
-from gridlens.plans import intervals, points, regressions, summary
+from gridlens.plans import copy, intervals, points, regressions, summary
 from gridlens.schemas import DAY, JOB_METRICS, NETWORK_SERIES, PROBES, TASK_TYPES, stat_columns
 from gridlens.session import shared_dir, tune
 from gridlens.sinks.reports import report_lines, share_lines
-from gridlens.sinks.tables import append_summary, bulk_copy_days, reset_summary
+from gridlens.sinks.tables import append_summary, reset_summary
 from gridlens.sources.stores import all_probes, read_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,12 +137,9 @@ def reset_summary_(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def bulk_copy_days_(spark: SparkSession, sf: str) -> DataFrame:
-    source = fx.probe_day_path(spark, sf)
-    days = [f"2024-01-{d:02d}" for d in range(1, 32)]
-    status = bulk_copy_days(
-        spark, days, lambda day: spark.read.parquet(f"{source}/day={day}"), _fresh(spark, "copy"), PROBES
-    )
+def bulk_copy_days(spark: SparkSession, sf: str) -> DataFrame:
+    source, target = fx.probe_day_path(spark, sf), _fresh(spark, "copy")
+    status = copy.copy_month(tune(spark), source, target, 2024, 1, PROBES)
     return status.select("day", "ok", "rows")
 
 

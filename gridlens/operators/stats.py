@@ -24,6 +24,7 @@ from gridlens.schemas import STATS, stat_columns
 
 BUCKET = 6 * 3600
 HOT_LIMIT = 200_000
+PIECES_PER_TASK = 400_000
 RANK_SLACK = 0.001
 SKETCH_ACCURACY = 10_000
 
@@ -95,8 +96,10 @@ def _on(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys])
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(df: DataFrame, pieces: int) -> int:
+    """The session's shuffle partitions, or more when a task would get too many intervals."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, -(-pieces // PIECES_PER_TASK))
 
 
 def _segments(pieces: DataFrame, series: list[str], start: Column, stop: Column) -> DataFrame:
@@ -151,7 +154,6 @@ def interval_window_stats(
             ),
         )
     )
-    spread = pieces.repartition(_partitions(pieces), *place)
     first = F.greatest("_low", "bucket")
     last = F.least(F.col("_high"), F.col("bucket") + F.lit(bucket - grid.step))
     step = F.lit(grid.step).cast("bigint")
@@ -174,15 +176,13 @@ def interval_window_stats(
         medians = _null_safe(exact_median(cells, group, metrics), group)
         return basic.join(medians, _on(group), "left").select(*columns)
 
-    # One narrow counting job picks the plan: the second way is only built when some place needs it.
-    hot_places = (
-        pieces.groupBy(*place)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_limit)
-        .select(*place)
-    )
-    if hot_places.isEmpty():
+    # One narrow counting job sizes the shuffle and shows whether the second way is needed at all.
+    loads = pieces.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+    load = loads.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+    spread = pieces.repartition(_partitions(pieces, load.total or 0), *place)
+    if (load.largest or 0) <= hot_limit:
         return cold(spread)
+    hot_places = loads.filter(F.col("_n") > hot_limit).select(*place)
     return cold(spread.join(hot_places, place, "left_anti")).unionByName(
         hot(pieces.join(hot_places, place, "left_semi"))
     )

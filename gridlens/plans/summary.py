@@ -137,7 +137,10 @@ def probe_window_stats(
 
 
 def join_window_probes(job_stats: DataFrame, probe_stats: DataFrame) -> DataFrame:
-    """Job windows with the network statistics of their site pair, if any."""
+    """Job windows with the network statistics of their site pair, if any.
+
+    Both sides are already placed by (pair, bucket), so the wide job rows are not shuffled again.
+    """
     network = probe_stats.select(
         F.col("srcSite").alias("grid_src"),
         F.col("destSite").alias("grid_dest"),

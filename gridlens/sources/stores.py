@@ -29,16 +29,21 @@ def read_probes(
     return _days(probes, period)
 
 
-def probes_from_text_time(probes: DataFrame) -> DataFrame:
-    """Probes of the older generation: text ``timestamp`` to ``ts_s`` and ``timestamp_ms``."""
-    return probes.withColumn("ts_s", parse_probe_time(F.col("timestamp"))).withColumn(
-        "timestamp_ms", F.col("ts_s") * 1000
+def with_probe_time(probes: DataFrame) -> DataFrame:
+    """Add ``ts_s`` and ``timestamp_ms`` from ``timestamp``, given as text, epoch ms or timestamp."""
+    kind, stamp = probes.schema["timestamp"].dataType, F.col("timestamp")
+    if isinstance(kind, T.StringType):
+        seconds = parse_probe_time(stamp)
+        return probes.withColumns({"ts_s": seconds, "timestamp_ms": seconds * 1000})
+    millis = F.unix_millis(stamp) if isinstance(kind, T.TimestampType) else stamp.cast("bigint")
+    return probes.withColumns(
+        {"ts_s": F.floor(millis / F.lit(1000.0)), "timestamp_ms": millis}
     )
 
 
 def all_probes(current: DataFrame, older: DataFrame) -> DataFrame:
     """Both probe generations as one table."""
-    return current.unionByName(probes_from_text_time(older), allowMissingColumns=True)
+    return current.unionByName(with_probe_time(older), allowMissingColumns=True)
 
 
 def read_summary(

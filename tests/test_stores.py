@@ -57,6 +57,13 @@ def test_probe_generations_become_one_table(spark):
     assert got == {1: 100, 2: 200}
 
 
+def test_probe_time_from_each_form(spark):
+    for value in ("'1970-01-01T00:03:20'", "200999L", "timestamp_millis(200999)"):
+        row = stores.with_probe_time(spark.range(1).selectExpr(f"{value} as timestamp")).first()
+        assert row.ts_s == 200
+        assert row.timestamp_ms in (200000, 200999)
+
+
 def test_bulk_copy_reports_a_failing_day_and_goes_on(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([("latency", "1.5", "x")], "mtype string, delay_mean string, extra string")

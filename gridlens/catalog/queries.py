@@ -440,7 +440,7 @@ def count_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def job_window_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = summary.job_window_stats(_selected(spark, sf), GRID, ["CpuEff"])
+    stats = summary.union_all(summary.job_window_stats(_selected(spark, sf), GRID, ["CpuEff"]))
     return stats.select(*KEYS, *settled(*stat_columns(["CpuEff"])))
 
 

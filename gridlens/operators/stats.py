@@ -5,10 +5,12 @@ Plan. The input intervals are cut at coarse bucket borders (a few hours) and shu
 same intervals form one segment: a segment is summarised once, then its result is copied to its
 cells. Exploding first would shuffle and aggregate every interval once per cell.
 
-Exact medians need a group's values together. Gathering them is fine for a (pair, bucket) of at
-most ``hot_limit`` intervals; one with more takes another way: its cells are aggregated with map-side partials on the full key, and
-its medians come from :func:`exact_median`, which never holds a group in one place. Both ways give
-the same rows.
+Skew. Measured loads decide the way, and every way gives the same rows:
+
+1. A (pair, bucket) of at most ``hot_limit`` intervals is summarised as above.
+2. A larger one is spread by its full series key first, then summarised the same way.
+3. A single series above the limit is exploded to cells and aggregated with map-side partials; its
+   medians come from :func:`exact_median`, which never holds a group in one place.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def exact_median(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
         F.percentile_approx("_v", [0.5 - RANK_SLACK, 0.5 + RANK_SLACK], SKETCH_ACCURACY).alias("_b"),
     )
     inside = (
-        values.join(_null_safe(brackets, group), _on(group), "inner")
+        values.join(_renamed(brackets, group), _same(group), "inner")
         .filter(F.col("_v") <= F.col("_b")[1])
         .withColumn("_v", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")))
         .groupBy(*group, "_n", "_v")
@@ -88,11 +90,11 @@ def exact_median(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
     )
 
 
-def _null_safe(df: DataFrame, keys: list[str]) -> DataFrame:
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in df.columns if c not in keys])
 
 
-def _on(keys: list[str]) -> Column:
+def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys])
 
 
@@ -127,62 +129,78 @@ def interval_window_stats(
     grid: Grid,
     bucket: int = BUCKET,
     hot_limit: int = HOT_LIMIT,
-) -> DataFrame:
+) -> list[DataFrame]:
     """Five-number summaries of ``metrics`` per (pair, keys, cell), over the intervals containing the cell.
 
-    Returns ``pair + keys + [bucket, beginDate]`` and the statistics; NULL values are skipped.
+    Each part has ``pair + keys + [bucket, beginDate]`` and the statistics (NULL values are
+    skipped); the result is the union of the parts. There is one part unless the data is skewed.
+    The first part is partitioned by (pair, bucket), which a join on these columns can use.
     """
     if bucket % grid.step:
         raise ValueError("bucket must be a multiple of the grid step")
     place = [*pair, "bucket"]
-    group = [*place, *keys, "beginDate"]
+    series = [*place, *keys]
+    columns = [*series, "beginDate", *stat_columns(metrics)]
 
-    low, high = grid.cells_inside(F.col(t0), F.col(t1))
-    origin = F.lit(grid.first % grid.step)
-    span = F.lit(bucket)
-    pieces = (
-        intervals.select(*pair, *keys, *metrics, low.alias("_low"), high.alias("_high"))
-        .filter(F.col("_low") <= F.col("_high"))
-        .withColumn(
-            "bucket",
-            F.explode(
-                F.sequence(
-                    F.col("_low") - F.pmod(F.col("_low") - origin, span),
-                    F.col("_high") - F.pmod(F.col("_high") - origin, span),
-                    span.cast("bigint"),
-                )
-            ),
-        )
-    )
+    pieces = _cut(intervals, t0, t1, [*pair, *keys, *metrics], grid, bucket)
     first = F.greatest("_low", "bucket")
     last = F.least(F.col("_high"), F.col("bucket") + F.lit(bucket - grid.step))
     step = F.lit(grid.step).cast("bigint")
-    columns = [*group, *stat_columns(metrics)]
 
-    def cold(part: DataFrame) -> DataFrame:
+    def summarise(part: DataFrame) -> DataFrame:
         stats = (
-            _segments(part, [*place, *keys], first, last + step)
-            .groupBy(*place, *keys, "_from", "_to")
+            _segments(part, series, first, last + step)
+            .groupBy(*series, "_from", "_to")
             .agg(*[c for m in metrics for c in five_numbers(m)])
         )
         cells = F.explode(F.sequence("_from", F.col("_to") - step, step)).alias("beginDate")
         return stats.select("*", cells).select(*columns)
 
-    def hot(part: DataFrame) -> DataFrame:
-        cells = part.select(
-            *place, *keys, *metrics, F.explode(F.sequence(first, last, step)).alias("beginDate")
-        )
+    def summarise_large(part: DataFrame) -> DataFrame:
+        group = [*series, "beginDate"]
+        cells = part.select(*series, *metrics, F.explode(F.sequence(first, last, step)).alias("beginDate"))
         basic = cells.groupBy(*group).agg(*[c for m in metrics for c in moments(m)])
-        medians = _null_safe(exact_median(cells, group, metrics), group)
-        return basic.join(medians, _on(group), "left").select(*columns)
-
-    # One narrow counting job sizes the shuffle and shows whether the second way is needed at all.
-    loads = pieces.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
-    load = loads.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-    spread = pieces.repartition(_partitions(pieces, load.total or 0), *place)
-    if (load.largest or 0) <= hot_limit:
-        return cold(spread)
-    hot_places = loads.filter(F.col("_n") > hot_limit).select(*place)
-    return cold(spread.join(hot_places, place, "left_anti")).unionByName(
-        hot(pieces.join(hot_places, place, "left_semi"))
+        medians = _renamed(exact_median(cells, group, metrics), group)
+        return basic.join(medians, _same(group), "left").select(*columns)
+
+    total, largest, loads = _loads(pieces, place)
+    spread = pieces.repartition(_partitions(pieces, total), *place)
+    if largest <= hot_limit:
+        return [summarise(spread)]
+    hot = _renamed(loads.filter(F.col("_n") > hot_limit).select(*place), place)
+    parts = [summarise(spread.join(hot, _same(place), "left_anti"))]
+    crowded = pieces.join(hot, _same(place), "left_semi")
+    total, largest, loads = _loads(crowded, series)
+    by_series = crowded.repartition(_partitions(pieces, total), *series)
+    if largest <= hot_limit:
+        return [*parts, summarise(by_series)]
+    hot = _renamed(loads.filter(F.col("_n") > hot_limit).select(*series), series)
+    return [
+        *parts,
+        summarise(by_series.join(hot, _same(series), "left_anti")),
+        summarise_large(crowded.join(hot, _same(series), "left_semi")),
+    ]
+
+
+def _cut(
+    intervals: DataFrame, t0: str, t1: str, keep: list[str], grid: Grid, bucket: int
+) -> DataFrame:
+    """One row per (interval, bucket it has cells in), with its first and last cell."""
+    low, high = grid.cells_inside(F.col(t0), F.col(t1))
+    origin, span = F.lit(grid.first % grid.step), F.lit(bucket)
+
+    def start(cell: str) -> Column:
+        return F.col(cell) - F.pmod(F.col(cell) - origin, span)
+
+    return (
+        intervals.select(*keep, low.alias("_low"), high.alias("_high"))
+        .filter(F.col("_low") <= F.col("_high"))
+        .withColumn("bucket", F.explode(F.sequence(start("_low"), start("_high"), span.cast("bigint"))))
     )
+
+
+def _loads(pieces: DataFrame, keys: list[str]) -> tuple[int, int, DataFrame]:
+    """Total and largest number of pieces per key, found by one narrow counting job, and the counts."""
+    loads = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = loads.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+    return found.total or 0, found.largest or 0, loads

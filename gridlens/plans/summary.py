@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +80,8 @@ def job_window_stats(
     metrics: list[str],
     bucket: int = BUCKET,
     hot_limit: int = HOT_LIMIT,
-) -> DataFrame:
-    """Job statistics per (task, work site, data site, workflow, host, window)."""
+) -> list[DataFrame]:
+    """Job statistics per (task, work site, data site, workflow, host, window), as parts to union."""
     return interval_window_stats(
         selected,
         "JobCurrentStartDate",
@@ -123,7 +125,7 @@ def probe_window_stats(
     series: DataFrame, grid: Grid, bucket: int = BUCKET, hot_limit: int = HOT_LIMIT
 ) -> DataFrame:
     """Network statistics per (grid source, grid destination, window); absent series are NULL."""
-    return interval_window_stats(
+    parts = interval_window_stats(
         series,
         "t0",
         "t1",
@@ -134,12 +136,18 @@ def probe_window_stats(
         bucket=bucket,
         hot_limit=hot_limit,
     )
+    return union_all(parts)
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def join_window_probes(job_stats: DataFrame, probe_stats: DataFrame) -> DataFrame:
+def join_window_probes(job_stats: list[DataFrame], probe_stats: DataFrame) -> DataFrame:
     """Job windows with the network statistics of their site pair, if any.
 
-    Both sides are already placed by (pair, bucket), so the wide job rows are not shuffled again.
+    Both sides are already placed by (pair, bucket), so the wide job rows are not shuffled again;
+    joining the parts before their union keeps it that way when the data is skewed.
     """
     network = probe_stats.select(
         F.col("srcSite").alias("grid_src"),
@@ -148,7 +156,8 @@ def join_window_probes(job_stats: DataFrame, probe_stats: DataFrame) -> DataFram
         "beginDate",
         *stat_columns(NETWORK_SERIES),
     )
-    return job_stats.join(network, ["grid_src", "grid_dest", "bucket", "beginDate"], "left")
+    on = ["grid_src", "grid_dest", "bucket", "beginDate"]
+    return union_all([part.join(network, on, "left") for part in job_stats])
 
 
 def build_summary(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlens.operators.stats import exact_median, interval_window_stats
 from gridlens.operators.windows import Grid, explode_windows, window_grid
+from gridlens.plans.summary import union_all
 from gridlens.schemas import stat_columns
 
 PERIOD = (86400, 2 * 86400)
@@ -70,7 +71,7 @@ def intervals(spark, n=400, seed=3):
         t0 = rng.randrange(80000, 170000)
         # A third of the rows share one pair and one host.
         pair = "hot" if rng.random() < 0.34 else rng.choice("abc")
-        host = None if pair == "hot" else rng.choice(["n0", "n1"])
+        host = rng.choice([None, "n0"] if pair == "hot" else ["n0", "n1"])
         a = None if rng.random() < 0.1 else float(rng.randrange(5))
         data.append((pair, host, t0, t0 + rng.randrange(0, 30000), a, rng.random()))
     schema = "pair string, host string, t0 bigint, t1 bigint, a double, b double"
@@ -93,13 +94,15 @@ def brute(data, grid):
     return out
 
 
-@pytest.mark.parametrize("hot_limit", [10**6, 20, 0])
-def test_window_stats_equal_brute_force_on_both_ways(spark, hot_limit):
+@pytest.mark.parametrize(("hot_limit", "ways"), [(10**6, 1), (50, 2), (20, 3), (0, 3)])
+def test_window_stats_equal_brute_force_on_every_way(spark, hot_limit, ways):
     data, rows = intervals(spark)
     grid = Grid.of(PERIOD)
-    got = interval_window_stats(
+    parts = interval_window_stats(
         rows, "t0", "t1", ["pair"], ["host"], ["a", "b"], grid, hot_limit=hot_limit
-    ).collect()
+    )
+    assert len(parts) == ways
+    got = union_all(parts).collect()
     want = brute(data, grid)
     assert len(got) == len(want)
     columns = stat_columns(["a", "b"])

@@ -57,15 +57,14 @@ def _period(args: argparse.Namespace, default: tuple[str, str]) -> tuple[str, st
     return (args.start or default[0], args.end or default[1])
 
 
-def _inputs(spark: SparkSession, args: argparse.Namespace, period: tuple) -> tuple[DataFrame, DataFrame]:
-    probes = stores.with_probe_time(stores.read_probes(spark, args.probes, period=period))
-    return stores.read_jobs(spark, args.jobs), probes
+def _probes(spark: SparkSession, args: argparse.Namespace, period: tuple) -> DataFrame:
+    return stores.with_probe_time(stores.read_probes(spark, args.probes, period=period))
 
 
 def summary(spark: SparkSession, args: argparse.Namespace) -> None:
     """Reset the summary table (unless ``--append``) and build the period."""
     period = _period(args, schemas.SUMMARY_PERIOD)
-    jobs, probes = _inputs(spark, args, period)
+    jobs, probes = stores.read_jobs(spark, args.jobs, period), _probes(spark, args, period)
     if not args.append:
         reset_summary(spark, args.out, schemas.summary_schema(job_metrics(jobs)))
     append_summary(build_summary(jobs, probes, *_sites(spark, args), period), args.out)
@@ -115,9 +114,8 @@ def chart_points(spark: SparkSession, args: argparse.Namespace) -> None:
 def series(spark: SparkSession, args: argparse.Namespace) -> None:
     """Write the interval series of every site pair with jobs."""
     period = _period(args, schemas.SCATTER_PERIOD)
-    rows = intervals.interval_series(
-        *_inputs(spark, args, period), *_sites(spark, args), period, not args.reduced
-    )
+    jobs, probes = stores.read_jobs(spark, args.jobs), _probes(spark, args, period)
+    rows = intervals.interval_series(jobs, probes, *_sites(spark, args), period, not args.reduced)
     write_points(rows, args.out, ["series"])
 
 

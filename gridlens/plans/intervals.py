@@ -92,12 +92,10 @@ def interval_series(
             probe_rows.groupBy("grid_src", "grid_dest")
             .agg(*[F.max(F.col("series") == s).alias("has_" + s) for s in shared])
             .filter(F.col("has_packet_loss") & F.col("has_throughput"))
-            .select("grid_src", "grid_dest")
+            .select("grid_src", "grid_dest", F.lit(True).alias("complete"))
         )
-        probe_rows = probe_rows.filter(~F.col("series").isin(shared)).unionByName(
-            probe_rows.filter(F.col("series").isin(shared)).join(
-                complete, ["grid_src", "grid_dest"], "left_semi"
-            )
+        probe_rows = probe_rows.join(complete, ["grid_src", "grid_dest"], "left").filter(
+            ~F.col("series").isin(shared) | F.col("complete")
         )
     else:
         probe_rows = probe_rows.filter(F.col("series") != "throughput")

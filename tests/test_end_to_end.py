@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridlens import fixtures as fx
 from gridlens.__main__ import main
+from gridlens.catalog.settle import settled
+from gridlens.plans.summary import build_summary
 from gridlens.sinks.tables import write_store
 from gridlens.sources.stores import read_summary
 
@@ -41,6 +43,16 @@ def test_summary_command(spark, inputs):
     assert table.filter(bad).isEmpty()
 
 
+def test_skewed_ways_build_the_same_summary(spark):
+    inputs = [f(spark, SF) for f in (fx.job_store, fx.probe_store, fx.allowlist, fx.site_map)]
+    keys = ["task_type", "src", "dest", "Workflow", "LastRemoteHost", "beginDate"]
+    shown = [*keys, *settled("medianKEvents", "stdCpuEff", "meansrcPacket", "mediandestLatency")]
+    plain = fx.net_health(spark, SF).select(*shown)
+    forced = build_summary(*inputs, fx.PERIOD, hot_limit=3).select(*shown)
+    assert forced.count() == plain.count()
+    assert forced.exceptAll(plain).isEmpty()
+
+
 @pytest.mark.parametrize("name", ["overbyte", "vslumos"])
 def test_regress_command(spark, inputs, name):
     out = inputs["root"] / name

@@ -26,7 +26,7 @@ from gridlens.schemas import STATS, stat_columns
 
 BUCKET = 6 * 3600
 HOT_LIMIT = 200_000
-PIECES_PER_TASK = 400_000
+PIECES_PER_TASK = 100_000
 RANK_SLACK = 0.001
 SKETCH_ACCURACY = 10_000
 
@@ -99,9 +99,9 @@ def _same(keys: list[str]) -> Column:
 
 
 def _partitions(df: DataFrame, pieces: int) -> int:
-    """The session's shuffle partitions, or more when a task would get too many intervals."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, -(-pieces // PIECES_PER_TASK))
+    """One task per core, or more when a task would get too many intervals."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-pieces // PIECES_PER_TASK))
 
 
 def _segments(pieces: DataFrame, series: list[str], start: Column, stop: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 from gridlens.schemas import summary_schema
 
 
-def append_summary(summary: DataFrame, path: str) -> None:
-    """Append summary rows, one partition folder per task type.
+def append_summary(summary: DataFrame, path: str, by: Sequence[str] = ("task_type",)) -> None:
+    """Append summary rows, one partition folder per task type (add ``day`` for long periods).
 
     Rows leave the build partitioned by site pair and time, so no shuffle is added; sorting by
     time lets a day slice skip row groups.
     """
-    ordered = summary.sortWithinPartitions("task_type", "beginDate")
-    ordered.write.mode("append").partitionBy("task_type").parquet(path)
+    ordered = summary.sortWithinPartitions(*by, "beginDate")
+    ordered.write.mode("append").partitionBy(*by).parquet(path)
 
 
 def reset_summary(spark: SparkSession, path: str, schema: T.StructType | None = None) -> None:

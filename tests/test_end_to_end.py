@@ -25,10 +25,10 @@ def inputs(spark, tmp_path_factory):
     stamp = F.timestamp_seconds("ts_s")
     rows = fx.probes(spark, SF).withColumn("timestamp", stamp).drop("ts_s", "timestamp_ms")
     write_store(rows.withColumn("day", F.to_date("timestamp")), probes, ["mtype", "day"])
-    (root / "sites.json").write_text(
+    (root / "site_names.json").write_text(
         "{" + ",".join(f'"t2_site_{i}": "GRID_{i}"' for i in range(4)) + "}"
     )
-    sites = ["--sites", str(root / "sites.json")]
+    sites = ["--sites", str(root / "site_names.json")]
     summary = str(root / "net_health")
     main(["summary", "--jobs", jobs, "--probes", probes, *sites, *PERIOD, "--out", summary])
     return {"jobs": jobs, "probes": probes, "sites": sites, "summary": summary, "root": root}

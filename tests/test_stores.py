@@ -17,11 +17,11 @@ from gridlens.sources import sites, stores
 
 
 def test_site_files(spark, tmp_path):
-    (tmp_path / "cms.json").write_text(json.dumps({"locations": ["t1_a", "t2_b"]}, indent=2))
-    (tmp_path / "sites.json").write_text(json.dumps({"t1_a": "GA", "t2_b": "GB"}, indent=2))
-    allowed = sites.read_allowlist(spark, str(tmp_path / "cms.json")).collect()
+    (tmp_path / "allowed_sites.json").write_text(json.dumps({"locations": ["t1_a", "t2_b"]}, indent=2))
+    (tmp_path / "site_names.json").write_text(json.dumps({"t1_a": "GA", "t2_b": "GB"}, indent=2))
+    allowed = sites.read_allowlist(spark, str(tmp_path / "allowed_sites.json")).collect()
     assert sorted(r.cms_site for r in allowed) == ["t1_a", "t2_b"]
-    mapped = sites.read_site_map(spark, str(tmp_path / "sites.json")).collect()
+    mapped = sites.read_site_map(spark, str(tmp_path / "site_names.json")).collect()
     assert sorted(map(tuple, mapped)) == [("t1_a", "GA"), ("t2_b", "GB")]
     assert sites.default_site_map(spark).count() == 35
 
@@ -105,6 +105,14 @@ def test_summary_append_and_reset(spark, tmp_path):
     assert stores.read_summary(spark, path, schema=summary_schema()).count() == 2
 
 
+def test_summary_by_task_and_day(spark, tmp_path):
+    path = str(tmp_path / "net_health")
+    rows = summary_rows(spark).withColumn("day", F.timestamp_seconds("beginDate").cast("date"))
+    append_summary(rows, path, ["task_type", "day"])
+    found = stores.read_summary(spark, path, task="RECO")
+    assert [str(r.day) for r in found.collect()] == ["1970-01-01"]
+
+
 def test_summary_schema():
     names = summary_schema().names
     assert len(names) == len(set(names)) == 4 + 2 + 100 + 2

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -25,12 +23,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written tables: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridlens.shared.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="gridlens-")
-    spark.conf.set("gridlens.shared.dir", path)
-    return path
+    """Folder for written tables: ``spark.checkpoint.dir``, else a folder in the session's warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/gridlens_stages"
+    return path.rstrip("/")

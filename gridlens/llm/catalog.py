@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlens.llm.byte_pairs import op4_byte_pairs
+from gridlens.llm.jaccard import op7_jaccard_join
+from gridlens.llm.mixing import op8_mixing
+from gridlens.llm.secrets import op5_secrets
 from gridlens.llm.token_files import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op4_byte_pairs": op4_byte_pairs,
+    "op5_secrets": op5_secrets,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridlens.llm.common import fresh_path, passes, raw, table, texts
+from gridlens.llm.common import fresh_path, passes, raw, table, texts, written
 from gridlens.llm.words import PieceTable
 
 SCHEMA = "doc_id bigint, ids array<int>"
@@ -28,18 +28,38 @@ INDEX_STRIDE = 1000
 STRIPE_BYTES = 32 << 20
 
 _TABLES: dict[str, PieceTable] = {}
-_CUT = re.compile("[ \n]")
+# White space ends a piece of the tokenizer; so does the end of a run of Latin letters before an
+# ASCII character. Other white space and letters stay inside a piece and are left to the library.
+_CUT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z)|[^ \n]+")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+# Words of one call to the library.
+_TOGETHER = 2000
 
 
 def _table(path: str) -> PieceTable:
-    """White space ends a piece of this tokenizer, so the pieces between blanks and line ends are
-    encoded apart; other white space stays inside a piece and is left to the library."""
     if path not in _TABLES:
         library = Tokenizer.from_file(path)
+        last = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)
+        last[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
 
         def encode(pieces: list[str]) -> list[bytes]:
-            found = library.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+            """Plain words go to the library many at a time, as one text: each ends with the one
+            id that ends a word. Everything else goes piece by piece."""
+            out = [b""] * len(pieces)
+            plain, other = [], []
+            for i, x in enumerate(pieces):
+                (plain if _PLAIN(x) else other).append(i)
+            lines = [" ".join(pieces[i] for i in plain[a : a + _TOGETHER]) for a in range(0, len(plain), _TOGETHER)]
+            for n, x in enumerate(library.encode_batch_fast(lines, add_special_tokens=False)):
+                ids = np.array(x.ids, "<u4")
+                whole, ends = ids.tobytes(), ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+                words = plain[n * _TOGETHER : (n + 1) * _TOGETHER]
+                for i, a, b in zip(words, [0, *ends[:-1]], ends, strict=True):
+                    out[i] = whole[a:b]
+            found = library.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)
+            for i, x in zip(other, found, strict=True):
+                out[i] = np.array(x.ids, "<u4").tobytes()
+            return out
 
         _TABLES[path] = PieceTable(encode)
     return _TABLES[path]
@@ -53,7 +73,7 @@ def _encoder(path: str, end_id: int):
         for batch in batches:
             column = batch.column(1)
             for a, b in passes(np.diff(raw(column)[1])):
-                found = lookup(_CUT.split(x) for x in column.slice(a, b - a).to_pylist())
+                found = lookup(_CUT.findall(x) for x in column.slice(a, b - a).to_pylist())
                 ends = np.cumsum([0] + [len(x) // 4 + 1 for x in found], dtype=np.int32)
                 values = np.frombuffer(b"".join(x + end for x in found), "<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
@@ -81,7 +101,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", INDEX_STRIDE)
         .option("orc.stripe.size", STRIPE_BYTES)
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .orc(path)
     )
 
@@ -112,6 +132,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = read_tokens(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
     kept = rows.mapInArrow(_digest, "doc_id bigint, file string, n_tokens bigint, ids_crc32 bigint")
+    kept = written(kept, "token-index")
     sums = kept.groupBy("file").agg(
         F.sum("n_tokens").alias("tokens"),
         F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"),

@@ -12,20 +12,26 @@ KEPT_LENGTH = 48
 class PieceTable:
     """Ids of pieces as little-endian 32-bit bytes; unknown pieces are encoded in batches.
 
-    Only speed depends on what is kept: a piece always has the same ids.
+    Pieces not seen since the table last filled up are forgotten. Only speed depends on what is
+    kept: a piece always has the same ids.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT_PIECES) -> None:
-        self.encode, self.kept, self.ids = encode, kept, {"": b""}
+        self.encode, self.kept, self.old = encode, kept // 2, {}
+        self.ids = {"": b""}
 
     def lookup(self, rows: Iterable[list[str]]) -> list[bytes]:
         """Ids of each row's pieces, joined."""
         rows = list(rows)
         if len(self.ids) > self.kept:
-            self.ids = {"": b""}
-        known = self.ids
-        missing = list(set().union(*rows).difference(known))
-        long = []
+            self.old, self.ids = self.ids, {"": b""}
+        known, old = self.ids, self.old
+        missing, long = [], []
+        for x in set().union(*rows).difference(known):
+            if x in old:
+                known[x] = old[x]
+            else:
+                missing.append(x)
         if missing:
             known.update(zip(missing, self.encode(missing), strict=True))
             long = [x for x in missing if len(x) > KEPT_LENGTH]

@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         ),
         "queries",
     )
-    dealt = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    dealt = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     keys = ["dim", "shard", "block"]
 
     def searched(some: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     kth = first.groupBy(*who).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
     others = (
         asked.join(kth, who, "left")
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
+        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
         .filter("shard <> home")
     )
     every = first.unionByName(searched(others)) if shards > 1 else first

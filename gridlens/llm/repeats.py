@@ -101,7 +101,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _filter_bits(rows: DataFrame, *keys: str) -> np.ndarray:
     """A bit table of fixed size with the hashes of the keys."""
     word = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
-    words = rows.select((word / 64).cast("bigint").alias("word"), F.shiftleft(F.lit(1).cast("bigint"), (word % 64).cast("int")).alias("bits"))
+    words = rows.select(word.alias("at")).selectExpr("at div 64 as word", "shiftleft(1L, cast(at % 64 as int)) as bits")
     found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[found["word"].to_numpy(np.int64)] = found["bits"]

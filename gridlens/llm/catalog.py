@@ -10,6 +10,7 @@ from gridlens.llm.byte_pairs import op4_byte_pairs
 from gridlens.llm.jaccard import op7_jaccard_join
 from gridlens.llm.mixing import op8_mixing
 from gridlens.llm.nearest import OP2_SQL, op2_nearest
+from gridlens.llm.quality import op3_quality
 from gridlens.llm.repeats import op6_repeats
 from gridlens.llm.secrets import op5_secrets
 from gridlens.llm.syncmers import op10_syncmers
@@ -19,6 +20,7 @@ from gridlens.llm.warc import OP9_SQL, op9_revisits
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_nearest": op2_nearest,
+    "op3_quality": op3_quality,
     "op4_byte_pairs": op4_byte_pairs,
     "op5_secrets": op5_secrets,
     "op6_repeats": op6_repeats,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import mixed, passes, raw, table, texts, word_hashes, written
+from gridlens.llm.common import WORD, mixed, passes, raw, table, texts, word_hashes, written
 from gridlens.llm.graphs import components
 
 WORDS = 5
@@ -81,13 +81,13 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-SCAN = "doc_id bigint, n bigint, k1 bigint, k2 bigint, chunk int, counts array<bigint>"
+SCAN = "doc_id bigint, key bigint, n bigint, k1 bigint, k2 bigint, chunk int, counts array<bigint>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size and node of each document, and at the end this task's frequency table."""
     counts = np.zeros(BUCKETS, np.int64)
-    names = ["doc_id", "n", "k1", "k2", "chunk", "counts"]
+    names = ["doc_id", "key", "n", "k1", "k2", "chunk", "counts"]
     kind = pa.list_(pa.int64())
     for batch in batches:
         sizes, keys, buckets = [], [], []
@@ -102,13 +102,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(np.concatenate(buckets), minlength=BUCKETS)
         n = len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
              pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, kind)], names,
         )
     n = BUCKETS // CHUNK
     none = pa.nulls(n, pa.int64())
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS + 1, CHUNK, dtype=np.int32)), pa.array(counts))
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(n, dtype=np.int32)), lists], names)
+    yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(np.arange(n, dtype=np.int32)), lists], names)
 
 
 def _frequencies(scanned: DataFrame) -> np.ndarray:
@@ -279,10 +279,11 @@ def _remaining_pairs(entries: DataFrame) -> DataFrame:
 
 
 def link_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The scanned documents (``doc_id``, ``n``, ``k1``, ``k2``) and the labels of linked nodes
+    """The scanned documents (``doc_id``, ``key``, ``n``, ``k1``, ``k2``) and the labels of linked nodes
     (``node``, ``label``); a node is the first half of a text's word digest, ``k1``."""
-    scanned = written(docs.mapInArrow(_scan, SCAN), "jaccard-scan")
-    rows = scanned.filter("chunk is null").select("doc_id", "n", "k1", "k2")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    scanned = written(keyed.mapInArrow(_scan, SCAN), "jaccard-scan")
+    rows = scanned.filter("chunk is null").select("doc_id", "key", "n", "k1", "k2")
     entries = docs.select("doc_id", "text").mapInArrow(
         _entries(_frequencies(scanned)), "gram bigint, node bigint, n int, place int"
     )
@@ -317,5 +318,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, that of the smallest id (null ids
+    last, then by text hash); texts without words all stay. Texts are not shuffled, except those
+    of rows that are repeated whole."""
+    rows, labels = link_nodes(texts(docs, id_col, text_col))
+    named = rows.join(labels.withColumnRenamed("node", "k1"), "k1", "left").withColumn("label", F.coalesce("label", "k1"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = named.filter("n > 0").groupBy("label").agg(F.min(order).alias("first"))
+    counted = named.filter("n > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    keep = first.join(counted, F.expr("first.doc_id <=> doc_id and first.key = key"))
+    keep = written(keep.select(F.struct("doc_id", "key", "rows").alias("__keep")), "jaccard-keep")
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = F.struct(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("key"), body.rlike(WORD).alias("words"))
+    whole = docs.select(F.struct("*").alias("__doc"), own.alias("__own"))
+    blank = whole.filter("not __own.words")
+    found = whole.filter("__own.words").join(keep, F.expr("__own.doc_id <=> __keep.doc_id and __own.key = __keep.key"))
+    single = found.filter("__keep.rows = 1")
+    repeated = found.filter("__keep.rows > 1").dropDuplicates(["__own"])
+    return blank.select("__doc.*").unionAll(single.select("__doc.*")).unionAll(repeated.select("__doc.*"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -146,6 +146,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count(test) -> Column:
         return F.size(F.filter(F.col("every"), test)).cast("bigint")
 
+    def of_kind(k: int):
+        return lambda s: s["kind"] == k
+
     base = F.filter(F.col("every"), lambda s: s["kind"] < 3)
     return (
         rows.select("row", "doc_id")
@@ -153,7 +156,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("doc_id", every.alias("every"))
         .select(
             "doc_id",
-            *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+            *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
             F.sha2(listed(base), 256).alias("base_sha256"),
             listed(F.col("every")).alias("spans"),
             count(lambda s: s["live"]).alias("n_live"),

@@ -77,7 +77,7 @@ PROBES = T.StructType(
         T.StructField("srcProduction", T.BooleanType()),
         T.StructField("destProduction", T.BooleanType()),
         T.StructField("timestamp", T.TimestampType()),
-        T.StructField("throughput", T.LongType()),
+        T.StructField("throughput", T.DoubleType()),
         T.StructField("delay_mean", T.DoubleType()),
         T.StructField("delay_median", T.DoubleType()),
         T.StructField("delay_sd", T.DoubleType()),

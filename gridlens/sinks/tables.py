@@ -64,7 +64,7 @@ def bulk_copy_days(
             typed = conform(read_day(day), schema).observe(seen, F.count(F.lit(1)).alias("rows"))
             typed.write.mode("overwrite").parquet(f"{target}/day={day}")
         except Exception as error:  # noqa: BLE001 - any failure of a day is its status
-            return day, False, 0, str(error).splitlines()[0]
+            return day, False, 0, (str(error).splitlines() or [type(error).__name__])[0]
         return day, True, seen.get["rows"], None
 
     with ThreadPoolExecutor(at_once) as pool:

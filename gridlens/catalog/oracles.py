@@ -322,6 +322,8 @@ ORACLES: dict[str, str] = {
     + "SELECT strftime(d,'%Y-%m-%d') AS day, count(p.ts_s)>0 AS ok, count(p.ts_s) AS rows FROM"
     " (SELECT unnest(range(date '2024-01-01', date '2024-02-01', interval 1 day)) AS d)"
     f" LEFT JOIN (SELECT ts_s, {STAMP}::date AS pd FROM probes) p ON p.pd=d::date GROUP BY 1",
+    "bulk_copy_content": W_PROBES
+    + f"SELECT * FROM probes WHERE {STAMP}::date BETWEEN date '2024-01-01' AND date '2024-01-31'",
     "report_lines": W_HEALTH + _report_lines(),
     "report_shares": W_HEALTH
     + f"SELECT key_kind, key, concat(key,' occurs ',coalesce(printf('%.6f',{settle_sql('share')}),'nan')) AS line"

@@ -143,6 +143,15 @@ def bulk_copy_days(spark: SparkSession, sf: str) -> DataFrame:
     return status.select("day", "ok", "rows")
 
 
+@query
+def bulk_copy_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field of the copied records, read back from the target."""
+    source, target = fx.probe_day_path(spark, sf), _fresh(spark, "copy")
+    copy.copy_month(tune(spark), source, target, 2024, 1, PROBES)
+    copied = spark.read.parquet(target)
+    return copied.select(*fx.PROBE_COLUMNS, "ts_s", "timestamp_ms")
+
+
 @query
 def report_lines_(spark: SparkSession, sf: str) -> DataFrame:
     fits = _stored_fits(spark, sf, "overbyte").filter("significant")

@@ -16,6 +16,17 @@ JOB_DAYS = "cms-{0.year}-{0.month:02d}-{0.day}"
 STORE_DAYS = "day={0:%Y-%m-%d}"
 
 
+def read_records(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """Whole records of one dataset. JSON fields in ``schema`` get its types, so that the days of a
+    store agree; fields it does not name get the types found in all of the dataset's records."""
+    if fmt != "json":
+        return spark.read.format(fmt).load(path)
+    declared = {f.name: f for f in schema.fields}
+    found = spark.read.json(path).schema
+    others = [f for f in found.fields if f.name not in declared]
+    return spark.read.schema(T.StructType([*schema.fields, *others])).json(path)
+
+
 def copy_month(
     spark: SparkSession,
     source: str,
@@ -28,13 +39,12 @@ def copy_month(
 ) -> DataFrame:
     """Copy every day of a month from ``source`` into the day-partitioned store ``target``.
 
-    ``names`` gives a day's folder name. JSON days are read with the declared schema.
+    ``names`` gives a day's folder name. All fields of the records are kept.
     """
 
     def read_day(day: str) -> DataFrame:
         path = f"{source}/{names.format(date.fromisoformat(day))}"
-        reader = spark.read.schema(schema) if fmt == "json" else spark.read
-        return reader.format(fmt).load(path)
+        return read_records(spark, path, schema, fmt)
 
     days = [date(year, month, d).isoformat() for d in range(1, monthrange(year, month)[1] + 1)]
-    return bulk_copy_days(spark, days, read_day, target, schema)
+    return bulk_copy_days(spark, days, read_day, target)

@@ -49,20 +49,23 @@ def bulk_copy_days(
     days: Iterable[str],
     read_day: Callable[[str], DataFrame],
     target: str,
-    schema: T.StructType,
+    schema: T.StructType | None = None,
     at_once: int = 4,
 ) -> DataFrame:
     """Copy daily datasets into ``target``, replacing each day's folder.
 
-    A day that fails is reported and does not stop the others. Every day is one distributed job;
-    only the status rows ``(day, ok, rows, error)`` come back.
+    Records arrive whole, with every column and value as stored; only with a ``schema`` are they
+    brought to its columns and types. A day that fails is reported and does not stop the others.
+    Every day is one distributed job; only the status rows ``(day, ok, rows, error)`` come back.
     """
 
     def copy(day: str) -> tuple[str, bool, int, str | None]:
         seen = Observation()
         try:
-            typed = conform(read_day(day), schema).observe(seen, F.count(F.lit(1)).alias("rows"))
-            typed.write.mode("overwrite").parquet(f"{target}/day={day}")
+            records = read_day(day)
+            kept = records if schema is None else conform(records, schema)
+            counted = kept.observe(seen, F.count(F.lit(1)).alias("rows"))
+            counted.write.mode("overwrite").parquet(f"{target}/day={day}")
         except Exception as error:  # noqa: BLE001 - any failure of a day is its status
             return day, False, 0, (str(error).splitlines() or [type(error).__name__])[0]
         return day, True, seen.get["rows"], None

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gridlens.plans.copy import copy_month
 from gridlens.schemas import JOB_METRICS, JOBS, PROBES, stat_columns, summary_schema
 from gridlens.sinks.reports import report_lines, write_lines
 from gridlens.sinks.tables import (
@@ -84,6 +85,16 @@ def test_bulk_copy_reports_a_failing_day_and_goes_on(spark, tmp_path):
     assert "extra" not in copied.columns
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_month_copy_keeps_every_field_and_digit(spark, tmp_path, fmt):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame([("latency", 1.5, "x", 3)], "mtype string, throughput double, extra string, n bigint")
+    rows.write.format(fmt).save(f"{source}/day=2024-01-02")
+    status = {r.day: r.ok for r in copy_month(spark, source, target, 2024, 1, PROBES, fmt=fmt).collect()}
+    assert [day for day, ok in status.items() if ok] == ["2024-01-02"] and len(status) == 31
+    assert [tuple(r) for r in spark.read.parquet(target).select(*rows.columns).collect()] == [("latency", 1.5, "x", 3)]
+
+
 def summary_rows(spark):
     row = spark.range(2).select(
         F.lit("a").alias("src"),

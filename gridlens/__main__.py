@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,17 @@ from gridlens.operators.regression import effect_shares
 from gridlens.plans import copy, intervals, points, regressions
 from gridlens.plans.summary import build_summary, job_metrics
 from gridlens.session import tune
-from gridlens.sinks.reports import report_lines, share_lines, write_lines
+from gridlens.sinks.reports import data_site_lines, report_lines, share_lines, side_label, write_lines
 from gridlens.sinks.tables import append_summary, reset_summary, write_points
 from gridlens.sources import sites, stores
 
-# Analysis -> (fits, y labels, effects or None, x label or None for the series name).
+# Analysis -> (fits, y labels or how to make them, effects or None, x label or None for the series name).
 ANALYSES = {
     "network": (
         regressions.network_regression,
-        {"c_": "value at work site", "e_": "value at data site"},
+        {"c_": partial(side_label, "src"), "e_": partial(side_label, "dest")},
         regressions.opposed_effects,
-        None,
+        "Throughput",
     ),
     "overbyte": (
         regressions.overbyte_regression,
@@ -80,13 +81,16 @@ def regress(spark: SparkSession, args: argparse.Namespace) -> None:
     fits = spark.read.parquet(f"{args.out}/fits")
     keys = [*regressions.SLOT_KEYS, "series"] if effects else regressions.PAIR_KEYS
     reported = fits.filter("significant") if effects else fits
-    lines = report_lines(reported, keys, responses, "series" if x is None else F.lit(x))
+    labels = {prefix: y() if callable(y) else y for prefix, y in responses.items()}
+    lines = report_lines(reported, keys, labels, "series" if x is None else F.lit(x))
     write_lines(lines, f"{args.out}/report", [*keys, "position"])
     if effects:
         shares = effect_shares(effects(fits, table, period))
         write_lines(share_lines(shares), f"{args.out}/shares", ["key_kind", "key"])
     if args.name == "overbyte":
         regressions.data_sites(table, period).write.mode("overwrite").parquet(f"{args.out}/data_sites")
+        located = spark.read.parquet(f"{args.out}/data_sites")
+        write_lines(data_site_lines(located), f"{args.out}/data_locations", ["dest"])
 
 
 def chart_points(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -230,7 +230,7 @@ def _content(where: str = "") -> str:
     )
 
 
-def _report_lines() -> str:
+def _report_lines(fits: str, x: str, responses: dict[str, str]) -> str:
     number = "coalesce(printf('%.6f', {}),'nan')"
     titles = ["Slope", "Intercept", "R Value", "P Value", "std err"]
     lines = [
@@ -240,13 +240,13 @@ def _report_lines() -> str:
         "concat('Data site: ',dest)",
         "concat('Slot: ',LastRemoteHost)",
     ]
-    for prefix, y in (("c_", "meanCpuEff"), ("e_", "meanInputGB")):
-        lines.append(f"concat('X: ',series,'  Y: {y}')")
+    for prefix, y in responses.items():
+        lines.append(f"concat('X: ',{x},'  Y: ',{y})")
         lines += [
             f"concat('{prefix}{t}: ',{number.format(prefix + f)})" for t, f in zip(titles, FIT, strict=True)
         ]
     lines.append("''")
-    shown = _show(f"SELECT * FROM ({OVERBYTE_FITS}) WHERE significant", SLOT + ", series", ["c_", "e_"])
+    shown = _show(f"SELECT * FROM ({fits}) WHERE significant", SLOT + ", series", ["c_", "e_"])
     return (
         f"SELECT {SLOT}, series, unnest(range({len(lines)}))::integer AS position,"
         f" unnest([{', '.join(lines)}]) AS line FROM ({shown})"
@@ -324,7 +324,14 @@ ORACLES: dict[str, str] = {
     f" LEFT JOIN (SELECT ts_s, {STAMP}::date AS pd FROM probes) p ON p.pd=d::date GROUP BY 1",
     "bulk_copy_content": W_PROBES
     + f"SELECT * FROM probes WHERE {STAMP}::date BETWEEN date '2024-01-01' AND date '2024-01-31'",
-    "report_lines": W_HEALTH + _report_lines(),
+    "report_lines": W_HEALTH
+    + _report_lines(OVERBYTE_FITS, "series", {"c_": "'meanCpuEff'", "e_": "'meanInputGB'"}),
+    "report_network": W_HEALTH
+    + _report_lines(
+        NETWORK_FITS,
+        "'Throughput'",
+        {"c_": "'mean'||series", "e_": "CASE series WHEN 'srcPacket' THEN 'meandestPacket' ELSE 'meandestLatency' END"},
+    ),
     "report_shares": W_HEALTH
     + f"SELECT key_kind, key, concat(key,' occurs ',coalesce(printf('%.6f',{settle_sql('share')}),'nan')) AS line"
     f" FROM ({_shares(OVERBYTE_EFFECTS)})",
@@ -444,6 +451,10 @@ ORACLES: dict[str, str] = {
     "data_site_share": W_HEALTH
     + f"SELECT dest, groups, {settle_sql('groups::double/sum(groups) OVER ()')} AS share FROM"
     f" (SELECT dest, count(*) AS groups FROM (SELECT DISTINCT {SLOT} FROM {SLICED_RECO}) GROUP BY ALL)",
+    "report_data_sites": W_HEALTH
+    + "SELECT dest, concat(dest,' data location ',printf('%.6f',share)) AS line FROM"
+    f" (SELECT dest, {settle_sql('groups::double/sum(groups) OVER ()')} AS share FROM"
+    f" (SELECT dest, count(*) AS groups FROM (SELECT DISTINCT {SLOT} FROM {SLICED_RECO}) GROUP BY ALL))",
     "window_grid": W_JOBS
     + "SELECT beginDate, beginDate+600 AS endDate FROM (SELECT unnest(generate_series("
     "min(JobCurrentStartDate)-600, max(JobFinishedHookDone), 600)) AS beginDate FROM jobs)",

@@ -17,7 +17,7 @@ from gridlens.operators.regression import effect_shares, regress
 from gridlens.plans import copy, intervals, points, regressions, summary
 from gridlens.schemas import DAY, JOB_METRICS, NETWORK_SERIES, PROBES, TASK_TYPES, stat_columns
 from gridlens.session import shared_dir, tune
-from gridlens.sinks.reports import report_lines, share_lines
+from gridlens.sinks.reports import data_site_lines, report_lines, share_lines, side_label
 from gridlens.sinks.tables import append_summary, reset_summary
 from gridlens.sources.stores import all_probes, read_summary
 
@@ -160,6 +160,19 @@ def report_lines_(spark: SparkSession, sf: str) -> DataFrame:
     return report_lines(rounded, keys, {"c_": "meanCpuEff", "e_": "meanInputGB"})
 
 
+@query
+def report_network(spark: SparkSession, sf: str) -> DataFrame:
+    keys = [*regressions.SLOT_KEYS, "series"]
+    fits = _fits(_stored_fits(spark, sf, "network").filter("significant"), keys, ["c_", "e_"])
+    return report_lines(fits, keys, {"c_": side_label("src"), "e_": side_label("dest")}, F.lit("Throughput"))
+
+
+@query
+def report_data_sites(spark: SparkSession, sf: str) -> DataFrame:
+    shares = regressions.data_sites(fx.net_health(spark, sf))
+    return data_site_lines(shares.withColumn("share", settle(F.col("share"))))
+
+
 @query
 def report_shares(spark: SparkSession, sf: str) -> DataFrame:
     return share_lines(_shares(spark, sf, "overbyte").withColumn("share", settle(F.col("share"))))
@@ -547,7 +560,7 @@ def window_day(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sort_probes(spark: SparkSession, sf: str) -> DataFrame:
     found = filters.sited_probes(filters.measured_probes(fx.probe_store(spark, sf)))
-    return sorting.sort_by_time(found.select("event_id", "mtype", "ts_s"), "ts_s")
+    return sorting.sort_by_time(found.select("event_id", "mtype", "ts_s"), "ts_s", "event_id")
 
 
 @query
@@ -560,7 +573,7 @@ def sort_jobs_in_group(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sort_summary_desc(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.net_health(spark, sf).select(*KEYS, *settled("meanCpuEff"))
-    return sorting.sort_latest_first(rows, "beginDate")
+    return sorting.sort_latest_first(rows, "beginDate", *[k for k in KEYS if k != "beginDate"])
 
 
 @query

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sort_by_time(df: DataFrame, column: str) -> DataFrame:
-    return df.orderBy(column)
+def sort_by_time(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Oldest first. Rows of one time follow ``ties``, which also spread them over the tasks."""
+    return df.orderBy(column, *ties)
 
 
-def sort_latest_first(df: DataFrame, column: str) -> DataFrame:
-    return df.orderBy(F.desc(column))
+def sort_latest_first(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Latest first, rows of one time by ``ties``."""
+    return df.orderBy(F.desc(column), *ties)
 
 
 def sort_in_groups(df: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -20,10 +20,10 @@ def _number(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%.6f", value))
 
 
-def _fit_lines(prefix: str, x: Column, y: str) -> list[Column]:
+def _fit_lines(prefix: str, x: Column, y: Column | str) -> list[Column]:
     label = prefix.rstrip("_")
     return [
-        F.concat(F.lit("X: "), x, F.lit(f"  Y: {y}")),
+        F.concat(F.lit("X: "), x, F.lit("  Y: "), F.lit(y) if isinstance(y, str) else y),
         *[
             F.concat(F.lit(f"{label}_{title}: "), _number(F.col(prefix + field)))
             for title, field in FIT_FIELDS
@@ -32,12 +32,12 @@ def _fit_lines(prefix: str, x: Column, y: str) -> list[Column]:
 
 
 def report_lines(
-    fits: DataFrame, keys: list[str], responses: dict[str, str], x: Column | str = "series"
+    fits: DataFrame, keys: list[str], responses: dict[str, Column | str], x: Column | str = "series"
 ) -> DataFrame:
     """The text block of every fit: ``keys`` and ``position, line``.
 
-    ``x`` names what the responses (prefix -> label) were regressed on. Sorting by the keys and
-    the position gives the report.
+    ``x`` names what the responses (prefix -> label, as text or as a column) were regressed on.
+    Sorting by the keys and the position gives the report.
     """
     driver = F.col(x) if isinstance(x, str) else x
     head = [
@@ -52,6 +52,18 @@ def report_lines(
     return fits.select(*keys, F.posexplode(F.array(*head, *body, F.lit(""))).alias("position", "line"))
 
 
+def side_label(side: str) -> Column:
+    """Name of a pooled throughput series' response at one side, e.g. ``meandestPacket``."""
+    return F.concat(F.lit(f"mean{side}"), F.regexp_replace("series", "^src", ""))
+
+
+def data_site_lines(shares: DataFrame) -> DataFrame:
+    """``<site> data location <share>`` for every data site."""
+    return shares.select(
+        "dest", F.concat(F.col("dest"), F.lit(" data location "), _number(F.col("share"))).alias("line")
+    )
+
+
 def share_lines(shares: DataFrame) -> DataFrame:
     """``<key> occurs <share>`` for every counter."""
     return shares.select(

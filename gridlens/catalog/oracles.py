@@ -326,6 +326,8 @@ ORACLES: dict[str, str] = {
     + f"SELECT * FROM probes WHERE {STAMP}::date BETWEEN date '2024-01-01' AND date '2024-01-31'",
     "report_lines": W_HEALTH
     + _report_lines(OVERBYTE_FITS, "series", {"c_": "'meanCpuEff'", "e_": "'meanInputGB'"}),
+    "report_scatter": W_HEALTH
+    + _report_lines(SCATTER_FITS, "series", {"c_": "'meanCpuEff'", "e_": "'meanEventRate'"}),
     "report_network": W_HEALTH
     + _report_lines(
         NETWORK_FITS,

@@ -167,6 +167,13 @@ def report_network(spark: SparkSession, sf: str) -> DataFrame:
     return report_lines(fits, keys, {"c_": side_label("src"), "e_": side_label("dest")}, F.lit("Throughput"))
 
 
+@query
+def report_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    keys = [*regressions.SLOT_KEYS, "series"]
+    fits = _fits(_stored_fits(spark, sf, "scatter").filter("significant"), keys, ["c_", "e_"])
+    return report_lines(fits, keys, {"c_": "meanCpuEff", "e_": "meanEventRate"})
+
+
 @query
 def report_data_sites(spark: SparkSession, sf: str) -> DataFrame:
     shares = regressions.data_sites(fx.net_health(spark, sf))

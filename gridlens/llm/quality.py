@@ -9,10 +9,11 @@ dictionaries know, and bound the memory of a call.
 Labels are used in a sample of at most ``SAMPLE`` texts a class, those of smallest hash, and only of
 rows whose crc32 of the id leaves no ``HELD_OUT`` modulo ``FOLDS``. Each of the other remainders is
 scored by dictionaries of the rest to fit the regression; the final dictionaries use them all. Too
-few pieces to train a dictionary are used as its content instead.
+few pieces to train a dictionary are used as its content instead. A sampled text weighs as many texts
+as its class has for each one sampled, so the sample's size does not set the odds of the classes.
 
-Defined results: a null or empty text scores the share of good labels (a half without labels); so
-do all texts when a class has no labelled text; a null id is not held out; a null label is none, of
+Defined results: a null or empty text scores the share of good labels (a half without labels),
+counted over all labelled texts that are not held out; so do all texts when a class has no labelled text; a null id is not held out; a null label is none, of
 several labels of one id the smallest counts; repeated rows are scored alike; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -126,15 +127,17 @@ def _fold_features(dictionaries: dict[int, tuple[bytes, bytes]]):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.1) -> tuple[float, ...]:
-    """Newton steps on standardised features; the weights returned are for the features as they are."""
-    mean, spread = x.mean(0), x.std(0) + 1e-9
+def _logistic(x: np.ndarray, y: np.ndarray, stands_for: np.ndarray, rounds: int = 30, ridge: float = 0.1) -> tuple[float, ...]:
+    """Newton steps on standardised features, a row as often as it ``stands_for``; the weights returned
+    are for the features as they are."""
+    mean = np.average(x, 0, stands_for)
+    spread = np.sqrt(np.average((x - mean) ** 2, 0, stands_for)) + 1e-9
     a = np.column_stack([np.ones(len(x)), (x - mean) / spread])
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        curve = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        w += np.linalg.solve(curve, a.T @ (y - p) - ridge * w)
+        curve = (a * (stands_for * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        w += np.linalg.solve(curve, a.T @ (stands_for * (y - p)) - ridge * w)
     own = w[1:] / spread
     return float(w[0] - own @ mean), *own.tolist()
 
@@ -154,6 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .filter(fold(F.col("doc_id")) != HELD_OUT)
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
+    # Labelled texts of each class, of which the sample below is a part: two rows.
+    copies = texts(docs, id_col, text_col).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = copies.join(known, "doc_id").groupBy("quality").agg(F.sum("n").alias("n")).collect()
+    total = {r["quality"]: r["n"] for r in counted}
     order = [F.xxhash64("doc_id"), "doc_id"]
     some = [known.filter(F.col("quality") == q).orderBy(*order).limit(sample) for q in (0, 1)]
     # At most 2 * sample rows of two numbers.
@@ -172,14 +179,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             dictionary([x for f in folds if f != skipped for x in by_class.get((q, f), [])]) for q in (1, 0)
         )
 
-    share = float((taken["quality"] == 1).mean()) if len(taken) else 0.5
+    share = total.get(1, 0) / sum(total.values()) if total else 0.5
     model = Model(*built(None), None, share)
     pairs = {f: built(f) for f in folds}
     pairs = {f: pair for f, pair in pairs.items() if all(pair)}
     schema = "quality int, key bigint, difference double, rate double"
     measured = _limited(rows.mapInArrow(_fold_features(pairs), schema), sample).dropna()
     if measured["quality"].nunique() == 2:
-        model.weights = _logistic(measured[["difference", "rate"]].to_numpy(), measured["quality"].to_numpy(float))
+        sampled = taken["quality"].value_counts()
+        stands_for = measured["quality"].map({q: n / sampled[q] for q, n in total.items() if q in sampled})
+        model.weights = _logistic(
+            measured[["difference", "rate"]].to_numpy(), measured["quality"].to_numpy(float), stands_for.to_numpy(float)
+        )
     return model
 
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -47,6 +48,36 @@ def test_held_out_accuracy(corpus):
     assert found[300] == found[301]
 
 
+def test_sample_does_not_set_the_odds(spark, words):
+    """Classes that overlap, five good texts to a bad one: a sample that holds as many of each class
+    scores as the whole does."""
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(600):
+        good = i % 6 != 0
+        some = rng.choices(words[:260] if good else words[140:], k=rng.randint(5, 12))
+        rows.append((i, " ".join(some), "en", "s", 0.0, 0))
+        labels.append((i, int(good)))
+    rows.append((600, "", "en", "s", 0.0, 0))
+    docs = spark.createDataFrame(rows, ROWS)
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    known = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2]
+    share = sum(i % 6 != 0 for i in known) / len(known)
+    for sample in (quality.SAMPLE, 60):
+        model = quality.fit(docs, labels, sample=sample)
+        scores = {r.doc_id: r.score for r in quality.quality_scores(docs, model).collect()}
+        assert model.share == scores[600] == pytest.approx(share)
+        assert sum(scores[i] for i in known) / len(known) == pytest.approx(share, abs=0.06)
+
+
+def test_weights_are_repeated_rows():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(40, 2)), np.arange(40) % 2.0
+    times = np.where(y == 1, 5, 1)
+    repeated = quality._logistic(np.repeat(x, times, 0), np.repeat(y, times), np.ones(times.sum()))
+    assert quality._logistic(x, y, times.astype(float)) == pytest.approx(repeated)
+
+
 def test_scores_without_labels(spark, corpus):
     docs, labels = corpus
     model = quality.fit(docs, labels.limit(0))

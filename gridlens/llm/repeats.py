@@ -11,9 +11,12 @@ distinct contexts is settled by its single 100-byte strings instead, each by its
 
 Hashes of 64 bits choose and gather, 128 bits compare whole contexts.
 
-Defined results: a null text is empty; rows that share an id are ordered by the hash of their text,
-rows of equal id and text are one document, each reported; null ids are after all others; other
-columns are ignored; an empty table gives an empty result.
+A document is told by its id and the hash of its text (``text_key``), so that rows of one id, or
+without an id, are as many documents as they have different texts.
+
+Defined results: a null text is empty; rows that share an id are ordered by the xxhash64 of their
+text, rows of equal id and text are one document, each reported; null ids are after all others;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import passes, raw, sliding_min, table, texts, window_hashes, written
+from gridlens.llm.common import mixed, passes, raw, sliding_min, table, texts, window_hashes, written
 
 LENGTH = 100
 K = 32
@@ -89,13 +92,14 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         lengths = np.diff(raw(batch.column(1))[1])
-        ids = batch.column(0).to_numpy()
+        ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for row, places, hashes in _minimizers_of(batch.column(1)):
             if lengths[row] >= LENGTH and len(places):
-                out.append((hashes.view(np.int64), np.full(len(places), ids[row]), places.astype(np.int32)))
+                own = (np.full(len(places), x[row]) for x in (ids, keys))
+                out.append((hashes.view(np.int64), *own, places.astype(np.int32)))
         if out:
             columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["mark", "doc", "place"])
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "doc", "text_key", "place"])
 
 
 def _filter_bits(rows: DataFrame, *keys: str) -> np.ndarray:
@@ -135,12 +139,16 @@ CONTEXTS = (
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Context of each repeated minimizer of a text: mark, place and the bytes around it."""
+    before_it = None
     for batch in batches:
         out: list[tuple] = []
         for row, data in _documents(batch.column(1)):
-            doc, body = batch.column(0)[row].as_py(), data.tobytes()
-            key = xxhash.xxh3_64_intdigest(body) - (1 << 63)
-            marks, places = batch.column(2)[row], batch.column(3)[row]
+            doc, key, body = batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), data.tobytes()
+            # Rows of one document mostly follow each other; one of them is enough.
+            if (doc, key) == before_it:
+                continue
+            before_it = doc, key
+            marks, places = batch.column(3)[row], batch.column(4)[row]
             for mark, place in zip(marks.values.to_numpy().tolist(), places.values.to_numpy().tolist(), strict=True):
                 start = max(0, place - SIDE)
                 context = body[start : place + LENGTH]
@@ -261,7 +269,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     column = {c: rows.column(c).to_numpy() for c in ("mark", "doc", "text_key", "place", "before")}
-    rank = np.lexsort((column["text_key"], column["place"], column["doc"]))
+    rank = np.lexsort((column["place"], column["text_key"], column["doc"]))
     order = np.empty(len(rank), np.int64)
     order[rank] = np.arange(len(rank))
     out = []
@@ -298,18 +306,20 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc``, ``text_key``, ``start``, ``stop``: bytes of ``docs`` (``doc``, ``text``) that a string
-    with an earlier place covers. Spans overlap."""
-    sampled = docs.mapInArrow(_sample, "mark bigint, doc bigint, place int")
+    """``doc``, ``text_key``, ``start``, ``stop``: bytes of ``docs`` (``doc``, ``text``, ``text_key``)
+    that a string with an earlier place covers. Spans overlap."""
+    sampled = docs.mapInArrow(_sample, "mark bigint, doc bigint, text_key bigint, place int")
     counted = sampled.groupBy("mark").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
     marks = written(sampled.join(counted.select("mark"), "mark"), "repeat-marks")
-    lists = marks.groupBy("doc").agg(F.collect_list(F.struct("mark", "place")).alias("all"))
-    lists = lists.select("doc", F.col("all.mark").alias("marks"), F.col("all.place").alias("places"))
-    at_marks = _only_marked(docs, marks, "doc").join(lists, "doc").select("doc", "text", "marks", "places")
+    # One text's places a list: rows of one document repeat them, other texts of the id have their own.
+    text = ["doc", "text_key"]
+    lists = marks.groupBy(*text).agg(F.collect_set(F.struct("mark", "place")).alias("all"))
+    lists = lists.select(*text, F.col("all.mark").alias("marks"), F.col("all.place").alias("places"))
+    at_marks = _only_marked(docs, marks, *text).join(lists, text).select("doc", "text", "text_key", "marks", "places")
     seen = written(at_marks.mapInArrow(_contexts, CONTEXTS), "repeat-contexts")
 
     one = ["mark", "c1", "c2"]
-    where = F.struct("doc", "place", "text_key")
+    where = F.struct("doc", "text_key", "place")
     firsts = written(seen.groupBy(*one).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")), "repeat-firsts")
     # Equal contexts: all but the first are repeats as a whole.
     length = F.octet_length("context")
@@ -317,7 +327,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         seen.select(*one, "doc", "text_key", "place", "before", length.alias("length"))
         .filter(F.col("length") >= LENGTH)
         .join(firsts.filter("n > 1").select(*one, "first"), one)
-        .filter(F.struct("doc", "place", "text_key") != F.col("first"))
+        .filter(where != F.col("first"))
         .select("doc", "text_key", (F.col("place") - F.col("before")).alias("start"),
                 (F.col("place") - F.col("before") + F.col("length")).cast("int").alias("stop"))
     )
@@ -334,10 +344,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     strings = heads.filter(F.col("contexts") > GROUP).mapInArrow(
         _strings, "s1 bigint, s2 bigint, doc bigint, text_key bigint, start int"
     )
-    text = ["s1", "s2"]
-    place = F.struct("doc", "start", "text_key")
-    first = strings.groupBy(*text).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
-    many = strings.join(first, text).filter(F.struct("doc", "start", "text_key") != F.col("first"))
+    string = ["s1", "s2"]
+    place = F.struct("doc", "text_key", "start")
+    first = strings.groupBy(*string).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
+    many = strings.join(first, string).filter(place != F.col("first"))
     many = many.select("doc", "text_key", "start", (F.col("start") + LENGTH).alias("stop"))
     return spans.unionByName(many)
 
@@ -377,23 +387,27 @@ def _cut(with_text: bool):
 
 
 def _apart(packed: np.ndarray):
-    """Texts without repeats are digested at once; the others pass on with the key of their text."""
+    """Texts without repeats are digested at once; the others pass on with the key of their text.
+    The digested ones meet no list: what stands for their ``doc`` only spreads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = _marked(packed, batch.column(3).to_numpy())
+            marked = _marked(packed, batch.column(4).to_numpy())
+            spread = mixed(np.arange(batch.num_rows, dtype=np.uint64)).view(np.int64)
+            doc = pa.array(np.where(marked, batch.column(0).to_numpy(), spread))
+            key = pa.array(batch.column(3).to_numpy(), mask=~marked)
             out = []
             for row, data in _documents(batch.column(1)):
                 body = data.tobytes()
                 if marked[row]:
-                    out.append((len(data), xxhash.xxh3_64_intdigest(body) - (1 << 63), body.decode("utf-8"), None))
+                    out.append((len(data), body.decode("utf-8"), None))
                 else:
-                    out.append((len(data), 0, None, hashlib.sha256(body).hexdigest()))
-            kinds = [pa.int64()] * 2 + [pa.string()] * 2
-            columns = zip(*out, strict=True) if out else [[]] * 4
+                    out.append((len(data), None, hashlib.sha256(body).hexdigest()))
+            kinds = [pa.int64()] + [pa.string()] * 2
+            n_bytes, text, sha = zip(*out, strict=True) if out else [[]] * 3
+            body = [pa.array(c, k) for c, k in zip((n_bytes, text, sha), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                ["doc", "doc_id", "n_bytes", "text_key", "text", "sha"],
+                [doc, batch.column(2), body[0], key, *body[1:]], ["doc", "doc_id", "n_bytes", "text_key", "text", "sha"]
             )
 
     return run
@@ -402,15 +416,16 @@ def _apart(packed: np.ndarray):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and the kept ``text``)."""
     named = texts(docs, id_col, text_col)
-    every = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", "doc_id")
-    spans = written(repeated_spans(every.select("doc", "text")), "repeat-spans")
-    marked = np.full(FILTER_BITS // 64, -1, np.int64) if with_text else _filter_bits(spans, "doc")
-    ways = _with_bit(every, "doc").mapInArrow(
+    own = ["doc", "text_key"]
+    every = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", "doc_id", F.xxhash64("text").alias("text_key"))
+    spans = repeated_spans(every.select("doc", "text", "text_key"))
+    lists = spans.groupBy(*own).agg(F.collect_set(F.struct("start", "stop")).alias("all"))
+    lists = written(lists.select(*own, F.col("all.start").alias("starts"), F.col("all.stop").alias("stops")), "repeat-spans")
+    marked = np.full(FILTER_BITS // 64, -1, np.int64) if with_text else _filter_bits(lists, *own)
+    ways = _with_bit(every, *own).mapInArrow(
         _apart(marked), "doc bigint, doc_id bigint, n_bytes bigint, text_key bigint, text string, sha string"
     )
-    lists = spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("all"))
-    lists = lists.select("doc", "text_key", F.col("all.start").alias("starts"), F.col("all.stop").alias("stops"))
-    whole = ways.join(lists, ["doc", "text_key"], "left")
+    whole = ways.join(lists, own, "left")
     return whole.select("doc_id", "n_bytes", "text", "sha", "starts", "stops").mapInArrow(_finish(with_text), KEPT)
 
 

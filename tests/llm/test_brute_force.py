@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -143,6 +144,37 @@ def test_repeats(corpus, group, monkeypatch):
     assert sum(x[2] for x in expected.values()) > 1000
 
 
+@pytest.mark.parametrize("group", [repeats.GROUP, 2])
+def test_repeats_of_null_and_repeated_ids(spark, group, monkeypatch):
+    """Different texts of one id, or without an id, are cut at their own places only, and come in the
+    order of their hashes; equal rows are one document."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = random.Random(13)
+    passage, other = ("".join(rng.choices("abcdefgh ", k=n)) for n in (400, 150))
+
+    def fresh(n):
+        return "".join(rng.choices("ijklmnop ", k=n))
+
+    rows = [(1, fresh(50) + passage), (7, fresh(900) + passage), (7, passage[:120]), (7, other + fresh(30)), (7, fresh(300))]
+    rows += [(None, fresh(700) + passage + other), (None, ""), (None, None), (None, "short"), (None, fresh(250))]
+    rows += [(None, other), (None, passage[100:300] + fresh(20)), (9, other + other), (9, other + other)]
+    rows += [(None, passage + "twice")] * 3
+
+    def order(row):
+        key = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+        return row[0] is None, row[0] or 0, key - (1 << 64) * (key >> 63)
+
+    single = sorted({(doc, text or "") for doc, text in rows}, key=order)
+    expected = plain_repeats([(i, text, None) for i, (_, text) in enumerate(single)])
+    expected = [(single[i][0], *x[1:]) for i, x in expected.items()]
+    times = [sum((doc, text or "") == x for doc, text in rows) for x in single]
+    expected = [x for x, n in zip(expected, times, strict=True) for _ in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for with_text in (False, True):
+        found = [tuple(r)[:5] for r in repeats.remove_repeats(docs, with_text=with_text).collect()]
+        assert sorted(found, key=str) == sorted(expected, key=str)
+
+
 def test_jaccard(corpus):
     docs, rows = corpus
     found = by_id(jaccard.jaccard_components(docs))

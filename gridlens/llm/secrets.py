@@ -73,13 +73,10 @@ def scan(rows: DataFrame, owner: Column, repository: Column) -> DataFrame:
     base = F.col("kind") < 3
     kept = F.when(F.col("kind") == 0, F.char_length("value") >= ASSIGN_CHARS).otherwise(base | _looks_random(F.col("value")))
     spans = spans.filter(kept)
-    # A marked match explains the token inside it.
+    # A marked match explains the token inside it, not one that goes on before or after it.
     in_order = Window.partitionBy("row").orderBy("start", "kind")
     ended = F.max(F.when(base, F.col("end"))).over(in_order)
-    following = F.min(F.when(base, F.col("start"))).over(
-        Window.partitionBy("row").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-    clear = (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (F.coalesce(following, F.col("end")) >= F.col("end"))
+    clear = F.coalesce(ended, F.lit(0)) < F.col("end")
     return (
         spans.withColumn("clear", base | clear)
         .filter("clear")

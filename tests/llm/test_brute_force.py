@@ -264,6 +264,27 @@ def test_syncmers(corpus, spark, tmp_path_factory):
         assert prints.setdefault(text, row.fingerprint) == row.fingerprint
 
 
+def test_anchors(corpus):
+    """All closed syncmers of each text with their places, by their definition; the fingerprint is
+    made of the smallest; a short text is its own anchor."""
+    docs, rows = corpus
+    rows = [x for x in rows if len(x[1]) < 2000]
+    found: dict = {}
+    for r in syncmers.anchors(docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 2000)).collect():
+        found.setdefault(r.doc_id, {})[r.position] = r.anchor % (1 << 64)
+    for doc, text, _ in rows:
+        body, own = text.encode(), found.get(doc, {})
+        if len(body) < syncmers.K:
+            assert sorted(own) == ([0] if body else [])
+        else:
+            inner = syncmers.window_hashes(np.frombuffer(body, np.uint8), syncmers.S).tolist()
+            width = syncmers.K - syncmers.S + 1
+            windows = [inner[i : i + width] for i in range(len(body) - syncmers.K + 1)]
+            assert sorted(own) == [i for i, w in enumerate(windows) if min(w) in (w[0], w[-1])]
+        smallest = [x >> 32 for x in sorted(set(own.values()))[: syncmers.KEPT]]
+        assert syncmers.fingerprints([body])[0].tolist() == smallest
+
+
 def test_empty_tables(spark, corpus):
     none = corpus[0].filter(F.lit(False))
     for operator in (jaccard.jaccard_components, repeats.remove_repeats, mixing.mix_sources, mixing.mixed_rows,

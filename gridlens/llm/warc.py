@@ -9,7 +9,8 @@ The join sorts no URL as a whole: time is cut at quantiles, each (URL, slice) pa
 and the last response of the slices before it is carried in from one small aggregate.
 
 Defined results: null URLs match nothing; records of equal time follow their id; a revisit without
-any validator in common with the response does not resolve; repeated rows are separate records;
+any validator in common with the response does not resolve; entity tags agree as weak ones, with or
+without ``W/``; repeated rows are separate records;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import table
+from gridlens.llm.common import table, written
 
 # Slices of time: each (URL, slice) pair is one group, a URL has at most this many carried rows.
 SLICES = 256
@@ -56,9 +57,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Every revisit with its response.
 
     ``records``: ``record_id``, ``time`` (bigint), ``url``, ``kind`` ('response' or 'revisit'),
-    ``headers`` (map, names in lower case), ``body_chars``. Result: ``record_id``,
-    ``canonical_url``, ``response_id``, ``outcome`` ('resolved', 'changed', 'no response'),
-    ``headers``, ``body_chars``.
+    ``headers`` (map, names in lower case), ``body_chars`` and, if there is one, ``body``. Result:
+    ``record_id``, ``canonical_url``, ``response_id``, ``outcome`` ('resolved', 'changed', 'no
+    response'), ``headers``, ``body_chars`` and ``body`` if it was given. Bodies are joined last.
     """
     own = records.select(
         F.col("record_id").cast("bigint"), F.col("time").cast("bigint"), canonical_url(F.col("url")).alias("canonical_url"),
@@ -78,7 +79,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     near = placed.withColumn("near", F.last(offered, True).over(before)).filter("kind = 'revisit'")
     found = near.join(carried, ["canonical_url", "slice"], "left").withColumn("full", F.coalesce("near", "carried"))
     same = [
-        F.col("headers")[name] == F.col("full.full_headers")[name] for name in ("etag", "last-modified")
+        F.regexp_replace(F.col("headers")["etag"], "^W/", "") == F.regexp_replace(F.col("full.full_headers")["etag"], "^W/", ""),
+        F.col("headers")["last-modified"] == F.col("full.full_headers")["last-modified"],
     ]
     # Validators that both records have must agree, and at least one must be there.
     agrees = F.coalesce(same[0], same[1], F.lit(False)) & F.coalesce(same[1], F.lit(True))
@@ -86,12 +88,24 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     fresh = F.map_filter("headers", lambda k, _: ~k.isin(BODY_HEADERS))
     kept = F.map_filter("full.full_headers", lambda k, _: ~F.map_contains_key(fresh, k))
     ok = F.col("outcome") == "resolved"
-    return found.withColumn("outcome", outcome).select(
+    resolved = found.withColumn("outcome", outcome).select(
         "record_id", "canonical_url",
         F.when(ok, F.col("full.record_id")).alias("response_id"), "outcome",
         F.when(ok, F.map_concat(kept, fresh)).otherwise(F.col("headers")).alias("headers"),
         F.when(ok, F.col("full.full_chars")).alias("body_chars"),
     )
+    if "body" not in records.columns:
+        return resolved
+    # Written, so that a response with many revisits is a join of two scans, which Spark can split.
+    bodies = written(
+        records.filter("kind = 'response'")
+        .groupBy(F.col("record_id").cast("bigint").alias("response_id"))
+        .agg(F.min("body").alias("body")),
+        "revisit-bodies",
+    )
+    return resolved.join(bodies, "response_id", "left").select(
+        "record_id", "canonical_url", "response_id", "outcome", "headers", "body_chars", "body"
+    )
 
 
 def page_records(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ fixed size (``BUCKETS``); grams of one bucket follow by hash.
 Texts of equal words are one node. Large groups of near copies are not expanded into pairs: in a
 few rounds every node is verified with one partner of another component, chosen by shared prefix
 grams. Buckets that then hold a single component can add nothing. In all others every remaining
-pair between components is compared, so no link between components is lost.
+pair between components is compared, so no link between components is lost. Pairs inside a component
+that is already connected are not verified: the result has components, not a list or count of links.
 
 Grams are compared by 64-bit hashes; pairs are verified once, on whole sets.
 

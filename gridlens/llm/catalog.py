@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlens.llm.byte_pairs import op4_byte_pairs
 from gridlens.llm.jaccard import op7_jaccard_join
+from gridlens.llm.licenses import op13_licenses
 from gridlens.llm.mixing import op8_mixing
 from gridlens.llm.nearest import OP2_SQL, op2_nearest
 from gridlens.llm.quality import op3_quality
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_revisits": op9_revisits,
     "op10_syncmers": op10_syncmers,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLES: dict[str, str] = {

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridlens.llm.alignment import op11_alignment
 from gridlens.llm.byte_pairs import op4_byte_pairs
 from gridlens.llm.jaccard import op7_jaccard_join
 from gridlens.llm.licenses import op13_licenses
 from gridlens.llm.mixing import op8_mixing
 from gridlens.llm.nearest import OP2_SQL, op2_nearest
 from gridlens.llm.quality import op3_quality
+from gridlens.llm.ranking import OP12_SQL, op12_ranking
 from gridlens.llm.repeats import op6_repeats
 from gridlens.llm.secrets import op5_secrets
 from gridlens.llm.syncmers import op10_syncmers
@@ -29,10 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_revisits": op9_revisits,
     "op10_syncmers": op10_syncmers,
+    "op11_alignment": op11_alignment,
+    "op12_ranking": op12_ranking,
     "op13_licenses": op13_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op2_nearest": OP2_SQL,
     "op9_revisits": OP9_SQL,
+    "op12_ranking": OP12_SQL,
 }

@@ -6,6 +6,9 @@ token of the same bytes: for these an array computed from the two vocabularies g
 counting is adding to a vector as long as the vocabulary. Only links of other groups, and those of
 tokens whose bytes have two ids, are counted as pairs in a shuffle.
 
+Between a word and the blanks before the next both tokenizers end a token, so the stretches from one
+such place to the next are aligned once each and looked up again; a worker keeps a bounded table.
+
 To judge the links of every document by the counts, the vectors and the most frequent pairs (a fixed
 number) are sent to the documents. The pairs left are joined with their counts; each of them has at
 most one in ``FREQUENT_PAIRS`` of all links, so no key of that join is hot.
@@ -33,9 +36,15 @@ from gridlens.llm.common import passes, raw, table, texts, written
 
 # Pairs whose counts go to every task beside the vectors.
 FREQUENT_PAIRS = 1 << 16
-# Text bytes aligned at once, and characters after which a long text is cut at the next safe place.
-PASS_BYTES = 1 << 18
-CUT_CHARS = 1 << 18
+# Text bytes aligned at once, and characters that go to a tokenizer as one text.
+PASS_BYTES = 1 << 20
+JOINED_CHARS = 1 << 16
+# Stretches a worker keeps, and their characters; both bound its memory (about 250 MB).
+KEPT_STRETCHES = 400_000
+KEPT_CHARS = 6_000_000
+
+# A stretch: up to the last of some blanks' place that follows a word and leads to another word.
+STRETCH = re.compile(r"\s*\S+(?:(?! +\S)\s+\S+)*(?:\s+\Z)?")
 
 SCHEMA = (
     "doc_id bigint, is_vector boolean, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string,"
@@ -62,9 +71,8 @@ class Vocabularies:
             b"" if hidden[i] else bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode()
             for i, x in enumerate(pieces)
         ]
-        # Places between a word and the blanks before the next are ends of tokens in both tokenizers
-        # as long as no piece of the second goes on over blanks after a word.
-        self.cuts = None if any(re.search("[^▁]▁", x) for x in pieces) else re.compile(r"(?<=\S)(?= +\S)")
+        # A piece of the second that went on over blanks after a word would join two stretches.
+        self.stretches = not any(re.search("[^▁]▁", x) for x in pieces)
         self.a_length = np.array([len(x) for x in self.a_text], np.int64)
         self.b_length = np.array([len(x) for x in self.b_text], np.int64)
         by_text: dict[bytes, int] = {}
@@ -76,53 +84,127 @@ class Vocabularies:
         self.words = [f"{i},".encode() for i in range(len(self.a_text))] + [f"{i}|".encode() for i in range(len(self.a_text))]
         self.words += [f"{i},".encode() for i in range(len(pieces))] + [f"{i};".encode() for i in range(len(pieces))]
 
-    def parts(self, text: str) -> list[str]:
-        """``text`` in parts of limited length that both tokenizers treat like the whole."""
-        if self.cuts is None or len(text) <= CUT_CHARS:
-            return [text]
-        out, begin = [], 0
-        while begin < len(text):
-            found = self.cuts.search(text, begin + CUT_CHARS)
-            end = found.start() if found else len(text)
-            out.append(text[begin:end])
-            begin = end
-        return out
-
-    def encode(self, rows: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both tokenizers for each text after a blank; none where the bytes differ from it."""
-        whole = [f" {x}" if x else "" for x in rows]
-        parts = [self.parts(x) if x else [] for x in whole]
-        flat = [p for some in parts for p in some]
-        a = [x.ids for x in self.a.encode_batch_fast(flat, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in flat], num_threads=1) if flat else []
-        none, out, at = np.zeros(0, np.int64), [], 0
-        for text, some in zip(whole, parts, strict=True):
-            ids_a = [i for ids in a[at : at + len(some)] for i in ids]
-            ids_b = [i for ids in b[at : at + len(some)] for i in ids]
-            at += len(some)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all kept stretches."""
+        self.place: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[bytes] = []
+        # Per stretch: tokens of both, groups, whether its bytes agree, and where its links begin.
+        self.counts = np.zeros((0, 4), np.int64)
+        self.starts, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def cut(self, text: str) -> list[str]:
+        """The stretches of a text that begins with a blank."""
+        return (STRETCH.findall(text) if self.stretches else []) or [text]
+
+    def tokens(self, some: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both tokenizers for texts that begin with a blank; None where the bytes differ."""
+        a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
+        b = self.b.encode([x[1:] for x in some], num_threads=1) if some else []
+        out: list[tuple[list[int], list[int]] | None] = []
+        for text, ids_a, ids_b in zip(some, a, b, strict=True):
+            if text == " ":
+                ids_b = [self.b.piece_to_id("▁")]
             data = text.encode()
             equal = (
                 b"".join(map(self.a_text.__getitem__, ids_a)) == data == b"".join(map(self.b_text.__getitem__, ids_b))
             )
-            out.append((np.array(ids_a, np.int64), np.array(ids_b, np.int64)) if equal else (none, none))
+            out.append((ids_a, ids_b) if equal else None)
         return out
 
-    def align(self, rows: list[str]) -> tuple[dict, np.ndarray]:
-        """Per text the columns of ``SCHEMA`` from ``n_a`` on, and the vector of one-to-one links."""
-        found = self.encode(rows)
-        n = len(rows)
-        n_a = np.array([len(a) for a, _ in found], np.int64)
-        n_b = np.array([len(b) for _, b in found], np.int64)
-        a = np.concatenate([x for x, _ in found]) if n else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if n else np.zeros(0, np.int64)
-        ends_a, ends_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+    def encode(self, stretches: list[str]) -> tuple[list[int], list[int], list[bool]]:
+        """Ids of all stretches in a row, and which stretches have any. Stretches that end in a word
+        go to the tokenizers many at a time, as one text."""
+        ids_a: list[int] = []
+        ids_b: list[int] = []
+        good: list[bool] = []
+        at = 0
+        while at < len(stretches):
+            end, size = at, 0
+            while end < len(stretches) and not stretches[end][-1].isspace() and size < JOINED_CHARS:
+                size += len(stretches[end])
+                end += 1
+            end = max(end, at + 1)
+            found = self.tokens(["".join(stretches[at:end])]) if self.stretches else [None]
+            if found[0] is None:
+                found = self.tokens(stretches[at:end])
+                good += [x is not None for x in found]
+            else:
+                good += [True] * (end - at)
+            for x in found:
+                if x is not None:
+                    ids_a += x[0]
+                    ids_b += x[1]
+            at = end
+        return ids_a, ids_b, good
+
+    def keep(self, stretches: list[str]) -> None:
+        """Align new stretches and add them to the table."""
+        ids_a, ids_b, good = self.encode(stretches)
+        n = len(stretches)
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        bytes_ = np.array([len(x.encode()) if ok else 0 for x, ok in zip(stretches, good, strict=True)], np.int64)
+        ends, ends_a, ends_b = np.cumsum(bytes_), np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
         alone = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1)
         link_a, link_b = a[last_a], b[last_b]
         is_same = alone & (self.same[link_a] == link_b)
-        doc = np.searchsorted(np.cumsum(n_a), last_a, "right")
-        size_a, size_b = len(self.a_text), len(self.b_text)
+        # Links of the same bytes are named by the first id, others by a number beyond the vocabulary.
+        links = np.where(is_same, link_a, len(self.a_text) + link_a * len(self.b_text) + link_b)
+        sizes = [
+            np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (ends_a, ends_b, both)
+        ]
+        n_a, n_b, n_groups = sizes
+        self.groups += self.written(a, b, last_a, last_b, n_a + n_b)
+        self.counts = np.concatenate([self.counts, np.column_stack([*sizes, np.array(good, np.int64).reshape(n)])])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n_groups)])
+        self.links = np.concatenate([self.links, links])
+        first = len(self.place)
+        self.place.update(zip(stretches, range(first, first + n), strict=True))
+        self.chars += sum(map(len, stretches))
+
+    def written(self, a, b, last_a, last_b, sizes) -> list[bytes]:
+        """Each stretch's groups as text: tokens in the order of their groups, the first tokenizer's
+        before the second's."""
+        is_last_a, is_last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        is_last_a[last_a], is_last_b[last_b] = 1, 1
+        group_a, group_b = np.cumsum(is_last_a) - is_last_a, np.cumsum(is_last_b) - is_last_b
+        before_b = np.append(0, last_b + 1)  # tokens of the second in the groups before one
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + before_b[group_a]] = a + is_last_a * len(self.a_text)
+        codes[np.arange(len(b)) + last_a[group_b] + 1] = b + is_last_b * len(self.b_text) + 2 * len(self.a_text)
+        ends = np.cumsum(sizes).tolist()
+        word, flat = self.words.__getitem__, codes.tolist()
+        return [b"".join(map(word, flat[i:j])) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def align(self, rows: list[str]) -> tuple[dict, np.ndarray]:
+        """Per text the columns of ``SCHEMA`` from ``n_a`` on, and the vector of one-to-one links."""
+        if len(self.place) > KEPT_STRETCHES or self.chars > KEPT_CHARS:
+            self.forget()
+        cuts = [self.cut(f" {x}") if x else [] for x in rows]
+        missing = set().union(*cuts).difference(self.place)
+        if missing:
+            self.keep(sorted(missing))
+        n, size_a, size_b = len(rows), len(self.a_text), len(self.b_text)
+        place = self.place.__getitem__
+        codes = [list(map(place, x)) for x in cuts]
+        lengths = np.array([len(x) for x in codes], np.int64)
+        flat = np.array([c for x in codes for c in x], np.int64)
+        doc = np.repeat(np.arange(n), lengths)
+        bad = np.zeros(n, bool)
+        bad[doc[self.counts[flat, 3] == 0]] = True
+        use = ~bad[doc]
+        flat, doc = flat[use], doc[use]
+        ends = np.searchsorted(doc, np.arange(n + 1))
+        sums = np.diff(np.vstack([np.zeros((1, 3), np.int64), np.cumsum(self.counts[flat, :3], 0)])[ends], axis=0)
+        # The links of every stretch, in the order of the text.
+        held = self.counts[flat, 2]
+        at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.starts[flat], held)
+        link, doc_of = self.links[at], np.repeat(doc, held)
+        is_same = link < size_a
 
         def per_doc(docs: np.ndarray, keys: np.ndarray, width: int) -> tuple[pa.Array, pa.Array]:
             """Distinct keys of each text, and how often each."""
@@ -132,32 +214,18 @@ class Vocabularies:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values % width).cast(kind))
             return lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.int64)))
 
-        same, same_n = per_doc(doc[is_same], link_a[is_same], size_a)
-        pairs, pairs_n = per_doc(doc[~is_same], link_a[~is_same] * size_b + link_b[~is_same], size_a * size_b)
-        groups = np.bincount(doc, minlength=n).astype(np.int64)
+        same, same_n = per_doc(doc_of[is_same], link[is_same], size_a)
+        pairs, pairs_n = per_doc(doc_of[~is_same], link[~is_same] - size_a, size_a * size_b)
+        digests = [
+            hashlib.sha256(b"".join(map(self.groups.__getitem__, x))[:-1]).hexdigest() if x and not skip else ""
+            for x, skip in zip(codes, bad.tolist(), strict=True)
+        ]
+        n_a, n_b, groups = (pa.array(sums[:, i]) for i in range(3))
         columns = {
-            "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(groups), "n_links": pa.array(groups),
-            "groups_sha256": pa.array(self.digests(a, b, last_a, last_b, n_a, n_b), pa.string()),
+            "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": groups, "groups_sha256": pa.array(digests, pa.string()),
             "same": same, "same_n": same_n, "pairs": pairs, "pairs_n": pairs_n,
         }
-        return columns, np.bincount(link_a[is_same], minlength=size_a)
-
-    def digests(self, a, b, last_a, last_b, n_a, n_b) -> list[str]:
-        """SHA-256 of each text's groups: tokens in the order of their groups, the first tokenizer's
-        before the second's."""
-        is_last_a, is_last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        is_last_a[last_a], is_last_b[last_b] = 1, 1
-        group_a, group_b = np.cumsum(is_last_a) - is_last_a, np.cumsum(is_last_b) - is_last_b
-        before_b = np.append(0, last_b + 1)  # tokens of the second in the groups before one
-        codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + before_b[group_a]] = a + is_last_a * len(self.a_text)
-        codes[np.arange(len(b)) + last_a[group_b] + 1] = b + is_last_b * len(self.b_text) + 2 * len(self.a_text)
-        ends = np.cumsum(n_a + n_b).tolist()
-        word, flat = self.words.__getitem__, codes.tolist()
-        return [
-            hashlib.sha256(b"".join(map(word, flat[i:j]))[:-1]).hexdigest() if j > i else ""
-            for i, j in zip([0, *ends[:-1]], ends, strict=True)
-        ]
+        return columns, np.bincount(link[is_same], minlength=size_a)
 
 
 _LOADED: dict[tuple[str, str], Vocabularies] = {}

@@ -85,18 +85,32 @@ def test_links_equal_plain_version(corpus, frequent):
     assert ordered(found) == ordered(plain(rows))
 
 
-def test_long_texts_are_cut_where_both_tokenizers_end(corpus):
+def test_stretches_are_whole_texts_cut_where_both_tokenizers_end(corpus):
     _, rows = corpus
-    both = alignment.loaded(A, B)
-    whole = " ".join(t for _, t in rows if t and "▁" not in t)
-    old, alignment.CUT_CHARS = alignment.CUT_CHARS, 50
-    try:
-        assert len(both.parts(whole)) > 20
-        cut = both.encode([whole])
-    finally:
-        alignment.CUT_CHARS = old
-    plain_a, plain_b = both.encode([whole])[0]
-    assert len(plain_a) and cut[0][0].tolist() == plain_a.tolist() and cut[0][1].tolist() == plain_b.tolist()
+    both = alignment.Vocabularies(A, B)
+    for _, text in rows:
+        if text:
+            cut = both.cut(f" {text}")
+            assert "".join(cut) == f" {text}"
+            whole = both.tokens([f" {text}"])[0]
+            ids_a, ids_b, good = both.encode(cut)
+            assert all(good) == (whole is not None)
+            if whole:
+                assert (list(ids_a), list(ids_b)) == (list(whole[0]), list(whole[1]))
+
+
+def test_a_small_table_gives_the_same_links(corpus, monkeypatch):
+    _, rows = corpus
+    texts = [t or "" for _, t in rows]
+    large, small = alignment.Vocabularies(A, B), alignment.Vocabularies(A, B)
+    want, vector = large.align(texts)
+    monkeypatch.setattr(alignment, "KEPT_STRETCHES", 3)
+    monkeypatch.setattr(alignment, "JOINED_CHARS", 20)
+    found = [small.align([t]) for t in texts]
+    assert len(small.place) < len(large.place)
+    for name in ("n_a", "n_b", "n_groups", "groups_sha256", "same", "same_n", "pairs", "pairs_n"):
+        assert [x for c, _ in found for x in c[name].to_pylist()] == want[name].to_pylist()
+    assert sum(v for _, v in found).tolist() == vector.tolist()
 
 
 def test_vectors_hold_the_one_to_one_links(corpus):

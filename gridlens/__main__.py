@@ -3,47 +3,25 @@
 from __future__ import annotations
 
 import argparse
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridlens import schemas
 from gridlens.operators.regression import effect_shares
 from gridlens.plans import copy, intervals, points, regressions
 from gridlens.plans.summary import build_summary, job_metrics
 from gridlens.session import tune
-from gridlens.sinks.reports import data_site_lines, report_lines, share_lines, side_label, write_lines
+from gridlens.sinks.reports import LAYOUTS, data_site_lines, share_lines, write_lines
 from gridlens.sinks.tables import append_summary, reset_summary, write_points
 from gridlens.sources import sites, stores
 
-# Analysis -> (fits, y labels or how to make them, effects or None, x label or None for the series name).
+# Analysis -> (fits, effects or None); the report's layout has the same name.
 ANALYSES = {
-    "network": (
-        regressions.network_regression,
-        {"c_": partial(side_label, "src"), "e_": partial(side_label, "dest")},
-        regressions.opposed_effects,
-        "Throughput",
-    ),
-    "overbyte": (
-        regressions.overbyte_regression,
-        {"c_": "meanCpuEff", "e_": "meanInputGB"},
-        regressions.negative_effects,
-        None,
-    ),
-    "scatter": (
-        regressions.scatter_regression,
-        {"c_": "meanCpuEff", "e_": "meanEventRate"},
-        regressions.opposed_effects,
-        None,
-    ),
-    "lumosity": (regressions.lumosity_regression, {"c_": "meanCpuEff"}, None, "meanKEvents"),
-    "vslumos": (
-        regressions.vslumos_regression,
-        {"c_": "meanCpuEff", "e_": "meanEventRate"},
-        None,
-        "meanLumosity",
-    ),
+    "network": (regressions.network_regression, regressions.opposed_effects),
+    "overbyte": (regressions.overbyte_regression, regressions.negative_effects),
+    "scatter": (regressions.scatter_regression, regressions.opposed_effects),
+    "lumosity": (regressions.lumosity_regression, None),
+    "vslumos": (regressions.vslumos_regression, None),
 }
 JOB_EVENT_POINTS = {"points_kevent_hr": "CoreHr", "points_kevent_rate": "ChirpCMSSWEventRate"}
 
@@ -73,7 +51,7 @@ def summary(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def regress(spark: SparkSession, args: argparse.Namespace) -> None:
     """Write an analysis' fits, its report and its effect shares."""
-    fit, responses, effects, x = ANALYSES[args.name]
+    fit, effects = ANALYSES[args.name]
     default = schemas.REGRESSION_PERIOD if effects else schemas.SCATTER_PERIOD
     period = _period(args, default)
     table = stores.read_summary(spark, args.summary)
@@ -81,9 +59,7 @@ def regress(spark: SparkSession, args: argparse.Namespace) -> None:
     fits = spark.read.parquet(f"{args.out}/fits")
     keys = [*regressions.SLOT_KEYS, "series"] if effects else regressions.PAIR_KEYS
     reported = fits.filter("significant") if effects else fits
-    labels = {prefix: y() if callable(y) else y for prefix, y in responses.items()}
-    lines = report_lines(reported, keys, labels, "series" if x is None else F.lit(x))
-    write_lines(lines, f"{args.out}/report", [*keys, "position"])
+    write_lines(LAYOUTS[args.name].lines(reported, keys), f"{args.out}/report", [*keys, "position"])
     if effects:
         shares = effect_shares(effects(fits, table, period))
         write_lines(share_lines(shares), f"{args.out}/shares", ["key_kind", "key"])
@@ -104,7 +80,7 @@ def chart_points(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = points.summary_event_points(stores.read_summary(spark, args.summary))
     elif args.name in JOB_EVENT_POINTS:
         rows = points.job_event_points(
-            stores.read_jobs(spark, args.jobs), JOB_EVENT_POINTS[args.name], period
+            stores.read_jobs(spark, args.jobs, period, column="CompletionDate"), JOB_EVENT_POINTS[args.name], period
         )
     else:
         rows = points.task_type_points(

@@ -193,6 +193,12 @@ SCATTER_FITS = _flagged(
         {"c_": "meanCpuEff", "e_": "meanEventRate"},
     )
 )
+LUMOSITY_FITS = _fits(SLICED, PAIR, {"c_": "meanCpuEff"}, "meanKEvents")
+VSLUMOS_FITS = _fits(
+    f"SELECT *, CASE WHEN meanWallClockHr<>0 THEN meanKEvents/meanWallClockHr END AS x FROM {SLICED}",
+    PAIR,
+    {"c_": "meanCpuEff", "e_": "meanEventRate"},
+)
 OPPOSED = "(c_slope>0 AND e_slope<0 OR c_slope<0 AND e_slope>0)"
 
 
@@ -230,7 +236,8 @@ def _content(where: str = "") -> str:
     )
 
 
-def _report_lines(fits: str, x: str, responses: dict[str, str]) -> str:
+def _report_lines(fits: str, x: str, responses: dict[str, str], slots: bool = True) -> str:
+    """Report blocks of the significant fits per slot and series, or of all fits per site pair."""
     number = "coalesce(printf('%.6f', {}),'nan')"
     titles = ["Slope", "Intercept", "R Value", "P Value", "std err"]
     lines = [
@@ -238,17 +245,19 @@ def _report_lines(fits: str, x: str, responses: dict[str, str]) -> str:
         "concat('Workflow: ',Workflow)",
         "concat('Work site: ',src)",
         "concat('Data site: ',dest)",
-        "concat('Slot: ',LastRemoteHost)",
     ]
+    if slots:
+        lines.append("concat('Slot: ',LastRemoteHost)")
     for prefix, y in responses.items():
         lines.append(f"concat('X: ',{x},'  Y: ',{y})")
         lines += [
             f"concat('{prefix}{t}: ',{number.format(prefix + f)})" for t, f in zip(titles, FIT, strict=True)
         ]
     lines.append("''")
-    shown = _show(f"SELECT * FROM ({fits}) WHERE significant", SLOT + ", series", ["c_", "e_"])
+    keys = SLOT + ", series" if slots else PAIR
+    shown = _show(f"SELECT * FROM ({fits})" + " WHERE significant" * slots, keys, list(responses))
     return (
-        f"SELECT {SLOT}, series, unnest(range({len(lines)}))::integer AS position,"
+        f"SELECT {keys}, unnest(range({len(lines)}))::integer AS position,"
         f" unnest([{', '.join(lines)}]) AS line FROM ({shown})"
     )
 
@@ -316,6 +325,9 @@ ORACLES: dict[str, str] = {
     "site_map": W_JOBS
     + "SELECT lower(Site) AS cms_site, grid_site, count(*) AS n FROM jobs LEFT JOIN site_map ON lower(Site)=cms_site"
     " GROUP BY ALL",
+    "site_map_as_of": W_JOBS
+    + "SELECT cms_site, concat('OLD_',grid_site) AS grid_site, count(*) AS n"
+    f" FROM jobs JOIN (SELECT {_columns(fx.SITE_COLUMNS)} FROM region) ON lower(Site)=cms_site GROUP BY ALL",
     "sink_summary": W_HEALTH + _content(),
     "reset_summary": W_HEALTH + _content(),
     "bulk_copy_days": W_PROBES
@@ -346,6 +358,8 @@ ORACLES: dict[str, str] = {
     "filter_time_range": W_JOBS
     + f"SELECT JobId, JobFinishedHookDone FROM jobs WHERE JobFinishedHookDone>{INNER[0]} AND"
     f" JobFinishedHookDone<{INNER[1]}",
+    "filter_completion_range": W_JOBS
+    + f"SELECT JobId, CompletionDate FROM jobs WHERE CompletionDate>{INNER[0]} AND CompletionDate<{INNER[1]}",
     "filter_probe_range": W_PROBES
     + f"SELECT event_id, mtype, timestamp_ms FROM probes WHERE timestamp_ms>{INNER[0] * 1000}"
     f" AND timestamp_ms<{INNER[1] * 1000}",
@@ -479,18 +493,11 @@ ORACLES: dict[str, str] = {
     "network_regression": W_HEALTH + _show(NETWORK_FITS, SLOT + ", series", ["c_", "e_"], ", significant"),
     "overbyte_regression": W_HEALTH + _show(OVERBYTE_FITS, SLOT + ", series", ["c_", "e_"], ", significant"),
     "scatter_regression": W_HEALTH + _show(SCATTER_FITS, SLOT + ", series", ["c_", "e_"], ", significant"),
-    "lumosity_regression": W_HEALTH
-    + _show(_fits(SLICED, PAIR, {"c_": "meanCpuEff"}, "meanKEvents"), PAIR, ["c_"]),
-    "vslumos_regression": W_HEALTH
-    + _show(
-        _fits(
-            f"SELECT *, CASE WHEN meanWallClockHr<>0 THEN meanKEvents/meanWallClockHr END AS x FROM {SLICED}",
-            PAIR,
-            {"c_": "meanCpuEff", "e_": "meanEventRate"},
-        ),
-        PAIR,
-        ["c_", "e_"],
-    ),
+    "lumosity_regression": W_HEALTH + _show(LUMOSITY_FITS, PAIR, ["c_"]),
+    "vslumos_regression": W_HEALTH + _show(VSLUMOS_FITS, PAIR, ["c_", "e_"]),
+    "report_lumosity": W_HEALTH + _report_lines(LUMOSITY_FITS, "'meanKEvents'", {"c_": "'meanCpuEff'"}, False),
+    "report_vslumos": W_HEALTH
+    + _report_lines(VSLUMOS_FITS, "'meanLumosity'", {"c_": "'meanCpuEff'", "e_": "'meanEventRate'"}, False),
     "points_kevent": W_HEALTH + _bucket_points("net_health", "meanKEvents", "meanCpuEff", "meanEventRate"),
     "points_kevent_hr": W_JOBS + _bucket_points(DONE, "KEvents", "CpuEff", "CoreHr"),
     "points_kevent_rate": W_JOBS + _bucket_points(DONE, "KEvents", "CpuEff", "ChirpCMSSWEventRate"),
@@ -503,6 +510,9 @@ ORACLES: dict[str, str] = {
     "interval_series_reduced": _intervals(False),
 }
 
+# However the summary is built, it has the same rows.
+ORACLES["summary_build_skewed"] = ORACLES["summary_build"]
+
 for _name, (_x, _ys) in JOB_POINTS.items():
     ORACLES[_name] = (
         W_HEALTH

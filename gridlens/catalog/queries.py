@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,9 +15,10 @@ from gridlens.operators import filters, joins, probes, reshape, sorting, terms,
 from gridlens.operators.regression import effect_shares, regress
 from gridlens.plans import copy, intervals, points, regressions, summary
 from gridlens.schemas import DAY, JOB_METRICS, NETWORK_SERIES, PROBES, TASK_TYPES, stat_columns
-from gridlens.session import shared_dir, tune
-from gridlens.sinks.reports import data_site_lines, report_lines, share_lines, side_label
+from gridlens.session import fresh_path, tune
+from gridlens.sinks.reports import LAYOUTS, data_site_lines, share_lines
 from gridlens.sinks.tables import append_summary, reset_summary
+from gridlens.sources import sites
 from gridlens.sources.stores import all_probes, read_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,8 @@ GRID = windows.Grid.of(fx.PERIOD)
 # A period inside the test period, so that both bounds cut rows off.
 INNER = (fx.PERIOD[0] + 5 * DAY, fx.PERIOD[0] + 20 * DAY)
 KEYS = ["task_type", "src", "dest", "Workflow", "LastRemoteHost", "beginDate"]
+# Pieces of a series from which the tables of the tests have giants and crowded places.
+SKEWED_LIMIT = 2
 FIT = ["n", "slope", "intercept", "r", "p", "stderr"]
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 BASIC = "yyyyMMdd'T'HHmmss"
@@ -56,10 +58,6 @@ def _text_time(form: str) -> Column:
     return F.date_format(F.timestamp_seconds("ts_s"), form)
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 # Scans
 
 
@@ -96,14 +94,23 @@ def scan_summary_task(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def site_allowlist(spark: SparkSession, sf: str) -> DataFrame:
     ran = fx.job_store(spark, sf).select(F.lower("Site").alias("cms_site"))
-    return terms.count_matches(ran.join(fx.allowlist(spark, sf), "cms_site"), "cms_site")
+    allowed = sites.read_allowlist(spark, f"{fx.site_documents(spark, sf)}/allowed")
+    return terms.count_matches(ran.join(allowed, "cms_site"), "cms_site")
 
 
 @query
 def site_map(spark: SparkSession, sf: str) -> DataFrame:
     ran = fx.job_store(spark, sf).select(F.lower("Site").alias("cms_site"))
-    named = ran.join(fx.site_map(spark, sf), "cms_site", "left")
-    return terms.count_matches(named, "cms_site", "grid_site")
+    names = sites.read_site_map(spark, f"{fx.site_documents(spark, sf)}/names")
+    return terms.count_matches(ran.join(names, "cms_site", "left"), "cms_site", "grid_site")
+
+
+@query
+def site_map_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The site names that held on a day before the newest version."""
+    ran = fx.job_store(spark, sf).select(F.lower("Site").alias("cms_site"))
+    names = sites.read_site_map(spark, f"{fx.site_documents(spark, sf)}/names", "2023-12-31")
+    return terms.count_matches(ran.join(names, "cms_site"), "cms_site", "grid_site")
 
 
 # Sinks
@@ -121,14 +128,14 @@ def _content(table: DataFrame) -> DataFrame:
 
 @query
 def sink_summary(spark: SparkSession, sf: str) -> DataFrame:
-    path = _fresh(spark, "sink")
+    path = fresh_path(spark, "sink")
     append_summary(fx.net_health(spark, sf), path)
     return _content(read_summary(spark, path))
 
 
 @query
 def reset_summary_(spark: SparkSession, sf: str) -> DataFrame:
-    path = _fresh(spark, "reset")
+    path = fresh_path(spark, "reset")
     rows = fx.net_health(spark, sf)
     append_summary(rows, path)
     reset_summary(spark, path, rows.schema)
@@ -138,7 +145,7 @@ def reset_summary_(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bulk_copy_days(spark: SparkSession, sf: str) -> DataFrame:
-    source, target = fx.probe_day_path(spark, sf), _fresh(spark, "copy")
+    source, target = fx.probe_day_path(spark, sf), fresh_path(spark, "copy")
     status = copy.copy_month(tune(spark), source, target, 2024, 1, PROBES)
     return status.select("day", "ok", "rows")
 
@@ -146,32 +153,47 @@ def bulk_copy_days(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bulk_copy_content(spark: SparkSession, sf: str) -> DataFrame:
     """Every field of the copied records, read back from the target."""
-    source, target = fx.probe_day_path(spark, sf), _fresh(spark, "copy")
+    source, target = fx.probe_day_path(spark, sf), fresh_path(spark, "copy")
     copy.copy_month(tune(spark), source, target, 2024, 1, PROBES)
     copied = spark.read.parquet(target)
     return copied.select(*fx.PROBE_COLUMNS, "ts_s", "timestamp_ms")
 
 
+def _slot_report(spark: SparkSession, sf: str, analysis: str) -> DataFrame:
+    keys, layout = [*regressions.SLOT_KEYS, "series"], LAYOUTS[analysis]
+    fits = _fits(_stored_fits(spark, sf, analysis).filter("significant"), keys, list(layout.responses))
+    return layout.lines(fits, keys)
+
+
 @query
 def report_lines_(spark: SparkSession, sf: str) -> DataFrame:
-    fits = _stored_fits(spark, sf, "overbyte").filter("significant")
-    rounded = _fits(fits, [*regressions.SLOT_KEYS, "series"], ["c_", "e_"])
-    keys = [*regressions.SLOT_KEYS, "series"]
-    return report_lines(rounded, keys, {"c_": "meanCpuEff", "e_": "meanInputGB"})
+    return _slot_report(spark, sf, "overbyte")
 
 
 @query
 def report_network(spark: SparkSession, sf: str) -> DataFrame:
-    keys = [*regressions.SLOT_KEYS, "series"]
-    fits = _fits(_stored_fits(spark, sf, "network").filter("significant"), keys, ["c_", "e_"])
-    return report_lines(fits, keys, {"c_": side_label("src"), "e_": side_label("dest")}, F.lit("Throughput"))
+    return _slot_report(spark, sf, "network")
 
 
 @query
 def report_scatter(spark: SparkSession, sf: str) -> DataFrame:
-    keys = [*regressions.SLOT_KEYS, "series"]
-    fits = _fits(_stored_fits(spark, sf, "scatter").filter("significant"), keys, ["c_", "e_"])
-    return report_lines(fits, keys, {"c_": "meanCpuEff", "e_": "meanEventRate"})
+    return _slot_report(spark, sf, "scatter")
+
+
+@query
+def report_lumosity(spark: SparkSession, sf: str) -> DataFrame:
+    return _pair_report(regressions.lumosity_regression(fx.net_health(spark, sf)), "lumosity")
+
+
+@query
+def report_vslumos(spark: SparkSession, sf: str) -> DataFrame:
+    return _pair_report(regressions.vslumos_regression(fx.net_health(spark, sf)), "vslumos")
+
+
+def _pair_report(fits: DataFrame, analysis: str) -> DataFrame:
+    """Every fit of an analysis of site pairs, significant or not."""
+    layout = LAYOUTS[analysis]
+    return layout.lines(_fits(fits, regressions.PAIR_KEYS, list(layout.responses)), regressions.PAIR_KEYS)
 
 
 @query
@@ -202,19 +224,26 @@ def filter_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filter_time_range(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = fx.job_store(spark, sf).filter(filters.in_period(F.col("JobFinishedHookDone"), INNER))
+    jobs = fx.job_store(spark, sf, INNER).filter(filters.in_period(F.col("JobFinishedHookDone"), INNER))
     return jobs.select("JobId", "JobFinishedHookDone")
 
 
+@query
+def filter_completion_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range on a time that is not the one the day folders are named after."""
+    jobs = fx.job_store(spark, sf, INNER, "CompletionDate").filter(filters.in_period(F.col("CompletionDate"), INNER))
+    return jobs.select("JobId", "CompletionDate")
+
+
 @query
 def filter_probe_range(spark: SparkSession, sf: str) -> DataFrame:
-    found = fx.probe_store(spark, sf).filter(filters.in_period_ms(F.col("timestamp_ms"), INNER))
+    found = fx.probe_store(spark, sf, INNER).filter(filters.in_period_ms(F.col("timestamp_ms"), INNER))
     return found.select("event_id", "mtype", "timestamp_ms")
 
 
 @query
 def filter_probe_range_iso(spark: SparkSession, sf: str) -> DataFrame:
-    text = fx.probe_store(spark, sf).withColumn("timestamp", _text_time(ISO))
+    text = fx.probe_store(spark, sf, INNER).withColumn("timestamp", _text_time(ISO))
     parsed = times.parse_probe_time(F.col("timestamp"))
     return text.filter(filters.in_period(parsed, INNER)).select("event_id", "timestamp")
 
@@ -413,9 +442,9 @@ def join_job_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def join_window_probes(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = summary.job_window_stats(_selected(spark, sf), GRID, ["CpuEff"])
+    jobs, placement, _ = summary.job_window_stats(_selected(spark, sf), GRID, ["CpuEff"])
     series = summary.probe_series(fx.probe_store(spark, sf), fx.PERIOD)
-    joined = summary.join_window_probes(jobs, summary.probe_window_stats(series, GRID))
+    joined = summary.join_window_probes(jobs, placement, summary.probe_window_stats(series, GRID))
     return joined.select(*KEYS, *settled("meanCpuEff", *["mean" + s for s in NETWORK_SERIES]))
 
 
@@ -446,7 +475,7 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def top_terms_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = filters.offsite_jobs(fx.job_store(spark, sf)).filter(
+    jobs = filters.offsite_jobs(fx.job_store(spark, sf, INNER)).filter(
         filters.exists_all("ChirpCMSSWEventRate", "InputGB")
         & filters.in_period(F.col("JobFinishedHookDone"), INNER)
     )
@@ -469,7 +498,7 @@ def count_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def job_window_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = summary.union_all(summary.job_window_stats(_selected(spark, sf), GRID, ["CpuEff"]))
+    stats, _, _ = summary.job_window_stats(_selected(spark, sf), GRID, ["CpuEff"])
     return stats.select(*KEYS, *settled(*stat_columns(["CpuEff"])))
 
 
@@ -597,10 +626,20 @@ def unpivot_series(spark: SparkSession, sf: str) -> DataFrame:
 # Data products
 
 
+def _built(spark: SparkSession, sf: str, **limits: int) -> DataFrame:
+    metrics = [*JOB_METRICS, "DiskUsage", "BytesRecvd", *NETWORK_SERIES]
+    return fx.summary(spark, sf, **limits).select(*KEYS, "endDate", *settled(*stat_columns(metrics)))
+
+
 @query
 def summary_build(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = [*JOB_METRICS, "DiskUsage", "BytesRecvd", *NETWORK_SERIES]
-    return fx.summary(spark, sf).select(*KEYS, "endDate", *settled(*stat_columns(metrics)))
+    return _built(spark, sf)
+
+
+@query
+def summary_build_skewed(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary as it is built when places and single series exceed what a task may hold."""
+    return _built(spark, sf, hot_limit=SKEWED_LIMIT)
 
 
 @query
@@ -662,13 +701,13 @@ def points_kevent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def points_kevent_hr(spark: SparkSession, sf: str) -> DataFrame:
-    rows = points.job_event_points(fx.job_store(spark, sf), "CoreHr", fx.PERIOD)
+    rows = points.job_event_points(fx.job_store(spark, sf, fx.PERIOD, "CompletionDate"), "CoreHr", fx.PERIOD)
     return rows.select("bucket", "label", *settled("x", "y"))
 
 
 @query
 def points_kevent_rate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = points.job_event_points(fx.job_store(spark, sf), "ChirpCMSSWEventRate", fx.PERIOD)
+    rows = points.job_event_points(fx.job_store(spark, sf, fx.PERIOD, "CompletionDate"), "ChirpCMSSWEventRate", fx.PERIOD)
     return rows.select("bucket", "label", *settled("x", "y"))
 
 
@@ -681,8 +720,8 @@ def points_task_type(spark: SparkSession, sf: str) -> DataFrame:
 def _intervals(throughput: bool) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = intervals.interval_series(
-            fx.job_store(spark, sf),
-            fx.probe_store(spark, sf),
+            fx.job_store(spark, sf, fx.PERIOD, "CompletionDate"),
+            fx.probe_store(spark, sf, fx.PERIOD),
             fx.allowlist(spark, sf),
             fx.site_map(spark, sf),
             fx.PERIOD,

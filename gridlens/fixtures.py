@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridlens.plans.summary import build_summary
 from gridlens.session import shared_dir, tune
 from gridlens.sinks.tables import append_summary, write_store
+from gridlens.sources.sites import write_sites
 from gridlens.sources.stores import read_jobs, read_probes, read_summary
 
 _STAGING = threading.RLock()
@@ -40,7 +41,7 @@ JOB_COLUMNS = {
     " concat('slot1@glidein_',l_linenumber,'@node',l_suppkey%2) end",
     "JobCurrentStartDate": START,
     "JobFinishedHookDone": START + "+cast(l_quantity as bigint)*600",
-    "CompletionDate": START + "+cast(l_quantity as bigint)*600",
+    "CompletionDate": START + "+cast(l_quantity as bigint)*600+l_linenumber%3*43200",
     "CpuEff": "100*(1-l_discount)*(1-l_tax)",
     "ChirpCMSSWEventRate": "case when l_partkey%13=0 then null else l_extendedprice/l_quantity/100 end",
     "EventRate": "l_extendedprice/l_quantity/100-10",
@@ -125,6 +126,17 @@ def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_map(spark, sf_dir).select("cms_site")
 
 
+def site_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with two versions of the site documents; the older one names every region's site."""
+
+    def write(path: str) -> None:
+        every = _select(table(spark, sf_dir, "region"), SITE_COLUMNS)
+        write_sites(every.withColumn("grid_site", F.concat(F.lit("OLD_"), "grid_site")), path, "2023-01-01")
+        write_sites(site_map(spark, sf_dir), path, "2024-01-01")
+
+    return staged(spark, sf_dir, "sites", write)
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     """Path of a derived table, written once per application and test directory."""
     app = spark.sparkContext.applicationId
@@ -137,34 +149,38 @@ def staged(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], N
     return path
 
 
-def job_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job view as a stored table, by completion day."""
+def job_store(
+    spark: SparkSession, sf_dir: str, period: tuple | None = None, column: str = "JobFinishedHookDone"
+) -> DataFrame:
+    """The job view as a stored table, by the day a job was finished. ``CompletionDate`` may lie on
+    another day; a period on either column finds its folders."""
 
     def write(path: str) -> None:
         day = F.timestamp_seconds("JobFinishedHookDone").cast("date")
         write_store(jobs(spark, sf_dir).withColumn("day", day), path, ["day"])
 
-    return read_jobs(tune(spark), staged(spark, sf_dir, "jobs", write))
+    return read_jobs(tune(spark), staged(spark, sf_dir, "jobs", write), period, column=column)
 
 
-def probe_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def probe_store(spark: SparkSession, sf_dir: str, period: tuple | None = None) -> DataFrame:
     """The probe view as a stored table, by type and day."""
 
     def write(path: str) -> None:
         day = F.timestamp_seconds("ts_s").cast("date")
         write_store(probes(spark, sf_dir).withColumn("day", day), path, ["mtype", "day"])
 
-    return read_probes(tune(spark), staged(spark, sf_dir, "probes", write))
+    return read_probes(tune(spark), staged(spark, sf_dir, "probes", write), period=period)
 
 
-def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary as a lazy plan over the stores."""
+def summary(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
+    """The summary built from the stores."""
     return build_summary(
-        job_store(spark, sf_dir),
-        probe_store(spark, sf_dir),
+        job_store(spark, sf_dir, PERIOD),
+        probe_store(spark, sf_dir, PERIOD),
         allowlist(spark, sf_dir),
         site_map(spark, sf_dir),
         PERIOD,
+        **limits,
     )
 
 

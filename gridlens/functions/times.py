@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens.schemas import DAY, PROBE_VALIDITY
 
@@ -23,6 +24,20 @@ def parse_probe_time(value: Column) -> Column:
     return F.unix_timestamp(parsed)
 
 
+def epoch_millis(value: Column, kind: T.DataType) -> Column:
+    """Epoch milliseconds of a time given as text, timestamp or epoch milliseconds."""
+    if isinstance(kind, T.StringType):
+        return parse_probe_time(value) * 1000
+    return F.unix_millis(value) if isinstance(kind, T.TimestampType) else value.cast("bigint")
+
+
+def epoch_seconds(value: Column, kind: T.DataType) -> Column:
+    """Epoch seconds of the same forms."""
+    if isinstance(kind, T.StringType):
+        return parse_probe_time(value)
+    return F.floor(epoch_millis(value, kind) / F.lit(1000.0))
+
+
 def utc_stamp(value: Column) -> Column:
     """Epoch seconds of ISO text without a zone."""
     return F.unix_timestamp(value, "yyyy-MM-dd'T'HH:mm:ss")
@@ -38,6 +53,12 @@ def day_start(seconds: Column) -> Column:
     return seconds - F.pmod(seconds, F.lit(DAY))
 
 
+def touched_dates(day: Column, first: int, last: int) -> Column:
+    """Dates from that of one epoch second to that of another, both included."""
+    low, high = (F.timestamp_seconds(F.lit(t // DAY * DAY)).cast("date") for t in (first, last))
+    return day.between(low, high)
+
+
 def day_label(seconds: Column) -> Column:
     """``14-February-2017``."""
     return F.date_format(F.timestamp_seconds(seconds), "dd-MMMM-yyyy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.functions.times import to_period
+from gridlens.functions.times import to_period, touched_dates
 from gridlens.schemas import DAY, EVENT_BUCKET, PROBE_TYPES, SIGNIFICANCE, TASK_TYPES
 
 REQUIRED_FIELDS = ["CMSSWKLumis", "ChirpCMSSWEventRate", "InputGB"]
@@ -83,6 +83,12 @@ def within_days(column: Column, period: tuple | None) -> Column:
     return condition
 
 
+def touched_days(day: Column, period: tuple) -> Column:
+    """The dates :func:`within_days` can find rows on."""
+    start, end = to_period(period)
+    return touched_dates(day, start, end + DAY - 1)
+
+
 def bucket_interior(column: Column, width: int = EVENT_BUCKET) -> Column:
     """Inside a value bucket: multiples of the width belong to no bucket."""
     return (column > 0) & (F.pmod(column, F.lit(float(width))) != 0)

@@ -1,7 +1,8 @@
 """Equi joins with the site tables and pruning semi joins.
 
-The site tables hold one row per grid site. Nothing is hinted: adaptive execution broadcasts a
-side once its measured size allows it and shuffles otherwise.
+The site tables hold one row per grid site. Nothing of unknown size is hinted: adaptive execution
+broadcasts a side once its measured size allows it and shuffles otherwise. Probes are first tested
+against a filter of fixed size, in the scan, before any exchange.
 """
 
 from __future__ import annotations
@@ -9,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.session import stored
+
+# Hashes of site pairs a filter tells apart.
+PAIR_HASHES = 1 << 16
+
 
 def first_location(locations: Column) -> Column:
     """First data location of a job; NULL for an empty list."""
@@ -41,12 +47,28 @@ def join_site_names(jobs: DataFrame, site_map: DataFrame) -> DataFrame:
     )
 
 
+def likely_pairs(probes: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Probes whose pair may be among ``pairs``: a filter of at most ``PAIR_HASHES`` hashes, tested
+    where the probes are scanned. It lets few others through as long as pairs are fewer than hashes."""
+
+    def hashed() -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(PAIR_HASHES)).cast("int")
+
+    found = [r[0] for r in pairs.select(hashed().alias("_pair")).distinct().collect()]
+    held = probes.sparkSession.createDataFrame([(h,) for h in found], "_pair int")
+    return probes.withColumn("_pair", hashed()).join(F.broadcast(held), "_pair", "left_semi").drop("_pair")
+
+
 def semi_probe_pairs(probes: DataFrame, named_jobs: DataFrame) -> DataFrame:
-    """Probes between pairs of sites that have jobs."""
-    pairs = named_jobs.select(
-        F.col("grid_src").alias("srcSite"), F.col("grid_dest").alias("destSite")
-    ).distinct()
-    return probes.join(pairs, ["srcSite", "destSite"], "left_semi")
+    """Probes between pairs of sites that have jobs.
+
+    The pairs are written, so their size is known when the join is planned: it is broadcast when
+    small, and no exchange moves the probes. Otherwise only probes that pass the filter move.
+    """
+    keys = ["srcSite", "destSite"]
+    named = named_jobs.select(F.col("grid_src").alias("srcSite"), F.col("grid_dest").alias("destSite"))
+    pairs = stored(named.distinct(), "job-pairs")
+    return likely_pairs(probes, pairs, keys).join(pairs, keys, "left_semi")
 
 
 def pairs_present(summary: DataFrame, keys: list[str]) -> DataFrame:

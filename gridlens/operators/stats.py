@@ -1,34 +1,31 @@
 """Five-number summaries (min, mean, max, median, population std) of intervals per grid cell.
 
-Plan. The input intervals are cut at coarse bucket borders (a few hours) and shuffled once on
-(pair keys, bucket) while they are still whole. Inside a bucket, neighbouring cells covered by the
-same intervals form one segment: a segment is summarised once, then its result is copied to its
-cells. Exploding first would shuffle and aggregate every interval once per cell.
-
-Skew. Measured loads decide the way, and every way gives the same rows:
-
-1. A (pair, bucket) of at most ``hot_limit`` intervals is summarised as above.
-2. A larger one is spread by its full series key first, then summarised the same way.
-3. A single series above the limit is exploded to cells and aggregated with map-side partials; its
-   medians come from :func:`exact_median`, which never holds a group in one place.
+Plan. The input intervals are cut at coarse bucket borders (a few hours) and written once, still
+whole. They are shuffled once on (pair keys, bucket, salt), see :mod:`gridlens.operators.placement`.
+Inside a bucket, neighbouring cells covered by the same intervals of a series form one segment: a
+segment is summarised once, then its result is copied to its cells. Exploding first would shuffle and
+aggregate every interval once per cell.
+
+Skew. A crowded place is spread by its series. A single series above the limit is aggregated per cell
+with map-side partials, and its medians are found by :func:`gridlens.operators.selection.exact_median`,
+which never holds a group in one place. Both kinds read the written pieces, and their results lie in
+the same places, so one join takes both.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlens.operators.placement import Placement
+from gridlens.operators.selection import exact_median
 from gridlens.operators.windows import Grid
-from gridlens.schemas import STATS, stat_columns
+from gridlens.schemas import stat_columns
+from gridlens.session import stored
 
 BUCKET = 6 * 3600
 HOT_LIMIT = 200_000
-PIECES_PER_TASK = 100_000
-RANK_SLACK = 0.001
-SKETCH_ACCURACY = 10_000
 
 
 def moments(metric: str) -> list[Column]:
@@ -45,80 +42,76 @@ def five_numbers(metric: str) -> list[Column]:
     return [*moments(metric), F.median(metric).alias("median" + metric)]
 
 
-def exact_median(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Exact interpolated medians of groups of any size.
-
-    A mergeable quantile sketch brackets the middle ranks of each group. Values below the bracket
-    are only counted, values above it are dropped, and the few inside are counted per distinct
-    value before the ranks are read off their running total. A bracket that missed the middle
-    ranks fails the query rather than giving a wrong median.
-    """
-    values = rows.unpivot(keys, [F.col(m).cast("double").alias(m) for m in metrics], "_m", "_v").filter(
-        F.col("_v").isNotNull()
-    )
-    group = [*keys, "_m"]
-    brackets = values.groupBy(*group).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [0.5 - RANK_SLACK, 0.5 + RANK_SLACK], SKETCH_ACCURACY).alias("_b"),
-    )
-    inside = (
-        values.join(_renamed(brackets, group), _same(group), "inner")
-        .filter(F.col("_v") <= F.col("_b")[1])
-        .withColumn("_v", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")))
-        .groupBy(*group, "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    ranked = inside.withColumn(
-        "_upto",
-        F.sum("_c").over(
-            Window.partitionBy(*group)
-            .orderBy(F.col("_v").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
+def cut_intervals(
+    intervals: DataFrame, t0: str, t1: str, keep: list[str], grid: Grid, bucket: int = BUCKET
+) -> DataFrame:
+    """One row per (interval, bucket it has cells in), with its first and last cell there; written once."""
+    if bucket % grid.step:
+        raise ValueError("bucket must be a multiple of the grid step")
+    low, high = grid.cells_inside(F.col(t0), F.col(t1))
+    origin, span = F.lit(grid.first % grid.step), F.lit(bucket)
 
-    def at_rank(rank: Column) -> Column:
-        here = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-        return F.max(F.when(here, F.col("_v")))
+    def start(cell: str) -> Column:
+        return F.col(cell) - F.pmod(F.col(cell) - origin, span)
 
-    low = at_rank(F.floor((F.col("_n") - 1) / 2))
-    high = at_rank(F.floor(F.col("_n") / 2))
-    medians = ranked.groupBy(*group).agg(((low + high) / 2).alias("_median"))
-    checked = F.coalesce("_median", F.raise_error(F.lit("median bracket missed")).cast("double"))
-    return medians.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_m") == m, checked)).alias("median" + m) for m in metrics]
+    pieces = (
+        intervals.select(*keep, low.alias("_low"), high.alias("_high"))
+        .filter(F.col("_low") <= F.col("_high"))
+        .withColumn("bucket", F.explode(F.sequence(start("_low"), start("_high"), span.cast("bigint"))))
     )
+    first = F.greatest("_low", "bucket")
+    last = F.least(F.col("_high"), F.col("bucket") + F.lit(bucket - grid.step))
+    return stored(pieces.select(*keep, "bucket", first.alias("_first"), last.alias("_last")), "pieces")
 
 
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in df.columns if c not in keys])
-
-
-def _same(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys])
-
-
-def _partitions(df: DataFrame, pieces: int) -> int:
-    """One task per core, or more when a task would get too many intervals."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(cores, -(-pieces // PIECES_PER_TASK))
-
-
-def _segments(pieces: DataFrame, series: list[str], start: Column, stop: Column) -> DataFrame:
-    """One row per (piece, segment inside ``[start, stop)``): the runs between any two neighbouring
-    ends of the series' pieces. A bucket has a fixed number of cells, which bounds the cut lists."""
+def _segments(pieces: DataFrame, series: list[str], step: Column) -> DataFrame:
+    """One row per (piece, segment inside it): the runs between any two neighbouring ends of the
+    series' pieces. A bucket has a fixed number of cells, which bounds the cut lists."""
     whole = Window.partitionBy(*series)
-    ends = pieces.select("*", start.alias("_start"), stop.alias("_stop"))
+    ends = pieces.withColumn("_stop", F.col("_last") + step)
     cuts = F.array_sort(
-        F.array_union(F.collect_set("_start").over(whole), F.collect_set("_stop").over(whole))
+        F.array_union(F.collect_set("_first").over(whole), F.collect_set("_stop").over(whole))
     )
     runs = F.arrays_zip(
-        F.filter("_cuts", lambda c: (c >= F.col("_start")) & (c < F.col("_stop"))),
-        F.filter("_cuts", lambda c: (c > F.col("_start")) & (c <= F.col("_stop"))),
+        F.filter("_cuts", lambda c: (c >= F.col("_first")) & (c < F.col("_stop"))),
+        F.filter("_cuts", lambda c: (c > F.col("_first")) & (c <= F.col("_stop"))),
     )
     return ends.select("*", cuts.alias("_cuts")).select("*", F.inline(runs).alias("_from", "_to"))
 
 
+def cell_stats(
+    pieces: DataFrame, placement: Placement, metrics: list[str], step: int
+) -> DataFrame:
+    """Five-number summaries of ``metrics`` per (series, cell), over the pieces containing the cell.
+
+    Columns: the series, ``salt``, ``beginDate`` and the statistics (NULL values are skipped). Rows
+    lie in the places of ``placement``.
+    """
+    series, width = placement.series, F.lit(step).cast("bigint")
+    columns = [*series, "salt", "beginDate", *stat_columns(metrics)]
+    usual, giant = placement.split(pieces)
+    group = [*series, "salt"]
+    segments = (
+        _segments(placement.placed(placement.salted(usual)), group, width)
+        .groupBy(*group, "_from", "_to")
+        .agg(*[c for m in metrics for c in five_numbers(m)])
+    )
+    cells = F.explode(F.sequence("_from", F.col("_to") - width, width)).alias("beginDate")
+    stats = segments.select("*", cells).select(*columns)
+    if giant is None:
+        return stats
+    key = [*series, "beginDate"]
+    covered = F.explode(F.sequence("_first", "_last", width)).alias("beginDate")
+    basic = giant.select(*series, *metrics, covered).groupBy(*key).agg(*[c for m in metrics for c in moments(m)])
+    medians = exact_median(giant, series, metrics, (F.col("_first"), F.col("_last"), step))
+    renamed = medians.select(*[F.col(k).alias("_r_" + k) for k in key], *["median" + m for m in metrics])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col("_r_" + k))
+    large = placement.salted(basic.join(renamed, same, "left")).select(*columns)
+    return stats.unionByName(placement.placed(large))
+
+
 def interval_window_stats(
     intervals: DataFrame,
     t0: str,
@@ -129,78 +122,13 @@ def interval_window_stats(
     grid: Grid,
     bucket: int = BUCKET,
     hot_limit: int = HOT_LIMIT,
-) -> list[DataFrame]:
+) -> tuple[DataFrame, Placement, DataFrame]:
     """Five-number summaries of ``metrics`` per (pair, keys, cell), over the intervals containing the cell.
 
-    Each part has ``pair + keys + [bucket, beginDate]`` and the statistics (NULL values are
-    skipped); the result is the union of the parts. There is one part unless the data is skewed.
-    The first part is partitioned by (pair, bucket), which a join on these columns can use.
+    Returns the statistics (``pair + [bucket] + keys + [salt, beginDate]`` and one column each), the
+    placement they lie in, and the written pieces.
     """
-    if bucket % grid.step:
-        raise ValueError("bucket must be a multiple of the grid step")
+    pieces = cut_intervals(intervals, t0, t1, [*pair, *keys, *metrics], grid, bucket)
     place = [*pair, "bucket"]
-    series = [*place, *keys]
-    columns = [*series, "beginDate", *stat_columns(metrics)]
-
-    pieces = _cut(intervals, t0, t1, [*pair, *keys, *metrics], grid, bucket)
-    first = F.greatest("_low", "bucket")
-    last = F.least(F.col("_high"), F.col("bucket") + F.lit(bucket - grid.step))
-    step = F.lit(grid.step).cast("bigint")
-
-    def summarise(part: DataFrame) -> DataFrame:
-        stats = (
-            _segments(part, series, first, last + step)
-            .groupBy(*series, "_from", "_to")
-            .agg(*[c for m in metrics for c in five_numbers(m)])
-        )
-        cells = F.explode(F.sequence("_from", F.col("_to") - step, step)).alias("beginDate")
-        return stats.select("*", cells).select(*columns)
-
-    def summarise_large(part: DataFrame) -> DataFrame:
-        group = [*series, "beginDate"]
-        cells = part.select(*series, *metrics, F.explode(F.sequence(first, last, step)).alias("beginDate"))
-        basic = cells.groupBy(*group).agg(*[c for m in metrics for c in moments(m)])
-        medians = _renamed(exact_median(cells, group, metrics), group)
-        return basic.join(medians, _same(group), "left").select(*columns)
-
-    total, largest, loads = _loads(pieces, place)
-    spread = pieces.repartition(_partitions(pieces, total), *place)
-    if largest <= hot_limit:
-        return [summarise(spread)]
-    hot = _renamed(loads.filter(F.col("_n") > hot_limit).select(*place), place)
-    parts = [summarise(spread.join(hot, _same(place), "left_anti"))]
-    crowded = pieces.join(hot, _same(place), "left_semi")
-    total, largest, loads = _loads(crowded, series)
-    by_series = crowded.repartition(_partitions(pieces, total), *series)
-    if largest <= hot_limit:
-        return [*parts, summarise(by_series)]
-    hot = _renamed(loads.filter(F.col("_n") > hot_limit).select(*series), series)
-    return [
-        *parts,
-        summarise(by_series.join(hot, _same(series), "left_anti")),
-        summarise_large(crowded.join(hot, _same(series), "left_semi")),
-    ]
-
-
-def _cut(
-    intervals: DataFrame, t0: str, t1: str, keep: list[str], grid: Grid, bucket: int
-) -> DataFrame:
-    """One row per (interval, bucket it has cells in), with its first and last cell."""
-    low, high = grid.cells_inside(F.col(t0), F.col(t1))
-    origin, span = F.lit(grid.first % grid.step), F.lit(bucket)
-
-    def start(cell: str) -> Column:
-        return F.col(cell) - F.pmod(F.col(cell) - origin, span)
-
-    return (
-        intervals.select(*keep, low.alias("_low"), high.alias("_high"))
-        .filter(F.col("_low") <= F.col("_high"))
-        .withColumn("bucket", F.explode(F.sequence(start("_low"), start("_high"), span.cast("bigint"))))
-    )
-
-
-def _loads(pieces: DataFrame, keys: list[str]) -> tuple[int, int, DataFrame]:
-    """Total and largest number of pieces per key, found by one narrow counting job, and the counts."""
-    loads = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    found = loads.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-    return found.total or 0, found.largest or 0, loads
+    placement = Placement.of(pieces, place, [*place, *keys], hot_limit)
+    return cell_stats(pieces, placement, metrics, grid.step), placement, pieces

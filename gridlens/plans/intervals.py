@@ -13,8 +13,9 @@ from gridlens.operators.filters import (
     measured_probes,
     offsite_jobs,
 )
-from gridlens.operators.joins import join_site_names, semi_data_site, semi_work_site
+from gridlens.operators.joins import join_site_names, likely_pairs, semi_data_site, semi_work_site
 from gridlens.operators.probes import with_side
+from gridlens.session import stored
 
 COLUMNS = ["src", "dest", "series", "t0", "t1", "value"]
 
@@ -58,8 +59,15 @@ def interval_series(
 
     With ``throughput`` the packet-loss and throughput series share a chart, which needs both:
     they appear only for pairs that have both. Without it packet loss stands alone.
+
+    Jobs and probes are scanned once: the rows taken are written, and the pairs are found in them.
+    Probes of other pairs are dropped in the scan; the pairs that are joined are a written table of
+    known size, so the probes are not moved while it is small.
     """
-    named = interval_jobs(jobs, allowlist, site_map, period)
+    fields = ["src", "dest", "grid_src", "grid_dest", "JobCurrentStartDate", "JobFinishedHookDone", "CpuEff"]
+    named = stored(
+        interval_jobs(jobs, allowlist, site_map, period).select(*fields, "ChirpCMSSWEventRate"), "interval-jobs"
+    )
     every = F.lit(True)
     job_rows = named.select(
         "src",
@@ -69,7 +77,7 @@ def interval_series(
         _stack((every, "CpuEff", F.col("CpuEff")), (every, "EventRate", F.col("ChirpCMSSWEventRate"))),
     )
 
-    pairs = named.select("src", "dest", "grid_src", "grid_dest").distinct()
+    pairs = stored(named.select("src", "dest", "grid_src", "grid_dest").distinct(), "interval-pairs")
     t0, t1 = probe_interval(F.col("ts_s"))
     taken = with_side(measured_probes(probes).filter(in_period_ms(F.col("timestamp_ms"), period)))
     mtype = F.col("mtype")
@@ -86,6 +94,7 @@ def interval_series(
             (mtype == "latency", "delay_sd", F.col("delay_sd")),
         ),
     )
+    probe_rows = stored(likely_pairs(probe_rows, pairs, ["grid_src", "grid_dest"]), "interval-probes")
     if throughput:
         shared = ["packet_loss", "throughput"]
         complete = (
@@ -94,10 +103,9 @@ def interval_series(
             .filter(F.col("has_packet_loss") & F.col("has_throughput"))
             .select("grid_src", "grid_dest", F.lit(True).alias("complete"))
         )
-        probe_rows = probe_rows.join(complete, ["grid_src", "grid_dest"], "left").filter(
-            ~F.col("series").isin(shared) | F.col("complete")
-        )
+        pairs = stored(pairs.join(complete, ["grid_src", "grid_dest"], "left"), "interval-complete")
+        wanted = ~F.col("series").isin(shared) | F.coalesce("complete", F.lit(False))
     else:
-        probe_rows = probe_rows.filter(F.col("series") != "throughput")
-    placed = probe_rows.join(pairs, ["grid_src", "grid_dest"])
+        wanted = F.col("series") != "throughput"
+    placed = probe_rows.join(pairs, ["grid_src", "grid_dest"]).filter(wanted)
     return job_rows.select(*COLUMNS).unionByName(placed.select(*COLUMNS))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlens.functions.labels import pair_label
 from gridlens.functions.ratios import mean_lumos
-from gridlens.operators.filters import within_days
+from gridlens.operators.filters import touched_days, within_days
 from gridlens.operators.regression import (
     data_site_share,
     effect_counts,
@@ -26,9 +26,14 @@ PAIR_KEYS = ["day", "src", "dest", "Workflow"]
 
 
 def day_slices(summary: DataFrame, period: tuple | None = None, task: str | None = None) -> DataFrame:
-    """Summary rows inside the period's days, with ``day`` as epoch seconds of its midnight."""
+    """Summary rows inside the period's days, with ``day`` as epoch seconds of its midnight.
+
+    The stored ``day`` is a folder name and follows from ``beginDate``: other days are not listed.
+    """
     if task is not None:
         summary = summary.filter(F.col("task_type") == task)
+    if period is not None and dict(summary.dtypes).get("day") == "date":
+        summary = summary.filter(touched_days(F.col("day"), period))
     return with_day(summary.filter(within_days(F.col("beginDate"), period)), "beginDate")
 
 

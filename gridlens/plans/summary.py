@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +21,11 @@ from gridlens.operators.filters import (
 )
 from gridlens.operators.joins import (
     join_site_names,
+    likely_pairs,
     semi_data_site,
-    semi_probe_pairs,
     semi_work_site,
 )
+from gridlens.operators.placement import Placement
 from gridlens.operators.probes import with_side
 from gridlens.operators.stats import BUCKET, HOT_LIMIT, interval_window_stats
 from gridlens.operators.windows import Grid
@@ -80,8 +79,9 @@ def job_window_stats(
     metrics: list[str],
     bucket: int = BUCKET,
     hot_limit: int = HOT_LIMIT,
-) -> list[DataFrame]:
-    """Job statistics per (task, work site, data site, workflow, host, window), as parts to union."""
+) -> tuple[DataFrame, Placement, DataFrame]:
+    """Job statistics per (task, work site, data site, workflow, host, window), with the placement
+    of their rows and the written pieces of the jobs."""
     return interval_window_stats(
         selected,
         "JobCurrentStartDate",
@@ -125,7 +125,7 @@ def probe_window_stats(
     series: DataFrame, grid: Grid, bucket: int = BUCKET, hot_limit: int = HOT_LIMIT
 ) -> DataFrame:
     """Network statistics per (grid source, grid destination, window); absent series are NULL."""
-    parts = interval_window_stats(
+    stats, _, _ = interval_window_stats(
         series,
         "t0",
         "t1",
@@ -136,18 +136,14 @@ def probe_window_stats(
         bucket=bucket,
         hot_limit=hot_limit,
     )
-    return union_all(parts)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    return stats.drop("salt")
 
 
-def join_window_probes(job_stats: list[DataFrame], probe_stats: DataFrame) -> DataFrame:
+def join_window_probes(job_stats: DataFrame, placement: Placement, probe_stats: DataFrame) -> DataFrame:
     """Job windows with the network statistics of their site pair, if any.
 
-    Both sides are already placed by (pair, bucket), so the wide job rows are not shuffled again;
-    joining the parts before their union keeps it that way when the data is skewed.
+    The job rows stay where they are: the few network rows of a place (at most one per cell of its
+    bucket) are copied to each of its salts and shuffled there.
     """
     network = probe_stats.select(
         F.col("srcSite").alias("grid_src"),
@@ -156,8 +152,8 @@ def join_window_probes(job_stats: list[DataFrame], probe_stats: DataFrame) -> Da
         "beginDate",
         *stat_columns(NETWORK_SERIES),
     )
-    on = ["grid_src", "grid_dest", "bucket", "beginDate"]
-    return union_all([part.join(network, on, "left") for part in job_stats])
+    on = [*placement.place, "salt", "beginDate"]
+    return job_stats.join(placement.placed(placement.copied(network)), on, "left")
 
 
 def build_summary(
@@ -170,13 +166,18 @@ def build_summary(
     bucket: int = BUCKET,
     hot_limit: int = HOT_LIMIT,
 ) -> DataFrame:
-    """The whole summary table, in the column order of its schema."""
+    """The whole summary table, in the column order of its schema.
+
+    Jobs and probes are scanned once each: their pieces are written, and loads, site pairs and
+    statistics are read from these. Probes between pairs without jobs are dropped in the scan.
+    """
     grid = Grid.of(period)
     metrics = job_metrics(jobs)
     selected = select_jobs(jobs, allowlist, site_map, period, tasks)
-    job_stats = job_window_stats(selected, grid, metrics, bucket, hot_limit)
-    series = semi_probe_pairs(probe_series(probes, period), selected)
-    joined = join_window_probes(job_stats, probe_window_stats(series, grid, bucket, hot_limit))
+    job_stats, placement, pieces = job_window_stats(selected, grid, metrics, bucket, hot_limit)
+    pairs = pieces.select(F.col("grid_src").alias("srcSite"), F.col("grid_dest").alias("destSite"))
+    series = likely_pairs(probe_series(probes, period), pairs, ["srcSite", "destSite"])
+    joined = join_window_probes(job_stats, placement, probe_window_stats(series, grid, bucket, hot_limit))
     columns = [f.name for f in summary_schema(metrics).fields]
     return (
         joined.withColumn("endDate", F.col("beginDate") + F.lit(grid.step))

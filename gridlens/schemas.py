@@ -32,6 +32,9 @@ NETWORK_SERIES = [
 ]
 STATS = ["min", "mean", "max", "median", "std"]
 
+# Time columns a range may be set on, in epoch seconds.
+TIME_COLUMNS = ["JobCurrentStartDate", "JobFinishedHookDone", "CompletionDate", "ts_s"]
+
 # Probe type -> (series suffix, value column).
 PROBE_TYPES = {
     "throughput": ("Throughput", "throughput"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +61,28 @@ def side_label(side: str) -> Column:
     return F.concat(F.lit(f"mean{side}"), F.regexp_replace("series", "^src", ""))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """What the blocks of a report name: the driver (None: the fit's series) and a label per response,
+    given as text or made when the report is built."""
+
+    x: str | None
+    responses: dict[str, str | Callable[[], Column]]
+
+    def lines(self, fits: DataFrame, keys: list[str]) -> DataFrame:
+        labels = {prefix: y() if callable(y) else y for prefix, y in self.responses.items()}
+        return report_lines(fits, keys, labels, "series" if self.x is None else F.lit(self.x))
+
+
+LAYOUTS = {
+    "network": Layout("Throughput", {"c_": partial(side_label, "src"), "e_": partial(side_label, "dest")}),
+    "overbyte": Layout(None, {"c_": "meanCpuEff", "e_": "meanInputGB"}),
+    "scatter": Layout(None, {"c_": "meanCpuEff", "e_": "meanEventRate"}),
+    "lumosity": Layout("meanKEvents", {"c_": "meanCpuEff"}),
+    "vslumos": Layout("meanLumosity", {"c_": "meanCpuEff", "e_": "meanEventRate"}),
+}
+
+
 def data_site_lines(shares: DataFrame) -> DataFrame:
     """``<site> data location <share>`` for every data site."""
     return shares.select(

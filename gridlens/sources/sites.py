@@ -49,15 +49,45 @@ def default_site_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SITES.items()), "cms_site string, grid_site string")
 
 
-def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
+# Documents may be kept in one folder per version, named after the day a version holds from.
+VERSION = "version="
+
+
+def current_version(spark: SparkSession, path: str, as_of: str | None = None) -> str:
+    """The newest version folder of ``path``, or the newest not after the date ``as_of``; ``path``
+    itself if it holds no versions."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()] if files.isDirectory(folder) else []
+    versions = sorted(n for n in names if n.startswith(VERSION))
+    if not versions:
+        return path
+    held = [n for n in versions if as_of is None or n.removeprefix(VERSION) <= as_of]
+    if not held:
+        raise ValueError(f"no version of {path} holds on {as_of}")
+    return f"{path.rstrip('/')}/{held[-1]}"
+
+
+def read_allowlist(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
     """``{"locations": [..]}`` as one row per site."""
-    document = spark.read.schema("locations array<string>").json(path, multiLine=True)
+    found = current_version(spark, path, as_of)
+    document = spark.read.schema("locations array<string>").json(found, multiLine=True)
     return document.select(F.explode("locations").alias("cms_site"))
 
 
-def read_site_map(spark: SparkSession, path: str) -> DataFrame:
+def read_site_map(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
     """``{"<site>": "<grid name>", ..}`` as one row per site."""
-    document = spark.read.text(path, wholetext=True)
+    document = spark.read.text(current_version(spark, path, as_of), wholetext=True)
     return document.select(
         F.explode(F.from_json("value", "map<string,string>")).alias("cms_site", "grid_site")
     )
+
+
+def write_sites(site_map: DataFrame, path: str, version: str) -> None:
+    """Write a version of both documents, ``<path>/allowed`` and ``<path>/names``: one row per site,
+    so each is one small document. A version is replaced as a whole."""
+    listed = site_map.agg(F.sort_array(F.collect_list("cms_site")).alias("locations"))
+    named = site_map.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("cms_site", "grid_site")))).alias("names"))
+    for name, document in (("allowed", F.to_json(F.struct("locations"))), ("names", F.to_json("names"))):
+        rows = (listed if name == "allowed" else named).select(document.alias("value"))
+        rows.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{name}/{VERSION}{version}")

@@ -1,8 +1,9 @@
 """Parquet stores of job records, probes and the summary, with pruned scans.
 
 A store is a folder of Parquet files partitioned the way the analyses select: jobs by ``day``,
-probes by ``mtype`` and ``day``, the summary by ``task_type``. Day ranges and types are partition
-filters, everything else is pushed to the file scan.
+probes by ``mtype`` and ``day``, the summary by ``task_type`` and ``day``. Types and the days a time
+range can touch are partition filters, everything else is pushed to the file scan. Which days those
+are follows from the time column the range is set on, see :mod:`gridlens.sources.manifest`.
 """
 
 from __future__ import annotations
@@ -11,34 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlens.functions.times import parse_probe_time, to_period
-from gridlens.schemas import DAY
+from gridlens.functions.times import epoch_millis, epoch_seconds, to_period, touched_dates
+from gridlens.sources.manifest import days_in_range
 
 
-def read_jobs(spark: SparkSession, path: str, period: tuple | None = None, fmt: str = "parquet") -> DataFrame:
-    """Job records of a day-partitioned store; only the days a period touches are listed and read."""
-    return _days(_read(spark, path, fmt), period)
+def read_jobs(
+    spark: SparkSession, path: str, period: tuple | None = None, fmt: str = "parquet", column: str = "JobFinishedHookDone"
+) -> DataFrame:
+    """Job records of a day-partitioned store; with a ``period`` only from the day folders that may
+    hold a ``column`` inside it. Filter on the same column for the exact range."""
+    return _days(spark, _read(spark, path, fmt), path, period, column)
 
 
 def read_probes(
     spark: SparkSession, path: str, mtype: str | None = None, period: tuple | None = None, fmt: str = "parquet"
 ) -> DataFrame:
+    """Probes of one or all types; with a ``period`` only from the day folders that may hold it."""
     probes = _read(spark, path, fmt)
     if mtype is not None:
         probes = probes.filter(F.col("mtype") == mtype)
-    return _days(probes, period)
+    return _days(spark, probes, path, period, "ts_s")
 
 
 def with_probe_time(probes: DataFrame) -> DataFrame:
     """Add ``ts_s`` and ``timestamp_ms`` from ``timestamp``, given as text, epoch ms or timestamp."""
     kind, stamp = probes.schema["timestamp"].dataType, F.col("timestamp")
-    if isinstance(kind, T.StringType):
-        seconds = parse_probe_time(stamp)
-        return probes.withColumns({"ts_s": seconds, "timestamp_ms": seconds * 1000})
-    millis = F.unix_millis(stamp) if isinstance(kind, T.TimestampType) else stamp.cast("bigint")
-    return probes.withColumns(
-        {"ts_s": F.floor(millis / F.lit(1000.0)), "timestamp_ms": millis}
-    )
+    return probes.withColumns({"ts_s": epoch_seconds(stamp, kind), "timestamp_ms": epoch_millis(stamp, kind)})
 
 
 def all_probes(current: DataFrame, older: DataFrame) -> DataFrame:
@@ -64,9 +63,9 @@ def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-def _days(df: DataFrame, period: tuple | None) -> DataFrame:
-    if period is None:
+def _days(spark: SparkSession, df: DataFrame, path: str, period: tuple | None, column: str) -> DataFrame:
+    if period is None or "day" not in df.columns:
         return df
-    start, end = to_period(period)
-    first, last = (F.timestamp_seconds(F.lit(t // DAY * DAY)).cast("date") for t in (start, end))
-    return df.filter(F.col("day").between(first, last))
+    if column not in df.columns and "timestamp" not in df.columns:  # the folder's day is the only time
+        return df.filter(touched_dates(F.col("day"), *to_period(period)))
+    return df.filter(days_in_range(spark, path, column, *to_period(period)))

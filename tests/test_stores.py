@@ -95,6 +95,88 @@ def test_month_copy_keeps_every_field_and_digit(spark, tmp_path, fmt):
     assert [tuple(r) for r in spark.read.parquet(target).select(*rows.columns).collect()] == [("latency", 1.5, "x", 3)]
 
 
+def test_month_copy_merges_the_types_of_all_days(spark, tmp_path):
+    """A field that is whole on one day, broken on another and text on a third; one that only one day has."""
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    lines = {
+        2: '{"mtype": "latency", "size": 1, "mark": 7, "at": {"x": 1}, "list": [1]}',
+        3: '{"mtype": "latency", "size": 1.5, "mark": "a", "at": {"x": 2.5, "y": "k"}, "list": [2.5]}',
+        5: '{"mtype": "latency", "throughput": 3, "only": true}',
+    }
+    for day, line in lines.items():
+        (source / f"day=2024-01-0{day}").mkdir(parents=True)
+        (source / f"day=2024-01-0{day}" / "rows.json").write_text(line + "\n")
+    status = copy_month(spark, str(source), target, 2024, 1, PROBES, fmt="json")
+    assert status.filter("ok").count() == 3
+    copied = spark.read.parquet(target)
+    types = dict(copied.dtypes)
+    assert (types["size"], types["mark"], types["throughput"]) == ("double", "string", "double")
+    assert (types["at"], types["list"], types["only"]) == ("struct<x:double,y:string>", "array<double>", "boolean")
+    rows = {str(r.day): r for r in copied.collect()}
+    assert [rows[f"2024-01-0{d}"]["size"] for d in (2, 3, 5)] == [1.0, 1.5, None]
+    assert [rows[f"2024-01-0{d}"]["mark"] for d in (2, 3, 5)] == ["7", "a", None]
+    assert rows["2024-01-02"]["at"].x == 1.0 and rows["2024-01-03"]["list"] == [2.5] and rows["2024-01-05"]["only"]
+
+
+def test_merged_types():
+    from pyspark.sql import types as T
+
+    from gridlens.plans.copy import merged_type
+
+    number = [T.ByteType(), T.LongType(), T.FloatType(), T.DoubleType(), T.NullType(), T.StringType()]
+    for a in number:
+        for b in number:
+            assert merged_type(a, b) == merged_type(b, a)
+    assert merged_type(T.LongType(), T.FloatType()) == T.DoubleType()
+    assert merged_type(T.FloatType(), T.FloatType()) == T.FloatType()
+    assert merged_type(T.NullType(), T.DateType()) == T.DateType()
+    assert merged_type(T.BooleanType(), T.LongType()) == T.StringType()
+
+
+def test_a_failing_day_keeps_its_old_content(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def rows(value):
+        return spark.range(1).select(F.expr(value).alias("v"))
+
+    rows("1").write.parquet(f"{source}/d1")
+    assert bulk_copy_days(spark, ["d1"], lambda d: spark.read.parquet(f"{source}/{d}"), target).first().ok
+    broken = bulk_copy_days(spark, ["d1"], lambda d: rows("int(raise_error('broken'))"), target).first()
+    assert not broken.ok and "broken" in broken.error
+    assert [r.v for r in spark.read.parquet(target).collect()] == [1]
+    assert bulk_copy_days(spark, ["d1"], lambda d: rows("2"), target).first().ok
+    assert [r.v for r in spark.read.parquet(target).collect()] == [2]
+    assert not [p.name for p in (tmp_path / "out").iterdir() if p.name.endswith(".old")]
+
+
+def test_files_of_a_folder_do_not_follow_the_tasks(spark, tmp_path):
+    row = spark.range(4000).select(
+        F.lit("a").alias("src"), (F.col("id") * 60).alias("beginDate"),
+        F.when(F.col("id") % 2 == 0, "RECO").otherwise("DIGI").alias("task_type"),
+    )
+    rows = conform(row, summary_schema()).withColumn("day", F.timestamp_seconds("beginDate").cast("date"))
+    counts = []
+    for tasks in (3, 60):
+        path = str(tmp_path / f"t{tasks}")
+        append_summary(rows.repartition(tasks), path)
+        counts.append(len(spark.read.parquet(path).inputFiles()))
+    assert counts[0] == counts[1] == rows.select("task_type", "day").distinct().count()
+
+
+def test_site_documents_have_versions(spark, tmp_path):
+    path = str(tmp_path / "sites")
+    for version, name in (("2016-01-01", "old"), ("2017-02-01", "new")):
+        sites.write_sites(spark.createDataFrame([("t1_a", name), ("t2_b", "GB")], "cms_site string, grid_site string"), path, version)
+
+    def names(as_of=None):
+        return dict(map(tuple, sites.read_site_map(spark, f"{path}/names", as_of).collect()))
+
+    assert names() == {"t1_a": "new", "t2_b": "GB"} and names("2017-01-31")["t1_a"] == "old"
+    assert sorted(r[0] for r in sites.read_allowlist(spark, f"{path}/allowed").collect()) == ["t1_a", "t2_b"]
+    with pytest.raises(ValueError, match="no version"):
+        sites.read_site_map(spark, f"{path}/names", "2015-12-31")
+
+
 def summary_rows(spark):
     row = spark.range(2).select(
         F.lit("a").alias("src"),

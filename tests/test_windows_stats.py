@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlens.operators.stats import exact_median, interval_window_stats
+from gridlens.operators import placement, selection
+from gridlens.operators.selection import exact_median
+from gridlens.operators.stats import interval_window_stats
 from gridlens.operators.windows import Grid, explode_windows, window_grid
-from gridlens.plans.summary import union_all
 from gridlens.schemas import stat_columns
 
 PERIOD = (86400, 2 * 86400)
@@ -94,15 +95,17 @@ def brute(data, grid):
     return out
 
 
-@pytest.mark.parametrize(("hot_limit", "ways"), [(10**6, 1), (50, 2), (20, 3), (0, 3)])
-def test_window_stats_equal_brute_force_on_every_way(spark, hot_limit, ways):
+# Limits from which nothing is crowded, places are, some series are giants, all are.
+@pytest.mark.parametrize("hot_limit", [10**6, 50, 20, 0])
+def test_window_stats_equal_brute_force_at_every_load(spark, hot_limit):
     data, rows = intervals(spark)
     grid = Grid.of(PERIOD)
-    parts = interval_window_stats(
+    stats, found, _ = interval_window_stats(
         rows, "t0", "t1", ["pair"], ["host"], ["a", "b"], grid, hot_limit=hot_limit
     )
-    assert len(parts) == ways
-    got = union_all(parts).collect()
+    assert bool(found.giants) == (hot_limit <= 20)
+    assert bool(found.parts) == (0 < hot_limit <= 50)
+    got = stats.collect()
     want = brute(data, grid)
     assert len(got) == len(want)
     columns = stat_columns(["a", "b"])
@@ -128,3 +131,70 @@ def test_exact_median_of_a_large_skewed_group(spark):
     want = {r.k: r.m for r in rows.groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert {k: m for k, (m, _) in got.items()} == want
     assert all(none is None for _, none in got.values())
+
+
+def test_exact_median_of_any_doubles(spark):
+    """Signs, zeros, ties, powers far apart, neighbours in the last bit, infinities and NaN."""
+    rng = random.Random(8)
+    near = [1.0 + i * 2.0**-52 for i in range(9)]
+    groups = {
+        "signs": [-3.0, -0.0, 0.0, 2.0, 5.0], "ties": [1.0, 1.0, 1.0, 2.0], "near": near, "one": [7.5], "none": [None, None],
+        "powers": [2.0**k for k in range(-1074, 1024, 37)] + [-(2.0**k) for k in range(-1000, 1000, 91)],
+        "odd": [rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(999)],
+        "even": [rng.gauss(100, 1) for _ in range(1000)], "inf": [float("-inf"), 1.0, float("inf"), float("inf")],
+        "nan": [float("nan"), 2.0, 1.0, 3.0, None], None: [4.0, 6.0],
+    }
+    data = [(k, v, 1) for k, values in groups.items() for v in values]
+    rows = spark.createDataFrame(data, "k string, v double, n int").repartition(4)
+    got = {r.k: (r.medianv, r.mediann) for r in exact_median(rows, ["k"], ["v", "n"]).collect()}
+    want = {r.k: r.m for r in rows.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert {k: m for k, (m, _) in got.items()} == want
+    assert all(n == 1.0 for _, n in got.values())
+
+
+def test_histograms_stay_small(spark):
+    """A round holds at most a fixed number of buckets per group, whatever the group's size."""
+    rows = spark.range(200000).select(F.lit("k").alias("k"), F.rand(3).alias("v"))
+    seen = []
+    real = selection._cell_counts
+
+    def counted(values, step):
+        counts = real(values, step)
+        seen.append((counts.count(), values.count()))
+        return counts
+
+    selection._cell_counts = counted
+    try:
+        got = exact_median(rows, ["k"], ["v"]).first().medianv
+    finally:
+        selection._cell_counts = real
+    assert got == rows.agg(F.median("v")).first()[0]
+    assert len(seen) <= 5 and all(buckets <= 2 * (selection.BUCKETS + 1) for buckets, _ in seen)
+    assert seen[1][1] < seen[0][1] / 10
+
+
+def test_a_giant_series_is_combined_before_it_moves(spark):
+    """One pair, bucket and series holds everything: no task reads more than the combined groups."""
+    rows = spark.range(20000).select(
+        F.lit("p").alias("pair"), F.lit("h").alias("host"), F.lit(90000).alias("t0"),
+        (F.lit(95000) + F.col("id") % 7 * 600).alias("t1"), (F.col("id") * 7919 % 1009).cast("double").alias("a"),
+    )
+    grid = Grid.of(PERIOD)
+    stats, found, _ = interval_window_stats(rows, "t0", "t1", ["pair"], ["host"], ["a"], grid, hot_limit=1000)
+    assert len(found.giants) == 1 and found.tasks >= 1
+    plain, usual, _ = interval_window_stats(rows, "t0", "t1", ["pair"], ["host"], ["a"], grid)
+    assert not usual.giants and not usual.parts
+    got, want = (df.orderBy("beginDate").collect() for df in (stats, plain))
+    assert len(got) == len(want) > 8
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a.mediana == b.mediana and a[5:] == pytest.approx(b[5:])
+
+
+def test_placement_tables_are_bounded(spark):
+    rows = spark.range(30000).select((F.col("id") % 10000).alias("p"), (F.col("id") % 15000).alias("s"))
+    found = placement.Placement.of(rows, ["p"], ["p", "s"], 0)
+    assert len(found.giants) <= placement.GIANT_HASHES and len(found.parts) <= placement.SLOTS
+    crowded = placement.Placement.of(rows, ["p"], ["p", "s"], 2)
+    assert 0 < len(crowded.parts) <= placement.SLOTS
+    salted, copied = crowded.salted(rows), crowded.copied(rows.select("p").distinct())
+    assert salted.count() == 30000 and salted.join(copied, ["p", "salt"], "left_anti").isEmpty()

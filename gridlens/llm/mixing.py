@@ -4,17 +4,20 @@ Every source has a word target. Among all rates of documents that meet it, the e
 ones differ least from 1: ``min(cap, exp(tilt * size / mean size))``, where the source's ``tilt``
 solves the convex dual of its word constraint. The dual is solved for all sources at once by Newton
 steps, each one aggregation over the counts of document sizes, kept inside a bracket by bisection.
-Rates are rounded into copies by each document's own hash; one threshold per source, found by
-refining histograms, brings the taken words next to the target.
+Rates are rounded into copies by a hash of each document's id and text; one threshold per source, found
+by refining histograms, brings the taken words below the target, and the largest copies that still fit
+fill what is left.
 
-Defined results: a null text has size 0 and takes nothing; null sources are one source, the last;
-repeated rows are separate documents with equal copies; other columns are ignored (``mixed_rows``
-keeps them); an empty table gives an empty result.
+Defined results: a null text has size 0 and takes nothing; null sources are one source, the last; null
+ids are told apart by their texts; rows of equal id, source and text are separate documents with equal
+copies, so a source of nothing else is taken in whole multiples; other columns are ignored
+(``mixed_rows`` keeps them, whatever their names); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ STEPS = 60
 # Bins of each histogram that refines the rounding threshold, and how often it is refined.
 BINS = 4096
 REFINED = 3
+# Copies that may fill the rest of a source's target, one after another.
+FILLS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -105,23 +110,36 @@ def balance(counts: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
         worst = state.agg(F.max("gap")).first()[0]
         state = state.drop("gap")
         if worst is None or worst <= NEAR:
-            break
+            return state
+    warnings.warn(f"rates are still {worst:.2g} from their targets after {STEPS} steps", stacklevel=2)
     return state
 
 
+def _mark(j: int) -> Column:
+    """Where the j-th copy of a document stands in the order in which its source takes copies."""
+    return F.lit(float(j)) - (F.col("rate") + F.col("draw"))
+
+
 def _rounded(cap: int) -> Column:
-    """Copies under the source's threshold: one for each j with j - rate - hash at most it."""
-    level = F.col("rate") + F.col("draw")
-    raised = [(F.lit(float(j)) - level <= F.col("threshold")).cast("bigint") for j in range(1, cap + 1)]
+    """Copies up to the source's threshold, and those that fill the rest."""
+    raised = [
+        ((_mark(j) <= F.col("threshold")) | F.array_contains(F.col("filled"), _mark(j))).cast("bigint") for j in range(1, cap + 1)
+    ]
     return F.when(F.col("size") == 0, F.lit(0)).otherwise(sum(raised[1:], raised[0]))
 
 
+def _draw(id_col: str, text_col: str) -> Column:
+    """A number in [0, 1) from a document's id and text; different texts have different ones."""
+    hashed = F.xxhash64(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return (hashed % F.lit(1 << 52)) / F.lit(float(1 << 53)) + F.lit(0.5)
+
+
 def _thresholds(rows: DataFrame, state: DataFrame, cap: int) -> DataFrame:
     """The state with the rounding threshold of each source: words of copies in order of their
     threshold are summed by bins, and the bin where the sum passes the target is refined."""
     low, width = -2.0 - cap, 3.0 + 2 * cap
     marks = rows.filter("size > 0").select(
-        "source", "size", F.explode(F.array(*[F.lit(float(j)) - F.col("rate") - F.col("draw") for j in range(1, cap + 1)])).alias("at")
+        "source", "size", F.explode(F.array(*[_mark(j) for j in range(1, cap + 1)])).alias("at")
     )
     found = state.select("source", F.lit(low).alias("from"), F.lit(width).alias("span"), F.lit(0).cast("bigint").alias("below"), "target")
     for _ in range(REFINED):
@@ -150,21 +168,52 @@ def _thresholds(rows: DataFrame, state: DataFrame, cap: int) -> DataFrame:
             ),
             "mix-threshold",
         )
-    nearer = (F.col("through") - F.col("target")) <= (F.col("target") - F.col("below"))
-    edge = F.when(nearer, F.col("from") + F.col("span")).otherwise(F.col("from") - F.col("span") / BINS)
-    last = found.select(F.col("source").alias("of"), edge.alias("threshold"))
-    return state.join(last, F.expr("source <=> of"), "left").drop("of").fillna({"threshold": low + width})
+    # All copies before the bin, or in it where even the last one does not pass the target.
+    whole = F.col("through") <= F.col("target")
+    edge = F.when(whole, F.col("from") + F.col("span")).otherwise(F.col("from"))
+    cut = found.select(
+        F.col("source").alias("of"), F.when(whole, edge).otherwise(edge - F.col("span") * 1e-6).alias("threshold"),
+        (F.col("target") - F.when(whole, F.col("through")).otherwise(F.col("below"))).alias("gap"),
+    )
+    last = _filled(marks, written(cut.withColumn("filled", F.array().cast("array<double>")), "mix-cut"))
+    joined = state.join(last.drop("gap"), F.expr("source <=> of"), "left").drop("of").fillna({"threshold": low + width})
+    return joined.withColumn("filled", F.coalesce("filled", F.array().cast("array<double>")))
+
+
+def _filled(marks: DataFrame, cut: DataFrame) -> DataFrame:
+    """The cut with ``filled``: for each source, again and again the largest copies beyond the
+    threshold that fit into what its target leaves."""
+    for _ in range(FILLS):
+        beyond = (
+            marks.alias("m").join(cut.filter("gap >= 1").alias("c"), F.expr("m.source <=> c.of"))
+            .filter("m.at > c.threshold AND m.size <= c.gap AND NOT array_contains(c.filled, m.at)")
+            .groupBy("c.of", "c.gap", "m.at").agg(F.sum("m.size").alias("words"))
+            .filter("words <= gap")
+            .groupBy("of").agg(F.max(F.struct("words", "at")).alias("best"))
+        )
+        found = written(beyond.select(F.col("of").alias("source"), "best"), "mix-fill")
+        if found.isEmpty():
+            break
+        fits = F.col("best").isNotNull()
+        cut = written(
+            cut.join(found, F.expr("of <=> source"), "left").select(
+                "of", "threshold",
+                F.when(fits, F.col("gap") - F.col("best.words")).otherwise(F.col("gap")).alias("gap"),
+                F.when(fits, F.array_append("filled", F.col("best.at"))).otherwise(F.col("filled")).alias("filled"),
+            ),
+            "mix-cut",
+        )
+    return cut
 
 
 def mix_plan(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
              weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """The sized documents and one row of mixing parameters per source, both written once."""
     size = word_count(F.col(text_col))
-    draw = (F.xxhash64(F.col(id_col).cast("bigint"), size) % F.lit(1 << 52)) / F.lit(float(1 << 53)) + F.lit(0.5)
     rows = written(
         docs.select(
             F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-            size.alias("size"), draw.alias("draw"),
+            size.alias("size"), _draw(id_col, text_col).alias("draw"),
         ),
         "mix-sizes",
     )
@@ -175,7 +224,7 @@ def mix_plan(docs: DataFrame, source_col: str = "source", text_col: str = "text"
     rated = _with_state(rows, state, cap)
     plan = _thresholds(rated, state, cap)
     full = goals.alias("g").join(
-        plan.select(F.col("source").alias("of"), "tilt", "mean", "saturated", "threshold").alias("p"),
+        plan.select(F.col("source").alias("of"), "tilt", "mean", "saturated", "threshold", "filled").alias("p"),
         F.expr("g.source <=> p.of"), "left",
     ).drop("of")
     return rows, written(full, "mix-plan")
@@ -199,15 +248,15 @@ def mixed_rows(docs: DataFrame, source_col: str = "source", text_col: str = "tex
     """``docs`` with every row as often as the mix takes it. Documents of size 0 have no words to
     mix and stay once. Only the parameters of the sources are joined; texts are not shuffled."""
     _, plan = mix_plan(docs, source_col, text_col, id_col, cap=cap)
-    size = word_count(F.col(text_col))
-    draw = (F.xxhash64(F.col(id_col).cast("bigint"), size) % F.lit(1 << 52)) / F.lit(float(1 << 53)) + F.lit(0.5)
-    own = plan.select(F.struct("source", "tilt", "mean", "saturated", "threshold").alias("__plan"))
-    joined = docs.withColumns({"__size": size, "__draw": draw}).join(
-        own, F.col(source_col).cast("string").eqNullSafe(F.col("__plan.source")), "left"
+    own = plan.select(F.struct("source", "tilt", "mean", "saturated", "threshold", "filled").alias("plan"))
+    # The whole row is one column, so no name of its can clash.
+    whole = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col(source_col).cast("string").alias("of"),
+        word_count(F.col(text_col)).alias("size"), _draw(id_col, text_col).alias("draw"),
     )
-    inner = joined.select(F.struct(*docs.columns).alias("__doc"), F.col("__size").alias("size"), F.col("__draw").alias("draw"), "__plan.*")
-    copies = inner.withColumn("rate", _rate(cap)).withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(_rounded(cap)))
-    return copies.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__doc.*")
+    joined = whole.join(own, F.col("of").eqNullSafe(F.col("plan.source")), "left").select("doc", "size", "draw", "plan.*")
+    copies = joined.withColumn("rate", _rate(cap)).withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(_rounded(cap)))
+    return copies.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,47 @@ def test_mixing(corpus):
     assert {d: r.taken for d, r in again.items()} == {d: r.taken for d, r in found.items()}
 
 
+def near_targets(found, share):
+    """Every source's taken words are within a share of its target, or within its smallest document."""
+    taken, goal, least = {}, {}, {}
+    for source, row in found:
+        taken[source] = taken.get(source, 0) + row.taken
+        goal[source] = row.target
+        if row.size:
+            least[source] = min(least.get(source, row.size), row.size)
+    for source in goal:
+        assert abs(taken[source] - goal[source]) <= max(share * goal[source], least.get(source, 0)), source
+
+
+def test_taken_words_come_near_their_targets(spark, corpus):
+    docs, rows = corpus
+    source = {doc: s for doc, _, s in rows}
+    near_targets([(source[r.doc_id], r) for r in mixing.mix_sources(docs).collect()], 0.02)
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    known = {r.doc_id: r.source for r in documents.select("doc_id", "source").collect()}
+    near_targets([(known[r.doc_id], r) for r in mixing.mix_sources(documents).collect()], 0.01)
+
+
+def test_documents_without_ids_do_not_move_in_one_lump(spark):
+    rows = [(None, " ".join(f"w{i}x{j}" for j in range(10)), s) for s in ("a", "b") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixing.mix_sources(docs).collect()
+    taken: dict = {}
+    for r in found:
+        taken[r.target] = taken.get(r.target, 0) + r.taken
+    assert all(abs(t - goal) <= 10 for goal, t in taken.items()) and len(taken) == 2
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    rows = [(i, f"one two three {i}", f"s{i % 3}", i, 0.5, "d", [1]) for i in range(40)] + [(None, None, None, None, None, None, None)]
+    schema = "doc_id bigint, text string, source string, size int, draw double, __size string, filled array<int>"
+    docs = spark.createDataFrame(rows, schema)
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.schema == docs.schema
+    assert mixed.exceptAll(docs.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).drop("n")).isEmpty()
+    assert mixed.filter("doc_id is null").count() == 1
+
+
 def test_mixed_rows(corpus):
     docs, rows = corpus
     mixed = mixing.mixed_rows(docs)

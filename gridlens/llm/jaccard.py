@@ -1,17 +1,23 @@
 """N-gram Jaccard join: rare-first prefixes with length, positional and suffix filters.
 
 Two texts link when their sets of word 5-grams have a Jaccard similarity of at least 0.8. A set in
-one global order, rarest grams first, can only link with sets that share a gram of its prefix. The
-order comes from document frequencies of all grams, counted over the whole corpus in a table of
-fixed size (``BUCKETS``); grams of one bucket follow by hash.
+one global order, rarest grams first, can only link with sets that share a gram of its prefix.
 
-Texts of equal words are one node. Large groups of near copies are not expanded into pairs: in a
-few rounds every node is verified with one partner of another component, chosen by shared prefix
-grams. Buckets that then hold a single component can add nothing. In all others every remaining
-pair between components is compared, so no link between components is lost. Pairs inside a component
-that is already connected are not verified: the result has components, not a list or count of links.
+The order comes from exact document frequencies. Half of all grams (by a bit of their hash) are
+counted: a task sends the grams of a chunk of documents as sorted, delta-coded lists, one for each
+range of hashes, and gets back those that occur elsewhere too. A document with enough grams of its
+own has no prefix to send at all. Grams that very many documents hold are told from a table of fixed
+size (``BUCKETS``) and are not counted but put last, with the other half; so no range is hot.
 
-Grams are compared by 64-bit hashes; pairs are verified once, on whole sets.
+Texts of equal words are one node. Large groups of near copies are not expanded into pairs: every node
+is verified with one partner of another component, chosen by shared prefix grams, again and again as
+long as enough of these pairs link (``PROGRESS``). Buckets that then hold a single component can add nothing. In all others
+every remaining pair between components is compared, so no link between components is lost. Pairs
+inside a component that is already connected are not verified: the result has components, not a list
+or count of links.
+
+Prefixes are compared by 40-bit hashes, which may only add candidates; pairs are verified once, on
+whole sets of 64-bit hashes.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own
 component; a text of fewer words than a gram has its whole sequence as the only gram; equal texts
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +44,24 @@ PERCENT = 80
 # Buckets of the frequency table: its size (2 MB) does not depend on the corpus.
 BUCKETS = 1 << 18
 CHUNK = 1 << 10
-# Rounds in which each node is verified with one partner, before all remaining pairs are.
-ROUNDS = 3
+# Buckets this much fuller than the others hold a gram that so large a part of the documents has.
+HEAVY_PART = 256
+HEAVY_LEAST = 64
+# Text bytes of a chunk, its most documents (two bytes each), and ranges of hashes per shuffle partition.
+CHUNK_BYTES = 8 << 20
+CHUNK_DOCS = 1 << 16
+RANGES = 4
+ID_BITS = 40
+# Places that grams of one 40-bit hash may be apart from the order.
+SLACK = 2
+# Classes of grams whose parities bound the difference of two sets: 64 bytes a node.
+PARITIES = 512
+# Part of the chosen pairs that must link for another round of one partner each.
+PROGRESS = 0.1
 # Members of one hub that a task verifies; more are spread with a copy of the hub's text.
 MEMBERS = 500
-# Bits of the filter for texts that take part in a verification: fixed size, only saves a shuffle.
-FILTER_BITS = 1 << 22
+# Most bits of the filter for texts that take part in a verification; it only saves a shuffle.
+FILTER_BITS = 1 << 26
 # Pivots that cut a set for the suffix filter.
 PIVOTS = np.arange(1, 128, dtype=np.uint64) << np.uint64(57)
 
@@ -82,34 +101,43 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-SCAN = "doc_id bigint, key bigint, n bigint, k1 bigint, k2 bigint, chunk int, counts array<bigint>"
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` classes of grams, whether the set has an odd number of them. Two sets
+    differ at least by as many grams as their parities."""
+    place = ((grams >> np.uint64(24)) & np.uint64(PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
+SCAN = "doc_id bigint, key bigint, n bigint, k1 bigint, parity array<bigint>, chunk int, counts array<bigint>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size and node of each document, and at the end this task's frequency table."""
     counts = np.zeros(BUCKETS, np.int64)
-    names = ["doc_id", "key", "n", "k1", "k2", "chunk", "counts"]
+    names = [x.split()[0] for x in SCAN.split(", ")]
     kind = pa.list_(pa.int64())
     for batch in batches:
-        sizes, keys, buckets = [], [], []
+        sizes, keys, buckets, parities = [], [], [], [np.zeros(0, np.int64)]
         for _, own, key in gram_sets(batch.column(1)):
             sizes.append(len(own))
-            keys.append(_node(key))
+            keys.append(_node(key)[0])
             buckets.append(_bucket(own))
+            parities.append(_parity(own))
             if sum(map(len, buckets[-100:])) > BUCKETS or len(buckets) == 1000:
                 counts += np.bincount(np.concatenate(buckets), minlength=BUCKETS)
                 buckets = []
         if buckets:
             counts += np.bincount(np.concatenate(buckets), minlength=BUCKETS)
-        n = len(sizes)
+        n, width = len(sizes), PARITIES // 64
+        ends = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
-             pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, kind)], names,
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
+             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parities))), pa.nulls(n, pa.int32()), pa.nulls(n, kind)], names,
         )
     n = BUCKETS // CHUNK
     none = pa.nulls(n, pa.int64())
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS + 1, CHUNK, dtype=np.int32)), pa.array(counts))
-    yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(np.arange(n, dtype=np.int32)), lists], names)
+    yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(n, kind), pa.array(np.arange(n, dtype=np.int32)), lists], names)
 
 
 def _frequencies(scanned: DataFrame) -> np.ndarray:
@@ -121,38 +149,189 @@ def _frequencies(scanned: DataFrame) -> np.ndarray:
     return counts
 
 
-def _entries(counts: np.ndarray):
-    """Prefix grams of every document: gram, node, set size, place in the order."""
+def _prefix(n: np.ndarray | int) -> np.ndarray | int:
+    """How many grams of a set, in the global order, hold one of any set it links with."""
+    return n - (PERCENT * n + 99) // 100 + 1
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, byte by byte: high bytes are zeros, which compress away."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+POSTED = "part int, chunk bigint, ids binary, docs binary, rest binary"
+
+
+def _posted(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in POSTED.split(", ")]
+    )
+
+
+def _send(counts: np.ndarray, heavy: np.ndarray, parts: int):
+    """Counted grams of each chunk by range of hashes, and a row with the chunk's documents: nodes, set
+    sizes, numbers of counted grams, and the prefix grams that are not counted."""
+
+    def chunk_rows(chunk: int, sets: list[tuple]) -> pa.RecordBatch:
+        nodes, sizes, light, rest = zip(*sets, strict=True)
+        lengths = np.array([len(x) for x in light])
+        ids = np.concatenate(light) >> np.uint64(64 - ID_BITS)
+        order = np.argsort(ids, kind="stable")
+        ids, docs = ids[order], np.repeat(np.arange(len(sets)), lengths)[order]
+        part = ((ids >> np.uint64(ID_BITS - 20)) * np.uint64(parts)) >> np.uint64(20)
+        held, first = np.unique(part, return_index=True)
+        rows = []
+        for p, i, j in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+            steps = np.diff(ids[i:j], prepend=np.uint64(0))
+            rows.append((p, chunk, _planes(steps, 5), _planes(docs[i:j], 2), None))
+        shape = np.array([sizes, lengths, [len(x) for x in rest]], np.int64)
+        rows.append((chunk % parts, chunk, np.array(nodes, np.int64).tobytes(), shape.tobytes(), np.concatenate(rest).tobytes()))
+        return _posted(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, sets, held = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            out: list[tuple] = []
-            for _, own, key in gram_sets(batch.column(1)):
+            lengths = np.diff(raw(batch.column(1))[1]).tolist()
+            for row, own, key in gram_sets(batch.column(1)):
                 n = len(own)
-                if n:
-                    prefix = n - (PERCENT * n + 99) // 100 + 1
-                    first = own[np.lexsort((own, counts[_bucket(own)]))[:prefix]]
-                    out.append((first, np.full(prefix, _node(key)[0], np.int64), np.full(prefix, n), np.arange(prefix)))
-            if out:
-                grams, nodes, sizes, places = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(nodes), pa.array(sizes.astype(np.int32)),
-                     pa.array(places.astype(np.int32))], ["gram", "node", "n", "place"],
-                )
+                if not n:
+                    continue
+                bucket = _bucket(own)
+                counted = (own >> np.uint64(20)) & np.uint64(1) == 0
+                last = heavy[bucket] | ~counted
+                light, rest = own[~last], own[:0]
+                if len(light) < _prefix(n):
+                    rest, bucket = own[last], bucket[last]
+                    order = np.lexsort((rest, counts[bucket], ~counted[last]))
+                    rest = rest[order[: _prefix(n) - len(light)]]
+                sets.append((_node(key)[0], n, light, rest))
+                held += lengths[row]
+                if held >= CHUNK_BYTES or len(sets) == CHUNK_DOCS:
+                    yield chunk_rows(chunk, sets)
+                    chunk, sets, held = chunk + 1, [], 0
+        if sets:
+            yield chunk_rows(chunk, sets)
 
     return run
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by range: sends back to every chunk its grams that occur more than once, with their
+    document frequency (255 stands for all higher ones). Rows of documents pass."""
+    now, held = None, []
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[4] is not None:
+                out.append(row)
+                continue
+            if row[0] != now:
+                out += _shared(held)
+                now, held = row[0], []
+            held.append(row)
+        if out:
+            yield _posted(out)
+    if held:
+        yield _posted(_shared(held))
+
+
+def _shared(rows: list[tuple]) -> list[tuple]:
+    if not rows:
+        return []
+    lists = [np.cumsum(_numbers(row[2], 5)) for row in rows]
+    ids = np.concatenate(lists)
+    order = np.argsort(ids, kind="stable")
+    new = np.append(True, np.diff(ids[order]) > 0)
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(ids)))
+    frequency = np.empty(len(ids), np.int64)
+    frequency[order] = np.repeat(np.minimum(times, 255), times)
+    out, at = [], 0
+    for (part, chunk, _, docs, _), own in zip(rows, lists, strict=True):
+        times = frequency[at : at + len(own)]
+        at += len(own)
+        keep = times > 1
+        if keep.any():
+            steps = np.diff(own[keep], prepend=np.uint64(0))
+            docs = _planes(_numbers(docs, 2)[keep], 2) + times[keep].astype(np.uint8).tobytes()
+            out.append((part, chunk, _planes(steps, 5), docs, None))
+    return out
+
+
+ENTRIES = "gram bigint, node bigint, n int, place int"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by chunk: prefix grams that other documents may share, with node, set size and place in
+    the order. Grams of their own come first and are not listed."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            if row[0] != now:
+                if held:
+                    yield _chunk_entries(held)
+                now, held = row[0], []
+            held.append(row)
+    if held:
+        yield _chunk_entries(held)
+
+
+def _chunk_entries(rows: list[tuple]) -> pa.RecordBatch:
+    (nodes, shape, rest), = [row[1:] for row in rows if row[3] is not None]
+    nodes, rest = np.frombuffer(nodes, np.int64), np.frombuffer(rest, np.uint64)
+    n, light, resting = np.frombuffer(shape, np.int64).reshape(3, -1)
+    lists = [row for row in rows if row[3] is None]
+    ids = np.concatenate([np.cumsum(_numbers(x[1], 5)) for x in lists] or [np.zeros(0, np.uint64)])
+    sizes = [len(x[1]) // 5 for x in lists]
+    docs = np.concatenate([_numbers(x[2][: 2 * m], 2) for x, m in zip(lists, sizes, strict=True)] or [ids]).astype(np.int64)
+    times = np.concatenate([np.frombuffer(x[2][2 * m :], np.uint8) for x, m in zip(lists, sizes, strict=True)] or [docs])
+    order = np.lexsort((ids, times, docs))
+    ids, docs = ids[order], docs[order]
+    shared = np.bincount(docs, minlength=len(n))
+    place = np.arange(len(ids)) - (np.cumsum(shared) - shared)[docs] + (light - shared)[docs]
+    keep = place < _prefix(n)[docs]
+    # Grams that are not counted follow all counted ones; their keys are below zero.
+    after = np.repeat(np.arange(len(n)), resting)
+    later = light[after] + np.arange(len(rest)) - (np.cumsum(resting) - resting)[after]
+    gram = np.concatenate([ids[keep].astype(np.int64), -(rest >> np.uint64(1)).astype(np.int64) - 1])
+    doc = np.concatenate([docs[keep], after])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(gram), pa.array(nodes[doc]), pa.array(n[doc].astype(np.int32)),
+         pa.array(np.concatenate([place[keep], later]).astype(np.int32))], ["gram", "node", "n", "place"],
+    )
+
+
+def prefix_entries(docs: DataFrame, counts: np.ndarray, documents: int) -> DataFrame:
+    """Prefix grams that may be shared, of all documents; written once."""
+    heavy = counts > 2 * counts.mean() + max(HEAVY_LEAST, documents / HEAVY_PART)
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = docs.select("doc_id", "text").mapInArrow(_send(counts, heavy, parts), POSTED)
+    counted = posted.repartition("part").sortWithinPartitions("part").mapInArrow(_count, POSTED)
+    found = counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_entries, ENTRIES)
+    return written(found, "jaccard-entries")
+
+
 def _need(a: Column, b: Column) -> Column:
     """Grams two sets of these sizes must share."""
     return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
 
 
 def _may_link(x: str, y: str) -> Column:
-    """Length filter and positional filter at a shared gram."""
+    """Length filter and positional filter at a shared gram (grams of one hash may be out of order),
+    and the bound on the difference of the sets from their parities."""
     n, m, i, j = (F.col(f"{t}.{c}") for c, t in (("n", x), ("n", y), ("place", x), ("place", y)))
-    room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (room >= _need(n, m))
+    room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) + SLACK
+    differ = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (room >= _need(n, m)) & (differ <= n + m - 2 * _need(n, m))
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -192,20 +371,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keep_nodes(wanted: DataFrame):
-    """A fixed-size bit table of wanted nodes, and the batch filter that uses it."""
-    bits = np.zeros(FILTER_BITS, bool)
-    places = wanted.select((F.col("node").bitwiseAND(FILTER_BITS - 1)).alias("bit")).distinct().toPandas()
-    bits[places["bit"].to_numpy(np.int64)] = True
-    packed = np.packbits(bits)
+    """A bit table of wanted nodes, of at most ``FILTER_BITS``, and the batch filter that uses it."""
+    size = 1 << 12
+    while size < min(FILTER_BITS, 16 * wanted.count()):
+        size *= 2
+    places = wanted.select(F.col("node").bitwiseAND(size - 1).alias("at"))
+    words = places.selectExpr("shiftright(at, 6) as word", "shiftleft(1L, cast(at & 63 as int)) as bits")
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(size // 64, np.int64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(packed).view(bool)
         for batch in batches:
             nodes = np.array([_node(key)[0] for _, _, key in _sequences(batch.column(0))], np.int64)
-            keep = table[nodes & (FILTER_BITS - 1)]
-            kept = pa.array(keep)
+            place = nodes & (size - 1)
+            keep = (table[place >> 6] >> (place & 63)) & 1 > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[keep]), batch.column(0).filter(kept)], ["node", "text"]
+                [pa.array(nodes[keep]), batch.column(0).filter(pa.array(keep))], ["node", "text"]
             )
 
     return run
@@ -218,29 +400,29 @@ def _sequences(column: pa.Array) -> Iterator[tuple[int, None, bytes]]:
             yield a + row, None, xxhash.xxh3_128_digest(words[first[row] : first[row + 1]].tobytes())
 
 
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each node that may be verified, written once; texts of one node have the same words."""
+    own = docs.select("text").mapInArrow(_keep_nodes(nodes), "node bigint, text string")
+    return written(own.groupBy("node").agg(F.min("text").alias("text")), "jaccard-texts")
+
+
 def verify_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pairs (``a``, ``b``) of nodes that link. ``a`` is the hub: its text is sent once for every
     ``MEMBERS`` of its partners, each partner's text once for each of its pairs."""
-    parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
-    parts = parts.withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
-    dealt = pairs.join(parts, "a").select(
-        F.col("a").alias("hub"), F.pmod(F.hash("b"), F.col("parts")).alias("part"), F.col("b").alias("member"), F.col("b").alias("node")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")).filter("parts > 1")
+    dealt = pairs.join(parts, "a", "left").select(
+        F.col("a").alias("hub"), F.pmod(F.hash("b"), F.coalesce("parts", F.lit(1))).alias("part"), F.col("b").alias("member"),
+        F.col("b").alias("node"),
     )
-    hubs = parts.select(
-        F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(None).cast("bigint").alias("member"), F.col("a").alias("node"),
-    )
-    wanted = written(dealt.unionByName(hubs), "jaccard-dealt")
-    own = bodies.mapInArrow(_keep_nodes(wanted), "node bigint, text string")
-    # Texts of one node have the same words: any of them serves.
-    one = own.groupBy("node").agg(F.min("text").alias("text"))
-    rows = wanted.join(one, "node").select("hub", "part", "member", "node", "text")
+    dealt = written(dealt, "jaccard-dealt")
+    hubs = dealt.select("hub", "part", F.lit(None).cast("bigint").alias("member"), F.col("hub").alias("node")).distinct()
+    rows = dealt.unionByName(hubs).join(bodies, "node").select("hub", "part", "member", "node", "text")
     placed = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
     return placed.mapInArrow(_verify, VERIFIED)
 
 
-def _first_partners(entries: DataFrame) -> DataFrame:
-    """One partner of another component for each node: by gram, the components of smallest and
+def _first_partners(entries: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """One new partner of another component for each node: by gram, the components of smallest and
     largest label offer their smallest node; a node takes the partner it shares most grams with."""
     offers = entries.groupBy("gram").agg(
         F.min(F.struct("label", "node", "n")).alias("low"), F.max(F.struct("label", "node", "n")).alias("high")
@@ -251,24 +433,32 @@ def _first_partners(entries: DataFrame) -> DataFrame:
     )
     fits = (F.col("n") * 100 >= F.col("offer.n") * PERCENT) & (F.col("offer.n") * 100 >= F.col("n") * PERCENT)
     shared = seen.filter(fits).groupBy("node", F.col("offer.node").alias("hub")).agg(F.count(F.lit(1)).alias("grams"))
+    if tried is not None:
+        shared = shared.join(tried.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti")
     best = shared.groupBy("node").agg(F.max_by("hub", F.struct("grams", -F.col("hub"))).alias("hub"))
     return best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
-def _remaining_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of different components that pass the filters. In each bucket the largest
+def _remaining_pairs(entries: DataFrame, tried: DataFrame | None, parities: DataFrame) -> DataFrame:
+    """All pairs of different components that pass the filters and were not verified. In each bucket the largest
     component is only compared with the others, never with itself."""
     groups = entries.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("nodes"))
     major = groups.groupBy("gram").agg(
         F.max_by("label", F.struct("nodes", "label")).alias("major"), F.count(F.lit(1)).alias("labels")
     )
-    mixed_grams = entries.join(major.filter("labels > 1").drop("labels"), "gram")
+    mixed_grams = written(
+        entries.join(major.filter("labels > 1").drop("labels"), "gram").join(parities, "node"), "jaccard-mixed"
+    )
     x, y = mixed_grams.filter("label <> major").alias("x"), mixed_grams.alias("y")
     test = (
         F.expr("x.gram = y.gram and x.label <> y.label and (y.label = y.major or x.node < y.node)") & _may_link("x", "y")
     )
     pairs = x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    in_order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    ordered = pairs.select(*in_order).distinct()
+    if tried is not None:
+        ordered = ordered.join(tried.select(*in_order), ["a", "b"], "left_anti")
+    ordered = written(ordered, "jaccard-remaining")
     # The node with more partners is the hub.
     count = ordered.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("partners"))
     counted = (
@@ -280,32 +470,49 @@ def _remaining_pairs(entries: DataFrame) -> DataFrame:
 
 
 def link_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The scanned documents (``doc_id``, ``key``, ``n``, ``k1``, ``k2``) and the labels of linked nodes
+    """The scanned documents (``doc_id``, ``key``, ``n``, ``k1``, ``parity``) and the labels of linked nodes
     (``node``, ``label``); a node is the first half of a text's word digest, ``k1``."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     scanned = written(keyed.mapInArrow(_scan, SCAN), "jaccard-scan")
-    rows = scanned.filter("chunk is null").select("doc_id", "key", "n", "k1", "k2")
-    entries = docs.select("doc_id", "text").mapInArrow(
-        _entries(_frequencies(scanned)), "gram bigint, node bigint, n int, place int"
-    )
+    rows = scanned.filter("chunk is null").select("doc_id", "key", "n", "k1", "parity")
+    entries = prefix_entries(docs, _frequencies(scanned), rows.count())
     shared = entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     grams = written(
         entries.join(shared.select("gram"), "gram").groupBy("gram", "node").agg(F.max("n").alias("n"), F.max("place").alias("place")),
         "jaccard-grams",
     )
-    links = None
-    labels = None
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            labelled = grams.withColumn("label", F.col("node"))
-        else:
-            labelled = grams.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        choose = _first_partners if turn < ROUNDS else _remaining_pairs
-        pairs = written(choose(labelled), "jaccard-pairs")
-        found = written(verify_pairs(pairs, docs.select("text")), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    return rows, labels
+    bodies = node_texts(docs, grams.select("node").distinct())
+    labels = tried = None
+    while True:
+        pairs = written(_first_partners(_labelled(grams, labels), tried), "jaccard-pairs")
+        found = written(verify_pairs(pairs, bodies), "jaccard-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = _merged(labels, found)
+        if found.count() < PROGRESS * pairs.count() or pairs.isEmpty():
+            break
+    parities = rows.groupBy(F.col("k1").alias("node")).agg(F.any_value("parity").alias("parity"))
+    rest = written(_remaining_pairs(_labelled(grams, labels), tried, parities), "jaccard-pairs")
+    return rows, _merged(labels, written(verify_pairs(rest, bodies), "jaccard-links"))
+
+
+def _labelled(grams: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return grams.withColumn("label", F.col("node"))
+    return grams.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after new links: these join components, so only the labels they touch are worked on."""
+    if labels is None:
+        return components(links)
+    own = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    ends = links.join(own, "a", "left").join(other, "b", "left")
+    lifted = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(fresh.withColumn("label", F.col("node")))
+    moved = every.join(lifted.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return written(moved.select("node", F.coalesce("to", "label").alias("label")), "jaccard-labels")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

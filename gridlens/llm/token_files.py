@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridlens.llm.common import fresh_path, passes, raw, table, texts, written
-from gridlens.llm.words import PieceTable
+from gridlens.llm.words import PieceArena
 
 SCHEMA = "doc_id bigint, ids array<int>"
 # Rows between two entries of the row index, and the bytes of a stripe before compression.
 INDEX_STRIDE = 1000
 STRIPE_BYTES = 32 << 20
 
-_TABLES: dict[str, PieceTable] = {}
+_TABLES: dict[str, PieceArena] = {}
 # White space ends a piece of the tokenizer; so does the end of a run of Latin letters before an
 # ASCII character. Other white space and letters stay inside a piece and are left to the library.
 _CUT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z)|[^ \n]+")
@@ -36,7 +36,7 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _TOGETHER = 2000
 
 
-def _table(path: str) -> PieceTable:
+def _table(path: str) -> PieceArena:
     if path not in _TABLES:
         library = Tokenizer.from_file(path)
         last = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)
@@ -61,22 +61,19 @@ def _table(path: str) -> PieceTable:
                 out[i] = np.array(x.ids, "<u4").tobytes()
             return out
 
-        _TABLES[path] = PieceTable(encode)
+        _TABLES[path] = PieceArena(encode)
     return _TABLES[path]
 
 
 def _encoder(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _table(path).lookup
+        known = _table(path)
         for batch in batches:
             column = batch.column(1)
             for a, b in passes(np.diff(raw(column)[1])):
-                found = lookup(_CUT.findall(x) for x in column.slice(a, b - a).to_pylist())
-                ends = np.cumsum([0] + [len(x) // 4 + 1 for x in found], dtype=np.int32)
-                values = np.frombuffer(b"".join(x + end for x in found), "<i4")
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+                rows = [_CUT.findall(x) for x in column.slice(a, b - a).to_pylist()]
+                values, ends = known.gather(rows, end_id)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], ["doc_id", "ids"])
 
     return run

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain, repeat
+
+import numpy as np
 
 # Entries a worker keeps, and the longest piece it keeps; both bound its memory (about 120 MB).
 KEPT_PIECES = 400_000
@@ -39,3 +42,52 @@ class PieceTable:
         for x in long:
             del known[x]
         return out
+
+
+class PieceArena:
+    """Ids of pieces in one array, with the place of each piece in a dictionary; the ids of whole
+    batches are gathered at once.
+
+    The table is emptied when it has more than ``kept`` pieces or many long ones. Only speed depends
+    on what is kept.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = 2 * KEPT_PIECES) -> None:
+        self.encode, self.kept = encode, kept
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.chars = np.zeros(0, np.int32), 0
+
+    def gather(self, rows: list[list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids, each followed by ``end_id``, and the offsets of the rows (n + 1)."""
+        if len(self.place) > self.kept or self.chars > self.kept * KEPT_LENGTH:
+            self.forget()
+        flat = list(chain.from_iterable(rows))
+        codes = np.array(list(map(self.place.get, flat, repeat(-1))), np.int64)
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            missing = list(dict.fromkeys(map(flat.__getitem__, unknown.tolist())))
+            self._add(missing)
+            codes[unknown] = list(map(self.place.__getitem__, map(flat.__getitem__, unknown.tolist())))
+        sizes = self.lengths[codes]
+        before = np.append(0, np.cumsum(sizes))
+        ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int64)
+        offsets = before[ends] + np.arange(len(rows) + 1)
+        out = np.full(offsets[-1], end_id, np.int32)
+        own = np.ones(len(out), bool)
+        own[offsets[1:] - 1] = False
+        out[own] = self.ids[np.repeat(self.starts[codes] - before[:-1], sizes) + np.arange(before[-1])]
+        return out, offsets
+
+    def _add(self, pieces: list[str]) -> None:
+        found = self.encode(pieces)
+        lengths = np.array([len(x) // 4 for x in found], np.int64)
+        first = len(self.place)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<i4")])
+        self.place.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.chars += sum(map(len, pieces))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlens.llm.alignment import op11_alignment
 from gridlens.llm.byte_pairs import op4_byte_pairs
-from gridlens.llm.jaccard import op7_jaccard_join
+from gridlens.llm.jaccard import OP7_SQL, op7_jaccard_join
 from gridlens.llm.licenses import op13_licenses
 from gridlens.llm.mixing import op8_mixing
 from gridlens.llm.nearest import OP2_SQL, op2_nearest
@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_nearest": OP2_SQL,
+    "op7_jaccard_join": OP7_SQL,
     "op9_revisits": OP9_SQL,
     "op12_ranking": OP12_SQL,
 }

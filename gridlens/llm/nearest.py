@@ -185,9 +185,9 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.e, v.e) as bigint) as score
   from v as q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 50 = 0),

@@ -1,22 +1,26 @@
-"""Document fingerprints of closed syncmers.
+"""Document fingerprints of closed syncmers, matched by position.
 
 A window of ``K`` bytes is an anchor if the smallest hash among its inner ``S``-byte substrings is at
 its first or last place. That depends on the window alone, so an edit moves no anchor outside the
-windows it touches. ``anchors`` lists them all with their positions; the query does not use it. A
-fingerprint keeps the ``KEPT`` smallest anchor hashes of the whole text, and the likeness of two
-fingerprints estimates, from those and without positions, the share of anchors that two texts have
-in common: in long texts a shared passage of under about 1 % mostly reads as likeness 0.
+windows it touches.
+
+The likeness of two texts matches all their anchors by position: equal anchors are paired by how often
+they stood before, the longest chain of pairs whose places rise in both texts is kept, and the likeness
+is the part of the bytes under anchors that lies under the chain. A fingerprint is what is stored and
+looked up for a document: the ``KEPT`` smallest anchor hashes of the whole text.
 
 Defined results: a null text is empty, with an empty fingerprint; a text shorter than ``K`` bytes
-has one anchor, its whole text; equal fingerprints, also two empty ones, have likeness 1, an empty
-and a filled one 0; repeated rows follow each other; null ids come last; other columns are ignored;
-an empty table gives an empty result; the only document is its own next one.
+has one anchor, its whole text; texts of the same anchors, also two empty ones, have likeness 1, an
+empty and a filled one 0; documents of one id, or without one, follow each other by the hash of their
+text; null ids come last; other columns are ignored; an empty table gives an empty result; the only
+document is its own next one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,46 +59,89 @@ def _smallest(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes)[:KEPT]
 
 
-def fingerprints(bodies: list[bytes]) -> list[np.ndarray]:
-    """Upper halves of the smallest anchor hashes of each text."""
-    out: list[np.ndarray] = []
+def anchor_lists(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of all anchors of each text; a text shorter than ``K`` is one anchor."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     sizes = np.array([len(x) for x in bodies], np.int64)
     for a, b in passes(sizes) if len(bodies) else ():
         if b - a == 1 and sizes[a] > PASS_BYTES:
             out.append(_long(bodies[a]))
             continue
-        data = np.frombuffer(b"".join(bodies[a:b]), np.uint8)
-        at, hashes = anchor_places(data)
-        ends = np.cumsum(sizes[a:b])
-        first = np.searchsorted(at, ends - sizes[a:b])
-        last = np.searchsorted(at, ends - K, "right")
-        for body, i, j in zip(bodies[a:b], first.tolist(), last.tolist(), strict=True):
+        at, hashes = anchor_places(np.frombuffer(b"".join(bodies[a:b]), np.uint8))
+        starts = np.cumsum(sizes[a:b]) - sizes[a:b]
+        first = np.searchsorted(at, starts)
+        last = np.searchsorted(at, starts + sizes[a:b] - K, "right")
+        for body, start, i, j in zip(bodies[a:b], starts.tolist(), first.tolist(), last.tolist(), strict=True):
             if 0 < len(body) < K:
-                found = np.array([xxhash.xxh3_64_intdigest(body)], np.uint64)
+                out.append((np.zeros(1, np.int64), np.array([xxhash.xxh3_64_intdigest(body)], np.uint64)))
             else:
-                found = _smallest(hashes[i:j])
-            out.append((found >> np.uint64(32)).astype(">u4"))
+                out.append((at[i:j] - start, hashes[i:j]))
     return out
 
 
-def _long(body: bytes) -> np.ndarray:
-    """Pieces of a very long text, overlapping by a window less one byte; the smallest of all."""
-    found = np.zeros(0, np.uint64)
+def _long(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of a very long text, overlapping by a window less one byte."""
+    found = []
     for a in range(0, len(body) - K + 1, PASS_BYTES):
-        data = np.frombuffer(body, np.uint8)[a : a + PASS_BYTES + K - 1]
-        found = _smallest(np.concatenate([found, _smallest(anchor_places(data)[1])]))
-    return (found >> np.uint64(32)).astype(">u4")
-
-
-def likeness(x: np.ndarray, y: np.ndarray) -> float:
-    """Share of common anchors among the smallest of both, an estimate of Jaccard similarity."""
-    if np.array_equal(x, y):
+        places, hashes = anchor_places(np.frombuffer(body, np.uint8)[a : a + PASS_BYTES + K - 1])
+        found.append((places + a, hashes))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Upper halves of the smallest anchor hashes."""
+    return (_smallest(hashes) >> np.uint64(32)).astype(">u4")
+
+
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Each anchor's hash mixed with how often it stood before; all are different."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    before = np.empty(len(hashes), np.uint64)
+    before[order] = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+    return hashes + before * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _rising(values: np.ndarray) -> np.ndarray:
+    """Places of a longest strictly rising chain."""
+    if not len(values) or (values[1:] > values[:-1]).all():
+        return np.arange(len(values))
+    tops: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(values)
+    for i, v in enumerate(values.tolist()):
+        j = bisect_left(tops, v)
+        before[i] = ends[j - 1] if j else -1
+        tops[j : j + 1], ends[j : j + 1] = [v], [i]
+    chain, i = [], ends[-1]
+    while i >= 0:
+        chain.append(i)
+        i = before[i]
+    return np.array(chain[::-1])
+
+
+def _covered(places: np.ndarray, size: int) -> int:
+    """Bytes under windows that begin at rising places of a text."""
+    if not len(places):
+        return 0
+    return int(np.minimum(np.diff(places), K).sum()) + min(K, size - int(places[-1]))
+
+
+def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int]) -> float:
+    """Part of the bytes under anchors that the chain of matched anchors covers, in both texts."""
+    if np.array_equal(x[1], y[1]):
         return 1.0
-    if not len(x) or not len(y):
+    if not len(x[1]) or not len(y[1]):
         return 0.0
-    x, y = np.unique(x), np.unique(y)
-    both = np.union1d(x, y)[:KEPT]
-    return len(np.intersect1d(np.intersect1d(x, y, True), both, True)) / len(both)
+    _, i, j = np.intersect1d(_numbered(x[1]), _numbered(y[1]), assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    order = np.argsort(x[0][i])
+    own, other = x[0][i][order], y[0][j][order]
+    chain = _rising(other)
+    held = _covered(own[chain], sizes[0]) + _covered(other[chain], sizes[1])
+    return held / (_covered(x[0], sizes[0]) + _covered(y[0], sizes[1]))
 
 
 def edited(text: str, following: str) -> str:
@@ -122,28 +169,28 @@ OUT = (
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by range, borrowed last, descending id: each row meets the next one of its range."""
+    """Rows by range, borrowed last, in order: each row meets the next one of its range."""
     names = [x.split()[0] for x in OUT.split(", ")]
     held = None
     for batch in batches:
         for a, b in passes(np.diff(raw(batch.column(3))[1])):
-            part, borrowed, ids, bodies = (batch.column(i).slice(a, b - a).to_pylist() for i in range(4))
-            prints = fingerprints([x.encode("utf-8") for x in bodies])
-            rows = list(zip(part, borrowed, ids, bodies, prints, strict=True))
+            borrowed, ids, texts_ = (batch.column(i).slice(a, b - a).to_pylist() for i in (1, 2, 3))
+            bodies = [x.encode("utf-8") for x in texts_]
+            rows = list(zip(borrowed, ids, texts_, bodies, anchor_lists(bodies), strict=True))
             if held is not None:
                 rows.insert(0, held)
-            pairs = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[1]]
+            pairs = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[0]]
             held = rows[-1]
-            changed = [edited(x[3], y[3]).encode("utf-8") for x, y in pairs]
-            own = fingerprints(changed)
+            changed = [edited(x[2], y[2]).encode("utf-8") for x, y in pairs]
+            own = anchor_lists(changed)
             columns = [
-                [x[2] for x, _ in pairs],
-                [len(x[3]) for x, _ in pairs],
+                [x[1] for x, _ in pairs],
+                [len(x[2]) for x, _ in pairs],
                 [hashlib.sha256(c).hexdigest() for c in changed],
-                [x[4].tobytes().hex() for x, _ in pairs],
-                [e.tobytes().hex() for e in own],
-                [likeness(x[4], e) for (x, _), e in zip(pairs, own, strict=True)],
-                [likeness(x[4], y[4]) for x, y in pairs],
+                [fingerprint(x[4][1]).tobytes().hex() for x, _ in pairs],
+                [fingerprint(e[1]).tobytes().hex() for e in own],
+                [likeness(x[4], e, (len(x[3]), len(c))) for (x, _), e, c in zip(pairs, own, changed, strict=True)],
+                [likeness(x[4], y[4], (len(x[3]), len(y[3]))) for x, y in pairs],
             ]
             kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
             yield pa.RecordBatch.from_arrays(
@@ -154,29 +201,43 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to it and to the next.
 
-    Ids are cut into ranges at quantiles. Each range is sorted in one task and borrows the first
-    document of the range that follows (the last range that of the first one), so texts are
-    shuffled once and no task sees more than its range.
+    Ids are cut into ranges at quantiles; an id (or null) of more rows than a range is cut by the hash
+    of its texts. Each range is sorted in one task and borrows the first document of the range that
+    follows (the last range that of the first one), so texts are shuffled once and no task sees more
+    than its range.
     """
     spark = docs.sparkSession
-    docs = texts(docs, id_col, text_col)
+    docs = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    ranged = docs.withColumn(
-        "part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_search(sorted(set(cuts or [])), F.col("doc_id")))
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.agg(
+        F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"), F.count(F.lit(1)).alias("n")
+    ).first()
+    fill = max(1, found.n // parts)
+    # At most one id for each range has more rows than a range.
+    crowded = {r.doc_id: -(-r.n // fill) for r in counts.filter(F.col("n") > fill).collect()}
+    alone = {c for h in crowded if h is not None for c in (h, h + 1) if c < 1 << 63}
+    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_search(sorted({*(found.cuts or []), *alone}), F.col("doc_id")))
+    pieces = spark.createDataFrame(list(crowded.items()) or [(None, 1)], "crowd bigint, pieces int")
+    share = F.col("hash") / F.lit(2.0**64) + F.lit(0.5)
+    ranged = (
+        docs.join(F.broadcast(pieces), F.expr("doc_id <=> crowd"), "left")
+        .withColumn("piece", F.coalesce(F.least(F.floor(share * F.col("pieces")), F.col("pieces") - 1), F.lit(0)))
+        .select(F.struct((-place).alias("place"), F.col("piece").cast("int").alias("piece")).alias("part"), "doc_id", "hash", "text")
+    )
+    first = F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id")).alias("down"), "hash", "doc_id")
+    # One row per range.
+    heads = sorted(ranged.groupBy("part").agg(F.min(first).alias("head")).collect())
+    loans = [(p.part, q.head.doc_id, q.head.hash) for p, q in zip(heads, heads[1:] + heads[:1], strict=True)]
+    to = spark.createDataFrame(loans, "part struct<place:int,piece:int>, head bigint, head_hash bigint")
+    lent = docs.join(F.broadcast(to.select("head", "head_hash").distinct()), F.expr("doc_id <=> head and hash = head_hash"), "left_semi")
+    lent = lent.groupBy("doc_id", "hash").agg(F.min("text").alias("text"))
+    borrowed = to.join(lent, F.expr("head <=> doc_id and head_hash = hash")).select(
+        "part", F.lit(True).alias("borrowed"), "doc_id", "text", "hash"
     )
-    # One row per range: at most RANGES per shuffle partition.
-    heads = {r["part"]: r["head"] for r in ranged.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads, reverse=True)
-    loans = [(p, heads[q]) for p, q in zip(order, order[1:] + order[:1], strict=True)]
-    to = spark.createDataFrame(loans, "part int, head bigint")
-    known = [h for _, h in loans if h is not None]
-    first = docs.filter(F.col("doc_id").isin(known) | (F.lit(None in heads.values()) & F.col("doc_id").isNull()))
-    first = first.groupBy("doc_id").agg(F.min("text").alias("text"))
-    borrowed = to.join(first, F.expr("head <=> doc_id")).select("part", F.lit(True).alias("borrowed"), "doc_id", "text")
-    every = ranged.select("part", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(borrowed)
+    every = ranged.select("part", F.lit(False).alias("borrowed"), "doc_id", "text", "hash").unionByName(borrowed)
     placed = every.repartition("part").sortWithinPartitions(
-        F.col("part").desc(), "borrowed", F.col("doc_id").desc_nulls_last(), "text"
+        "part", "borrowed", F.col("doc_id").desc_nulls_last(), "hash", "text"
     )
     return placed.mapInArrow(_compare, OUT)
 

@@ -38,6 +38,8 @@ K = 32
 SIDE = LENGTH - K
 # Distinct contexts of one minimizer that a task sorts.
 GROUP = 4096
+# Minimizers that may be sent to every task because they are the most frequent.
+HOT_MARKS = 1 << 16
 # Contexts sorted together in one numpy pass.
 TOGETHER = 20_000
 # Bits of the filters that keep texts without repeats from being shuffled: fixed size.
@@ -132,13 +134,17 @@ def _only_marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     return _with_bit(rows, *keys).mapInArrow(run, rows.schema)
 
 
-CONTEXTS = (
-    "mark bigint, doc bigint, text_key bigint, place int, before int, c1 bigint, c2 bigint, context binary"
-)
+SEEN = "mark bigint, doc bigint, text_key bigint, place int, before int, length int, c1 bigint, c2 bigint"
+
+
+def _around(body: bytes, place: int) -> tuple[int, bytes]:
+    """The context of a minimizer, and how many bytes of it lie before the minimizer."""
+    start = max(0, place - SIDE)
+    return place - start, body[start : place + LENGTH]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Context of each repeated minimizer of a text: mark, place and the bytes around it."""
+    """Digest of the context of each repeated minimizer of a text."""
     before_it = None
     for batch in batches:
         out: list[tuple] = []
@@ -150,13 +156,29 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before_it = doc, key
             marks, places = batch.column(3)[row], batch.column(4)[row]
             for mark, place in zip(marks.values.to_numpy().tolist(), places.values.to_numpy().tolist(), strict=True):
-                start = max(0, place - SIDE)
-                context = body[start : place + LENGTH]
-                before = place - start
+                before, context = _around(body, place)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(context, before), np.int64).tolist()
-                out.append((mark, doc, key, place, before, *digest, context))
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()]
-        names = [x.split()[0] for x in CONTEXTS.split(", ")]
+                out.append((mark, doc, key, place, before, len(context), *digest))
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * 2
+        names = [x.split()[0] for x in SEEN.split(", ")]
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+HEADS = "mark bigint, doc bigint, text_key bigint, place int, before int, context binary"
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts themselves, of the first places of distinct ones."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row, data in _documents(batch.column(1)):
+            doc, key, body = batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), data.tobytes()
+            marks, places = batch.column(3)[row], batch.column(4)[row]
+            for mark, place in zip(marks.values.to_numpy().tolist(), places.values.to_numpy().tolist(), strict=True):
+                out.append((mark, doc, key, place, *_around(body, place)))
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+        names = [x.split()[0] for x in HEADS.split(", ")]
         columns = zip(*out, strict=True) if out else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -268,6 +290,11 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Spans of the contexts of some minimizers; rows of one document may have sent a context twice."""
+    keys = [rows.column(c).to_numpy() for c in ("mark", "doc", "text_key", "place")]
+    fresh = np.append(True, np.any([x[1:] != x[:-1] for x in keys], axis=0))
+    if not fresh.all():
+        rows = rows.filter(pa.array(fresh))
     column = {c: rows.column(c).to_numpy() for c in ("mark", "doc", "text_key", "place", "before")}
     rank = np.lexsort((column["place"], column["text_key"], column["doc"]))
     order = np.empty(len(rank), np.int64)
@@ -309,22 +336,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc``, ``text_key``, ``start``, ``stop``: bytes of ``docs`` (``doc``, ``text``, ``text_key``)
     that a string with an earlier place covers. Spans overlap."""
     sampled = docs.mapInArrow(_sample, "mark bigint, doc bigint, text_key bigint, place int")
-    counted = sampled.groupBy("mark").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
-    marks = written(sampled.join(counted.select("mark"), "mark"), "repeat-marks")
-    # One text's places a list: rows of one document repeat them, other texts of the id have their own.
+    marks = written(_repeated(sampled), "repeat-marks")
     text = ["doc", "text_key"]
-    lists = marks.groupBy(*text).agg(F.collect_set(F.struct("mark", "place")).alias("all"))
-    lists = lists.select(*text, F.col("all.mark").alias("marks"), F.col("all.place").alias("places"))
-    at_marks = _only_marked(docs, marks, *text).join(lists, text).select("doc", "text", "text_key", "marks", "places")
-    seen = written(at_marks.mapInArrow(_contexts, CONTEXTS), "repeat-contexts")
+    seen = written(_at_places(docs, marks).mapInArrow(_contexts, SEEN), "repeat-contexts")
 
     one = ["mark", "c1", "c2"]
     where = F.struct("doc", "text_key", "place")
     firsts = written(seen.groupBy(*one).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")), "repeat-firsts")
     # Equal contexts: all but the first are repeats as a whole.
-    length = F.octet_length("context")
     later = (
-        seen.select(*one, "doc", "text_key", "place", "before", length.alias("length"))
+        seen.select(*one, "doc", "text_key", "place", "before", "length")
         .filter(F.col("length") >= LENGTH)
         .join(firsts.filter("n > 1").select(*one, "first"), one)
         .filter(where != F.col("first"))
@@ -333,15 +354,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     # Distinct contexts: only their first places can still be repeats of another context.
     sizes = firsts.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    heads = firsts.join(sizes, "mark").select("mark", "first.*", "contexts")
-    own = ["mark", "doc", "place", "text_key"]
-    heads = written(heads, "repeat-places")
-    bytes_of = _only_marked(seen.drop("c1", "c2"), heads, *own)
-    heads = bytes_of.join(heads, own).dropDuplicates(own)
-    heads = written(heads, "repeat-heads")
-    few = heads.filter(F.col("contexts") <= GROUP).repartition("mark").sortWithinPartitions("mark")
+    heads = written(firsts.join(sizes, "mark").select("mark", "first.*", "contexts"), "repeat-places")
+    few = _at_places(docs, heads.filter(F.col("contexts") <= GROUP)).mapInArrow(_heads, HEADS)
+    few = few.repartition("mark").sortWithinPartitions("mark", *text, "place")
     spans = later.unionByName(few.mapInArrow(_spans, SPANS))
-    strings = heads.filter(F.col("contexts") > GROUP).mapInArrow(
+    crowded = heads.filter(F.col("contexts") > GROUP)
+    if crowded.isEmpty():
+        return spans
+    strings = _at_places(docs, crowded).mapInArrow(_heads, HEADS).mapInArrow(
         _strings, "s1 bigint, s2 bigint, doc bigint, text_key bigint, start int"
     )
     string = ["s1", "s2"]
@@ -352,6 +372,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.unionByName(many)
 
 
+def _repeated(sampled: DataFrame) -> DataFrame:
+    """Places of minimizers that occur more than once. The most frequent ones, of which there are at
+    most ``HOT_MARKS``, are known to every task and not shuffled; any other has few of all places."""
+    counted = written(
+        sampled.groupBy("mark").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"), "repeat-counts"
+    )
+    total = counted.agg(F.sum("places")).first()[0] or 0
+    hot = counted.filter(F.col("places") > total / HOT_MARKS).select("mark")
+    usual = sampled.join(F.broadcast(hot), "mark", "left_anti").join(counted.select("mark"), "mark", "left_semi")
+    return sampled.join(F.broadcast(hot), "mark", "left_semi").unionByName(usual)
+
+
+def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``doc``, ``text``, ``text_key`` of the texts with places, and their ``marks`` and ``places``. Rows
+    of one document have the same places; other texts of its id have their own."""
+    text = ["doc", "text_key"]
+    lists = places.groupBy(*text).agg(F.collect_set(F.struct("mark", "place")).alias("all"))
+    lists = lists.select(*text, F.col("all.mark").alias("marks"), F.col("all.place").alias("places"))
+    return _only_marked(docs, places, *text).join(lists, text).select("doc", "text", "text_key", "marks", "places")
+
+
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
 
 

@@ -9,7 +9,8 @@ Queries are dealt in blocks: each pair of shard and block is one bounded group.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; only
 vectors of equal length are compared; a query's candidates are all rows of another id, repeated rows
-each on their own; repeated rows of one query are answered once; ties go to the smaller id; null ids
+each on their own; repeated rows of one query are answered once, different vectors of one query id are
+queries with ranks of their own; ties go to the smaller id; null ids
 take no part; other columns are ignored; an empty table gives an empty result.
 """
 

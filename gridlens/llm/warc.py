@@ -10,8 +10,8 @@ and the last response of the slices before it is carried in from one small aggre
 
 Defined results: null URLs match nothing; records of equal time follow their id; a revisit without
 any validator in common with the response does not resolve; entity tags agree as weak ones, with or
-without ``W/``; repeated rows are separate records;
-other columns are ignored; an empty table gives an empty result.
+without ``W/``; repeated rows are separate records; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -65,7 +65,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.col("record_id").cast("bigint"), F.col("time").cast("bigint"), canonical_url(F.col("url")).alias("canonical_url"),
         "kind", "headers", F.col("body_chars").cast("bigint"),
     )
-    placed = own.withColumn("slice", _slice(own))
+    # Written once: the slices, the responses they carry on and the revisits are read from it.
+    placed = written(own.withColumn("slice", _slice(own)), "revisit-records")
     full = F.struct("time", "record_id", F.col("headers").alias("full_headers"), F.col("body_chars").alias("full_chars"))
     offered = F.when((F.col("kind") == "response") & F.col("canonical_url").isNotNull(), full)
     key = F.struct("time", "record_id")

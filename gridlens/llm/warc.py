@@ -112,66 +112,86 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def page_records(pages: DataFrame) -> DataFrame:
     """Archive records of a crawl that asks again for every page.
 
-    A page is one response, with an entity tag of its own content. It is asked for again later,
-    and the answer is a revisit that names the tag the crawler holds. Ids order the crawl: visit
-    n of page p is record 2 p + n; the second round comes half a table of ids after the first.
+    A page is one response with its body. It is asked for again later, and the answer is a revisit that
+    names the validators the crawler holds. Pages take turns: a strong entity tag on both records, a weak
+    one on the response, a modification time instead of a tag, the tag of another content, the same tag
+    with another modification time. Every eleventh page has lost its URL. Ids order the crawl: visit n of
+    page p is record 2 p + n; the second round comes half a table of ids after the first.
     """
-    tag = F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    body = F.coalesce(F.col("html"), F.lit(""))
+    turn = F.col("page_id") % 5
+    tag = F.concat(F.lit('"'), F.md5(body.cast("binary")), F.lit('"'))
+    changed = F.concat(F.lit('"'), F.md5(F.concat(body, F.lit("new")).cast("binary")), F.lit('"'))
+    modified = F.concat(F.lit("day "), F.col("page_id").cast("string"))
     later = F.floor(F.col("page_id") / 2)
-    first = F.create_map(
-        F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string"),
-        F.lit("content-length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
-        F.lit("server"), F.lit("a"),
+
+    def headers(**values: Column) -> Column:
+        """A header for each value that is not null."""
+        named = F.array(*[F.struct(F.lit(k.replace("_", "-")).alias("key"), v.alias("value")) for k, v in values.items()])
+        return F.map_from_entries(F.filter(named, lambda e: e["value"].isNotNull()))
+
+    first = headers(
+        etag=F.when(turn == 1, F.concat(F.lit("W/"), tag)).when(turn != 2, tag), last_modified=F.when(turn.isin(2, 4), modified),
+        content_type=F.lit("text/html"), date=F.col("page_id").cast("string"), server=F.lit("a"),
+        content_length=F.octet_length(body).cast("string"),
     )
-    again = F.create_map(
-        F.lit("etag"), tag, F.lit("date"), (F.col("page_id") + later).cast("string"),
-        F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=60"),
+    again = headers(
+        etag=F.when(turn == 3, changed).when(turn != 2, tag),
+        last_modified=F.when(turn == 2, modified).when(turn == 4, F.concat(modified, F.lit("b"))),
+        date=(F.col("page_id") + later).cast("string"), content_length=F.lit("0"), cache_control=F.lit("max-age=60"),
     )
     visits = F.array(
         F.struct((F.col("page_id") * 2).alias("record_id"), F.col("page_id").alias("time"), F.lit("response").alias("kind"),
-                 first.alias("headers"), F.char_length(F.coalesce("html", F.lit(""))).alias("body_chars")),
+                 first.alias("headers"), F.char_length(body).alias("body_chars"), body.alias("body")),
         F.struct((F.col("page_id") * 2 + 1).alias("record_id"), (F.col("page_id") + later).alias("time"),
-                 F.lit("revisit").alias("kind"), again.alias("headers"), F.lit(0).alias("body_chars")),
+                 F.lit("revisit").alias("kind"), again.alias("headers"), F.lit(0).alias("body_chars"), F.lit(None).cast("string").alias("body")),
     )
-    return pages.select("url", F.inline(visits))
+    return pages.select(F.when(F.col("page_id") % 11 != 7, F.col("url")).alias("url"), F.inline(visits))
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revisits of all pages; headers as sorted ``name: value`` lines."""
+    """Revisits of all pages; headers as sorted ``name: value`` lines, the body they take as its digest."""
     found = resolve_revisits(page_records(table(spark, sf_dir, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return found.select("record_id", "canonical_url", "response_id", "outcome", F.array_join(lines, "\n").alias("headers"), "body_chars")
+    return found.select(
+        "record_id", "canonical_url", "response_id", "outcome", F.array_join(lines, "\n").alias("headers"), "body_chars",
+        F.md5(F.col("body").cast("binary")).alias("body_md5"),
+    )
 
 
 OP9_SQL = r"""
 with u as (
-  select page_id, coalesce(html, '') as html,
-    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages),
+  select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(
+    trim(case when page_id % 11 <> 7 then url end), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages),
 h as (
   select page_id, html,
     regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') as host,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''),
       '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g') as rest from u),
 p as (
-  select page_id, html, md5(html) as tag,
-    host || regexp_replace(regexp_replace(rest, '[?&]+$', ''), '/+$', '') as canonical_url from h),
+  select page_id, html, page_id % 5 as turn, case when page_id % 5 <> 2 then '"' || md5(html) || '"' end as tag,
+    'day ' || page_id as day, host || regexp_replace(regexp_replace(rest, '[?&]+$', ''), '/+$', '') as canonical_url from h),
 v as (
-  select page_id, canonical_url, tag, page_id * 2 + 1 as record_id,
-    page_id + cast(floor(page_id / 2) as bigint) as time from p),
+  select page_id, canonical_url, page_id * 2 + 1 as record_id, page_id + cast(floor(page_id / 2) as bigint) as time,
+    case when turn = 3 then '"' || md5(html || 'new') || '"' else tag end as tag,
+    case turn when 2 then day when 4 then day || 'b' end as day from p),
 j as (
-  select v.*, r.page_id as full_page, r.tag as full_tag, r.html as full_html,
+  select v.*, r.page_id as full_page, r.tag as full_tag, case when r.turn in (2, 4) then r.day end as full_day,
+    r.turn as full_turn, r.html as full_html,
     row_number() over (partition by v.record_id order by r.page_id desc nulls last) as n
   from v left join p as r on r.canonical_url = v.canonical_url
-    and (r.page_id < v.time or (r.page_id = v.time and r.page_id * 2 < v.record_id)))
+    and (r.page_id < v.time or (r.page_id = v.time and r.page_id * 2 < v.record_id))),
+k as (
+  select *, coalesce(tag = full_tag, day = full_day, false) and coalesce(day = full_day, true) as agrees from j where n = 1)
 select record_id, canonical_url,
-  case when full_tag = tag then full_page * 2 end as response_id,
-  case when full_page is null then 'no response' when full_tag = tag then 'resolved' else 'changed' end as outcome,
-  case when full_tag = tag then
-    'cache-control: max-age=60' || chr(10) || 'content-length: ' || strlen(full_html) || chr(10) ||
-    'content-type: text/html' || chr(10) || 'date: ' || time || chr(10) || 'etag: ' || tag || chr(10) || 'server: a'
-  else
-    'cache-control: max-age=60' || chr(10) || 'content-length: 0' || chr(10) ||
-    'date: ' || time || chr(10) || 'etag: ' || tag end as headers,
-  case when full_tag = tag then length(full_html) end as body_chars
-from j where n = 1
+  case when agrees then full_page * 2 end as response_id,
+  case when full_page is null then 'no response' when agrees then 'resolved' else 'changed' end as outcome,
+  concat_ws(chr(10), 'cache-control: max-age=60',
+    'content-length: ' || case when agrees then strlen(full_html) else 0 end,
+    case when agrees then 'content-type: text/html' end, 'date: ' || time,
+    'etag: ' || coalesce(tag, case when agrees then case when full_turn = 1 then 'W/' else '' end || full_tag end),
+    'last-modified: ' || coalesce(day, case when agrees then full_day end),
+    case when agrees then 'server: a' end) as headers,
+  case when agrees then length(full_html) end as body_chars, case when agrees then md5(full_html) end as body_md5
+from k
 """

@@ -69,6 +69,19 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, byte by byte: high bytes are zeros, which compress away."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def numbers(data: bytes, width: int) -> np.ndarray:
+    """What :func:`planes` was given."""
+    held = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((held.shape[1], 8), np.uint8)
+    out[:, :width] = held.T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import WORD, mixed, passes, raw, table, texts, word_hashes, written
+from gridlens.llm.common import WORD, mixed, numbers, passes, planes, raw, table, texts, word_hashes, written
 from gridlens.llm.graphs import components
 
 WORDS = 5
@@ -154,18 +154,6 @@ def _prefix(n: np.ndarray | int) -> np.ndarray | int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number, byte by byte: high bytes are zeros, which compress away."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _numbers(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 POSTED = "part int, chunk bigint, ids binary, docs binary, rest binary"
 
 
@@ -177,7 +165,7 @@ def _posted(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _send(counts: np.ndarray, heavy: np.ndarray, parts: int):
+def _send(counts: np.ndarray, heavy: np.ndarray, parts: int, most_bytes: int, most_docs: int):
     """Counted grams of each chunk by range of hashes, and a row with the chunk's documents: nodes, set
     sizes, numbers of counted grams, and the prefix grams that are not counted."""
 
@@ -190,9 +178,9 @@ def _send(counts: np.ndarray, heavy: np.ndarray, parts: int):
         part = ((ids >> np.uint64(ID_BITS - 20)) * np.uint64(parts)) >> np.uint64(20)
         held, first = np.unique(part, return_index=True)
         rows = []
-        for p, i, j in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+        for p, i, j in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(ids)][: len(held)], strict=True):
             steps = np.diff(ids[i:j], prepend=np.uint64(0))
-            rows.append((p, chunk, _planes(steps, 5), _planes(docs[i:j], 2), None))
+            rows.append((p, chunk, planes(steps, 5), planes(docs[i:j], 2), None))
         shape = np.array([sizes, lengths, [len(x) for x in rest]], np.int64)
         rows.append((chunk % parts, chunk, np.array(nodes, np.int64).tobytes(), shape.tobytes(), np.concatenate(rest).tobytes()))
         return _posted(rows)
@@ -215,7 +203,7 @@ def _send(counts: np.ndarray, heavy: np.ndarray, parts: int):
                     rest = rest[order[: _prefix(n) - len(light)]]
                 sets.append((_node(key)[0], n, light, rest))
                 held += lengths[row]
-                if held >= CHUNK_BYTES or len(sets) == CHUNK_DOCS:
+                if held >= most_bytes or len(sets) == most_docs:
                     yield chunk_rows(chunk, sets)
                     chunk, sets, held = chunk + 1, [], 0
         if sets:
@@ -247,7 +235,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(rows: list[tuple]) -> list[tuple]:
     if not rows:
         return []
-    lists = [np.cumsum(_numbers(row[2], 5)) for row in rows]
+    lists = [np.cumsum(numbers(row[2], 5)) for row in rows]
     ids = np.concatenate(lists)
     order = np.argsort(ids, kind="stable")
     new = np.append(True, np.diff(ids[order]) > 0)
@@ -262,8 +250,8 @@ def _shared(rows: list[tuple]) -> list[tuple]:
         keep = times > 1
         if keep.any():
             steps = np.diff(own[keep], prepend=np.uint64(0))
-            docs = _planes(_numbers(docs, 2)[keep], 2) + times[keep].astype(np.uint8).tobytes()
-            out.append((part, chunk, _planes(steps, 5), docs, None))
+            docs = planes(numbers(docs, 2)[keep], 2) + times[keep].astype(np.uint8).tobytes()
+            out.append((part, chunk, planes(steps, 5), docs, None))
     return out
 
 
@@ -290,9 +278,9 @@ def _chunk_entries(rows: list[tuple]) -> pa.RecordBatch:
     nodes, rest = np.frombuffer(nodes, np.int64), np.frombuffer(rest, np.uint64)
     n, light, resting = np.frombuffer(shape, np.int64).reshape(3, -1)
     lists = [row for row in rows if row[3] is None]
-    ids = np.concatenate([np.cumsum(_numbers(x[1], 5)) for x in lists] or [np.zeros(0, np.uint64)])
+    ids = np.concatenate([np.cumsum(numbers(x[1], 5)) for x in lists] or [np.zeros(0, np.uint64)])
     sizes = [len(x[1]) // 5 for x in lists]
-    docs = np.concatenate([_numbers(x[2][: 2 * m], 2) for x, m in zip(lists, sizes, strict=True)] or [ids]).astype(np.int64)
+    docs = np.concatenate([numbers(x[2][: 2 * m], 2) for x, m in zip(lists, sizes, strict=True)] or [ids]).astype(np.int64)
     times = np.concatenate([np.frombuffer(x[2][2 * m :], np.uint8) for x, m in zip(lists, sizes, strict=True)] or [docs])
     order = np.lexsort((ids, times, docs))
     ids, docs = ids[order], docs[order]
@@ -314,7 +302,7 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, documents: int) -> DataF
     """Prefix grams that may be shared, of all documents; written once."""
     heavy = counts > 2 * counts.mean() + max(HEAVY_LEAST, documents / HEAVY_PART)
     parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = docs.select("doc_id", "text").mapInArrow(_send(counts, heavy, parts), POSTED)
+    posted = docs.select("doc_id", "text").mapInArrow(_send(counts, heavy, parts, CHUNK_BYTES, CHUNK_DOCS), POSTED)
     counted = posted.repartition("part").sortWithinPartitions("part").mapInArrow(_count, POSTED)
     found = counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_entries, ENTRIES)
     return written(found, "jaccard-entries")

@@ -28,18 +28,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import mixed, passes, raw, sliding_min, table, texts, window_hashes, written
+from gridlens.llm.common import mixed, numbers, passes, planes, raw, sliding_min, table, texts, window_hashes, written
 
 LENGTH = 100
 K = 32
 SIDE = LENGTH - K
 # Distinct contexts of one minimizer that a task sorts.
 GROUP = 4096
-# Minimizers that may be sent to every task because they are the most frequent.
-HOT_MARKS = 1 << 16
+# Minimizers of a chunk, its most documents (two bytes each), ranges of hashes per shuffle partition,
+# and the bits of a hash that are not compared when repeated ones are looked for.
+CHUNK_MARKS = 1 << 18
+CHUNK_DOCS = 1 << 16
+RANGES = 4
+REST_BITS = 24
 # Contexts sorted together in one numpy pass.
 TOGETHER = 20_000
 # Bits of the filters that keep texts without repeats from being shuffled: fixed size.
@@ -90,18 +95,167 @@ def _minimizers_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarr
             yield row, places[i:j] + begin - at[row], hashes[i:j]
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+POSTED = "part int, chunk bigint, kind int, ids binary, rest binary"
+# Kinds of rows: minimizers that stand once in their chunk, one place for each that stands more often
+# there, all places of the latter, and the chunk's documents.
+ONCE, OFTEN, PLACES, DOCUMENTS = range(4)
+
+
+def _posted(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in POSTED.split(", ")]
+    )
+
+
+def _where(marks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> bytes:
+    """The rest of each minimizer's hash, its document in the chunk and its place there."""
+    return planes(marks & np.uint64((1 << REST_BITS) - 1), 3) + planes(docs, 2) + planes(places, 4)
+
+
+def _chunk_rows(chunk: int, parts: int, documents: list[tuple], found: list[tuple]) -> pa.RecordBatch:
+    rows = [(chunk % parts, chunk, DOCUMENTS, None, np.array(documents, np.int64).tobytes())]
+    marks = np.concatenate([x[0] for x in found])
+    docs = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    places = np.concatenate([x[1] for x in found])
+    order = np.argsort(marks, kind="stable")
+    marks, docs, places = marks[order], docs[order], places[order]
+    ids = marks >> np.uint64(REST_BITS)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(ids)))
+    alone = np.repeat(times == 1, times)
+    if not alone.all():
+        steps = np.diff(ids[~alone], prepend=np.uint64(0))
+        rows.append((chunk % parts, chunk, PLACES, planes(steps, 5), _where(marks[~alone], docs[~alone], places[~alone])))
+    for kind, at in ((ONCE, first[times == 1]), (OFTEN, first[times > 1])):
+        if not len(at):
+            continue
+        own = ids[at]
+        part = ((own >> np.uint64(20)) * np.uint64(parts)) >> np.uint64(20)
+        held, begin = np.unique(part, return_index=True)
+        for p, i, j in zip(held.tolist(), begin.tolist(), [*begin[1:].tolist(), len(own)], strict=True):
+            some = at[i:j]
+            steps = planes(np.diff(own[i:j], prepend=np.uint64(0)), 5)
+            rows.append((p, chunk, kind, steps, _where(marks[some], docs[some], places[some]) if kind == ONCE else None))
+    return _posted(rows)
+
+
+def _send(parts: int, most_marks: int, most_docs: int):
+    """Minimizers of each chunk of documents by range of hashes: every hash once for each chunk, so no
+    range is crowded by a passage that very many documents hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, documents, found, held = TaskContext.get().partitionId() << 24, [], [], 0
+        for batch in batches:
+            before_it = None
+            lengths = np.diff(raw(batch.column(1))[1]).tolist()
+            ids, keys = batch.column(0).to_numpy().tolist(), batch.column(2).to_numpy().tolist()
+            for row, places, hashes in _minimizers_of(batch.column(1)):
+                if lengths[row] < LENGTH or not len(places):
+                    continue
+                if before_it != row:
+                    if held >= most_marks or len(documents) == most_docs:
+                        yield _chunk_rows(chunk, parts, documents, found)
+                        chunk, documents, found, held = chunk + 1, [], [], 0
+                    documents.append((ids[row], keys[row]))
+                    found.append((hashes, places))
+                else:  # a further piece of a long text
+                    found[-1] = tuple(map(np.concatenate, zip(found[-1], (hashes, places), strict=True)))
+                before_it = row
+                held += len(places)
+        if documents:
+            yield _chunk_rows(chunk, parts, documents, found)
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by range: sends back to each chunk its minimizers that other chunks have too."""
+    now, held = None, []
     for batch in batches:
         out = []
-        lengths = np.diff(raw(batch.column(1))[1])
-        ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        for row, places, hashes in _minimizers_of(batch.column(1)):
-            if lengths[row] >= LENGTH and len(places):
-                own = (np.full(len(places), x[row]) for x in (ids, keys))
-                out.append((hashes.view(np.int64), *own, places.astype(np.int32)))
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[2] in (PLACES, DOCUMENTS):
+                out.append(row)
+                continue
+            if row[0] != now:
+                out += _elsewhere(held)
+                now, held = row[0], []
+            held.append(row)
         if out:
-            columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["mark", "doc", "text_key", "place"])
+            yield _posted(out)
+    if held:
+        yield _posted(_elsewhere(held))
+
+
+def _elsewhere(rows: list[tuple]) -> list[tuple]:
+    if not rows:
+        return []
+    lists = [np.cumsum(numbers(row[3], 5)) for row in rows]
+    ids = np.concatenate(lists)
+    weight = np.repeat([1 if row[2] == ONCE else 2 for row in rows], [len(x) for x in lists])
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
+    times = np.add.reduceat(weight[order], first)
+    repeated = np.empty(len(ids), bool)
+    repeated[order] = np.repeat(times > 1, np.diff(np.append(first, len(ids))))
+    out, at = [], 0
+    for (part, chunk, kind, _, rest), own in zip(rows, lists, strict=True):
+        keep = repeated[at : at + len(own)]
+        at += len(own)
+        if kind == ONCE and keep.any():
+            kept = np.frombuffer(rest, np.uint8).reshape(9, -1)[:, keep].tobytes()
+            out.append((part, chunk, ONCE, planes(np.diff(own[keep], prepend=np.uint64(0)), 5), kept))
+    return out
+
+
+LISTS = "doc bigint, text_key bigint, marks array<bigint>, places array<int>"
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by chunk: each document's repeated minimizers and their places."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            if row[0] != now:
+                if held:
+                    yield _document_lists(held)
+                now, held = row[0], []
+            held.append(row)
+    if held:
+        yield _document_lists(held)
+
+
+def _document_lists(rows: list[tuple]) -> pa.RecordBatch:
+    documents = next(np.frombuffer(row[3], np.int64).reshape(-1, 2) for row in rows if row[1] == DOCUMENTS)
+    marks, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, kind, ids, rest in rows:
+        if kind != DOCUMENTS:
+            n = len(ids) // 5
+            marks.append((np.cumsum(numbers(ids, 5)) << np.uint64(REST_BITS)) + numbers(rest[: 3 * n], 3))
+            docs.append(numbers(rest[3 * n : 5 * n], 2).astype(np.int64))
+            places.append(numbers(rest[5 * n :], 4).astype(np.int64))
+    marks, docs, places = (np.concatenate(x) for x in (marks, docs, places))
+    order = np.lexsort((places, docs))
+    marks, docs, places = marks[order].view(np.int64), docs[order], places[order].astype(np.int32)
+    held, first = np.unique(docs, return_index=True)
+    ends = pa.array(np.append(first, len(docs)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(documents[held, 0]), pa.array(documents[held, 1]), pa.ListArray.from_arrays(ends, pa.array(marks)),
+         pa.ListArray.from_arrays(ends, pa.array(places))], [x.split()[0] for x in LISTS.split(", ")],
+    )
+
+
+def repeated_minimizers(docs: DataFrame) -> DataFrame:
+    """``doc``, ``text_key``, ``marks``, ``places``: minimizers that occur more than once, of every
+    document that has any; written once. A few that do not may be among them (40 bits of the hash are
+    compared)."""
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = docs.mapInArrow(_send(parts, CHUNK_MARKS, CHUNK_DOCS), POSTED)
+    answered = posted.repartition("part").sortWithinPartitions("part").mapInArrow(_answer, POSTED)
+    found = answered.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_lists, LISTS)
+    return written(found, "repeat-lists")
 
 
 def _filter_bits(rows: DataFrame, *keys: str) -> np.ndarray:
@@ -335,10 +489,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc``, ``text_key``, ``start``, ``stop``: bytes of ``docs`` (``doc``, ``text``, ``text_key``)
     that a string with an earlier place covers. Spans overlap."""
-    sampled = docs.mapInArrow(_sample, "mark bigint, doc bigint, text_key bigint, place int")
-    marks = written(_repeated(sampled), "repeat-marks")
     text = ["doc", "text_key"]
-    seen = written(_at_places(docs, marks).mapInArrow(_contexts, SEEN), "repeat-contexts")
+    # Rows of one document have the same places.
+    lists = repeated_minimizers(docs).groupBy(*text).agg(F.any_value("marks").alias("marks"), F.any_value("places").alias("places"))
+    seen = written(_with_lists(docs, lists).mapInArrow(_contexts, SEEN), "repeat-contexts")
 
     one = ["mark", "c1", "c2"]
     where = F.struct("doc", "text_key", "place")
@@ -372,25 +526,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.unionByName(many)
 
 
-def _repeated(sampled: DataFrame) -> DataFrame:
-    """Places of minimizers that occur more than once. The most frequent ones, of which there are at
-    most ``HOT_MARKS``, are known to every task and not shuffled; any other has few of all places."""
-    counted = written(
-        sampled.groupBy("mark").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"), "repeat-counts"
-    )
-    total = counted.agg(F.sum("places")).first()[0] or 0
-    hot = counted.filter(F.col("places") > total / HOT_MARKS).select("mark")
-    usual = sampled.join(F.broadcast(hot), "mark", "left_anti").join(counted.select("mark"), "mark", "left_semi")
-    return sampled.join(F.broadcast(hot), "mark", "left_semi").unionByName(usual)
+def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``doc``, ``text``, ``text_key`` of the texts with places, and their ``marks`` and ``places``."""
+    text = ["doc", "text_key"]
+    return _only_marked(docs, lists.select(*text), *text).join(lists, text).select("doc", "text", "text_key", "marks", "places")
 
 
 def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``doc``, ``text``, ``text_key`` of the texts with places, and their ``marks`` and ``places``. Rows
-    of one document have the same places; other texts of its id have their own."""
-    text = ["doc", "text_key"]
-    lists = places.groupBy(*text).agg(F.collect_set(F.struct("mark", "place")).alias("all"))
-    lists = lists.select(*text, F.col("all.mark").alias("marks"), F.col("all.place").alias("places"))
-    return _only_marked(docs, places, *text).join(lists, text).select("doc", "text", "text_key", "marks", "places")
+    """The same from ``mark``, ``doc``, ``text_key``, ``place``."""
+    lists = places.groupBy("doc", "text_key").agg(F.collect_set(F.struct("mark", "place")).alias("all"))
+    return _with_lists(docs, lists.select("doc", "text_key", F.col("all.mark").alias("marks"), F.col("all.place").alias("places")))
 
 
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"

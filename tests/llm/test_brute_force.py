@@ -158,6 +158,10 @@ def plain_repeats(rows):
 @pytest.mark.parametrize("group", [repeats.GROUP, 2])
 def test_repeats(corpus, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
+    if group == 2:
+        monkeypatch.setattr(repeats, "CHUNK_MARKS", 60)
+        monkeypatch.setattr(repeats, "CHUNK_DOCS", 5)
+        monkeypatch.setattr(repeats, "RANGES", 3)
     docs, rows = corpus
     found, expected = by_id(repeats.remove_repeats(docs)), plain_repeats(rows)
     assert {doc: tuple(r)[:5] for doc, r in found.items()} == expected
@@ -169,6 +173,8 @@ def test_repeats_of_null_and_repeated_ids(spark, group, monkeypatch):
     """Different texts of one id, or without an id, are cut at their own places only, and come in the
     order of their hashes; equal rows are one document."""
     monkeypatch.setattr(repeats, "GROUP", group)
+    if group == 2:
+        monkeypatch.setattr(repeats, "CHUNK_DOCS", 2)
     rng = random.Random(13)
     passage, other = ("".join(rng.choices("abcdefgh ", k=n)) for n in (400, 150))
 

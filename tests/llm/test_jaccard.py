@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from gridlens.llm import jaccard
+from gridlens.llm.common import numbers, planes
 
 
 def plain(rows):
@@ -89,16 +90,22 @@ def test_parities_never_exceed_the_difference():
 
 def test_lists_come_back_as_sent():
     values = np.array([0, 1, 255, 256, (1 << 40) - 1, 7], np.uint64)
-    assert jaccard._numbers(jaccard._planes(values, 5), 5).tolist() == values.tolist()
-    assert jaccard._numbers(jaccard._planes(values[:3], 2), 2).tolist() == [0, 1, 255]
-    assert jaccard._numbers(b"", 5).tolist() == []
+    assert numbers(planes(values, 5), 5).tolist() == values.tolist()
+    assert numbers(planes(values[:3], 2), 2).tolist() == [0, 1, 255]
+    assert numbers(b"", 5).tolist() == []
 
 
 def test_grams_that_occur_once_do_not_come_back():
     def sent(part, chunk, ids, docs):
         steps = np.diff(np.array(ids, np.uint64), prepend=np.uint64(0))
-        return part, chunk, jaccard._planes(steps, 5), jaccard._planes(np.array(docs), 2), None
+        return part, chunk, planes(steps, 5), planes(np.array(docs), 2), None
 
     back = jaccard._shared([sent(0, 4, [5, 9, 9, 30], [0, 0, 1, 2]), sent(0, 8, [5, 31], [3, 3])])
-    read = {chunk: (np.cumsum(jaccard._numbers(ids, 5)).tolist(), list(docs[-(len(ids) // 5):])) for _, chunk, ids, docs, _ in back}
+    read = {chunk: (np.cumsum(numbers(ids, 5)).tolist(), list(docs[-(len(ids) // 5):])) for _, chunk, ids, docs, _ in back}
     assert read == {4: ([5, 9, 9], [2, 2, 2]), 8: ([5], [2])}
+
+
+@pytest.mark.parametrize("text", ["one", "one two three four five six", "a b c d e f g h", "", None])
+def test_single_documents(spark, text):
+    docs = spark.createDataFrame([(4, text)], "doc_id bigint, text string")
+    assert [tuple(r) for r in jaccard.jaccard_components(docs).collect()] == plain([(4, text)])

@@ -55,6 +55,23 @@ def test_skewed_ways_build_the_same_summary(spark):
     assert forced.exceptAll(plain).isEmpty()
 
 
+def test_a_skewed_summary_scans_its_stores_once(spark, monkeypatch):
+    """Whatever the load: the pieces of jobs and of probes are written once, the summary reads these
+    alone, and its wide rows are not shuffled for the join."""
+    from gridlens.operators import stats
+
+    written = []
+    real = stats.stored
+    monkeypatch.setattr(stats, "stored", lambda df, name: (written.append(name), real(df, name))[1])
+    inputs = [f(spark, SF) for f in (fx.job_store, fx.probe_store, fx.allowlist, fx.site_map)]
+    built = build_summary(*inputs, fx.PERIOD, hot_limit=2)
+    assert written == ["pieces", "pieces"]
+    assert not [f for f in built.inputFiles() if "/jobs/" in f or "/probes/" in f]
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    wide = plan[plan.index("SortMergeJoin") : plan.index("Union")]
+    assert "Exchange" not in wide
+
+
 @pytest.mark.parametrize("name", ["overbyte", "vslumos"])
 def test_regress_command(spark, inputs, name):
     out = inputs["root"] / name

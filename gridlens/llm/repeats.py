@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import mixed, numbers, passes, planes, raw, sliding_min, table, texts, window_hashes, written
+from gridlens.llm.common import PASS_BYTES, mixed, numbers, passes, planes, raw, sliding_min, table, texts, window_hashes, written
 
 LENGTH = 100
 K = 32
@@ -67,6 +67,13 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some MB of their texts, which bounds what a task holds at once."""
+    for batch in batches:
+        for a, b in passes(np.diff(raw(batch.column(column))[1]), 4 * PASS_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def _documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and bytes of each text."""
     data, at = raw(column)
@@ -95,20 +102,19 @@ def _minimizers_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarr
             yield row, places[i:j] + begin - at[row], hashes[i:j]
 
 
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
 POSTED = "part int, chunk bigint, kind int, ids binary, rest binary"
 # Kinds of rows: minimizers that stand once in their chunk, one place for each that stands more often
 # there, all places of the latter, and the chunk's documents.
 ONCE, OFTEN, PLACES, DOCUMENTS = range(4)
 
 
-def _posted(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in POSTED.split(", ")]
-    )
-
-
 def _where(marks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> bytes:
     """The rest of each minimizer's hash, its document in the chunk and its place there."""
     return planes(marks & np.uint64((1 << REST_BITS) - 1), 3) + planes(docs, 2) + planes(places, 4)
@@ -138,7 +144,7 @@ def _chunk_rows(chunk: int, parts: int, documents: list[tuple], found: list[tupl
             some = at[i:j]
             steps = planes(np.diff(own[i:j], prepend=np.uint64(0)), 5)
             rows.append((p, chunk, kind, steps, _where(marks[some], docs[some], places[some]) if kind == ONCE else None))
-    return _posted(rows)
+    return _columns(rows, POSTED)
 
 
 def _send(parts: int, most_marks: int, most_docs: int):
@@ -184,9 +190,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, held = row[0], []
             held.append(row)
         if out:
-            yield _posted(out)
+            yield _columns(out, POSTED)
     if held:
-        yield _posted(_elsewhere(held))
+        yield _columns(_elsewhere(held), POSTED)
 
 
 def _elsewhere(rows: list[tuple]) -> list[tuple]:
@@ -300,7 +306,7 @@ def _around(body: bytes, place: int) -> tuple[int, bytes]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of the context of each repeated minimizer of a text."""
     before_it = None
-    for batch in batches:
+    for batch in _small(batches, 1):
         out: list[tuple] = []
         for row, data in _documents(batch.column(1)):
             doc, key, body = batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), data.tobytes()
@@ -313,10 +319,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before, context = _around(body, place)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(context, before), np.int64).tolist()
                 out.append((mark, doc, key, place, before, len(context), *digest))
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * 2
-        names = [x.split()[0] for x in SEEN.split(", ")]
-        columns = zip(*out, strict=True) if out else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            if len(out) >= TOGETHER:
+                yield _columns(out, SEEN)
+                out = []
+        yield _columns(out, SEEN)
 
 
 HEADS = "mark bigint, doc bigint, text_key bigint, place int, before int, context binary"
@@ -324,17 +330,17 @@ HEADS = "mark bigint, doc bigint, text_key bigint, place int, before int, contex
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts themselves, of the first places of distinct ones."""
-    for batch in batches:
+    for batch in _small(batches, 1):
         out: list[tuple] = []
         for row, data in _documents(batch.column(1)):
             doc, key, body = batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), data.tobytes()
             marks, places = batch.column(3)[row], batch.column(4)[row]
             for mark, place in zip(marks.values.to_numpy().tolist(), places.values.to_numpy().tolist(), strict=True):
                 out.append((mark, doc, key, place, *_around(body, place)))
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
-        names = [x.split()[0] for x in HEADS.split(", ")]
-        columns = zip(*out, strict=True) if out else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            if len(out) >= TOGETHER:
+                yield _columns(out, HEADS)
+                out = []
+        yield _columns(out, HEADS)
 
 
 def _common(x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -468,9 +474,11 @@ def _settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         )
 
 
+STRINGS = "s1 bigint, s2 bigint, doc bigint, text_key bigint, start int"
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All 100-byte strings through a minimizer, by digest and first place."""
-    names = ["s1", "s2", "doc", "text_key", "start"]
     for batch in batches:
         out = []
         for doc, key, place, before, context in zip(
@@ -480,10 +488,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(min(before, len(context) - LENGTH) + 1):
                 digest = np.frombuffer(xxhash.xxh3_128_digest(context[i : i + LENGTH]), np.int64).tolist()
                 out.append((*digest, doc, key, place - before + i))
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.int32()], strict=True)], names
-        )
+            if len(out) >= TOGETHER:
+                yield _columns(out, STRINGS)
+                out = []
+        yield _columns(out, STRINGS)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -515,9 +523,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     crowded = heads.filter(F.col("contexts") > GROUP)
     if crowded.isEmpty():
         return spans
-    strings = _at_places(docs, crowded).mapInArrow(_heads, HEADS).mapInArrow(
-        _strings, "s1 bigint, s2 bigint, doc bigint, text_key bigint, start int"
-    )
+    strings = _at_places(docs, crowded).mapInArrow(_heads, HEADS).mapInArrow(_strings, STRINGS)
     string = ["s1", "s2"]
     place = F.struct("doc", "text_key", "start")
     first = strings.groupBy(*string).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
@@ -577,7 +583,7 @@ def _apart(packed: np.ndarray):
     The digested ones meet no list: what stands for their ``doc`` only spreads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 1):
             marked = _marked(packed, batch.column(4).to_numpy())
             spread = mixed(np.arange(batch.num_rows, dtype=np.uint64)).view(np.int64)
             doc = pa.array(np.where(marked, batch.column(0).to_numpy(), spread))
@@ -619,7 +625,7 @@ def _finish(with_text: bool):
     cut = _cut(with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 2):
             done = batch.column(3).is_valid()
             ready = batch.filter(done)
             none = pa.nulls(ready.num_rows, pa.string())

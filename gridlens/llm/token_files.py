@@ -27,7 +27,7 @@ SCHEMA = "doc_id bigint, ids array<int>"
 INDEX_STRIDE = 1000
 STRIPE_BYTES = 32 << 20
 
-_TABLES: dict[str, PieceArena] = {}
+_TABLES: dict[tuple[str, int], PieceArena] = {}
 # White space ends a piece of the tokenizer; so does the end of a run of Latin letters before an
 # ASCII character. Other white space and letters stay inside a piece and are left to the library.
 _CUT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z)|[^ \n]+")
@@ -36,8 +36,8 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _TOGETHER = 2000
 
 
-def _table(path: str) -> PieceArena:
-    if path not in _TABLES:
+def _table(path: str, end_id: int) -> PieceArena:
+    if (path, end_id) not in _TABLES:
         library = Tokenizer.from_file(path)
         last = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)
         last[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
@@ -61,18 +61,18 @@ def _table(path: str) -> PieceArena:
                 out[i] = np.array(x.ids, "<u4").tobytes()
             return out
 
-        _TABLES[path] = PieceArena(encode)
-    return _TABLES[path]
+        _TABLES[path, end_id] = PieceArena(encode, end_id)
+    return _TABLES[path, end_id]
 
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _table(path)
+        known = _table(path, end_id)
         for batch in batches:
             column = batch.column(1)
             for a, b in passes(np.diff(raw(column)[1])):
                 rows = [_CUT.findall(x) for x in column.slice(a, b - a).to_pylist()]
-                values, ends = known.gather(rows, end_id)
+                values, ends = known.gather(rows)
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], ["doc_id", "ids"])
 

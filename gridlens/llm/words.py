@@ -49,11 +49,15 @@ class PieceArena:
     batches are gathered at once.
 
     The table is emptied when it has more than ``kept`` pieces or many long ones. Only speed depends
-    on what is kept.
+    on what is kept. ``END`` is the piece that ends a row; no other piece holds it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = 2 * KEPT_PIECES) -> None:
-        self.encode, self.kept = encode, kept
+    END = "\n"
+
+    def __init__(
+        self, encode: Callable[[list[str]], list[bytes]], end_id: int, kept: int = KEPT_PIECES * 3 // 2
+    ) -> None:
+        self.encode, self.end_id, self.kept = encode, end_id, kept
         self.forget()
 
     def forget(self) -> None:
@@ -61,29 +65,28 @@ class PieceArena:
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.chars = np.zeros(0, np.int32), 0
 
-    def gather(self, rows: list[list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' ids, each followed by ``end_id``, and the offsets of the rows (n + 1)."""
+    def gather(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids, each row's followed by the end id, and the offsets of the rows (n + 1)."""
         if len(self.place) > self.kept or self.chars > self.kept * KEPT_LENGTH:
             self.forget()
+        if not self.place:
+            self._add([self.END], [np.array([self.end_id], "<i4").tobytes()])
+        for row in rows:
+            row.append(self.END)
         flat = list(chain.from_iterable(rows))
-        codes = np.array(list(map(self.place.get, flat, repeat(-1))), np.int64)
+        codes = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
         unknown = np.flatnonzero(codes < 0)
         if len(unknown):
-            missing = list(dict.fromkeys(map(flat.__getitem__, unknown.tolist())))
-            self._add(missing)
-            codes[unknown] = list(map(self.place.__getitem__, map(flat.__getitem__, unknown.tolist())))
+            found = list(map(flat.__getitem__, unknown.tolist()))
+            missing = list(dict.fromkeys(found))
+            self._add(missing, self.encode(missing))
+            codes[unknown] = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
         sizes = self.lengths[codes]
         before = np.append(0, np.cumsum(sizes))
-        ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int64)
-        offsets = before[ends] + np.arange(len(rows) + 1)
-        out = np.full(offsets[-1], end_id, np.int32)
-        own = np.ones(len(out), bool)
-        own[offsets[1:] - 1] = False
-        out[own] = self.ids[np.repeat(self.starts[codes] - before[:-1], sizes) + np.arange(before[-1])]
-        return out, offsets
-
-    def _add(self, pieces: list[str]) -> None:
-        found = self.encode(pieces)
+        offsets = before[np.append(0, np.cumsum(list(map(len, rows)))).astype(np.int64)]
+        return self.ids[np.repeat(self.starts[codes] - before[:-1], sizes) + np.arange(before[-1])], offsets
+
+    def _add(self, pieces: list[str], found: list[bytes]) -> None:
         lengths = np.array([len(x) // 4 for x in found], np.int64)
         first = len(self.place)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done with: it does so when the driver
+    collects its garbage, which otherwise may be half an hour later. For operators whose written
+    tables replace shuffles as large as their input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def passes(sizes: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer row is a range of its own."""
     ends = np.cumsum(sizes)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import PASS_BYTES, mixed, numbers, passes, planes, raw, sliding_min, table, texts, window_hashes, written
+from gridlens.llm.common import PASS_BYTES, mixed, numbers, passes, planes, raw, release_shuffles, sliding_min, table, texts, window_hashes, written
 
 LENGTH = 100
 K = 32
@@ -499,27 +499,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     that a string with an earlier place covers. Spans overlap."""
     text = ["doc", "text_key"]
     # Rows of one document have the same places.
-    lists = repeated_minimizers(docs).groupBy(*text).agg(F.any_value("marks").alias("marks"), F.any_value("places").alias("places"))
-    seen = written(_with_lists(docs, lists).mapInArrow(_contexts, SEEN), "repeat-contexts")
+    spark = docs.sparkSession
+    found = repeated_minimizers(docs)
+    release_shuffles(spark)
+    lists = found.groupBy(*text).agg(F.any_value("marks").alias("marks"), F.any_value("places").alias("places"))
+    seen = written(_with_lists(docs, lists, found).mapInArrow(_contexts, SEEN), "repeat-contexts")
+    release_shuffles(spark)
 
     one = ["mark", "c1", "c2"]
     where = F.struct("doc", "text_key", "place")
     firsts = written(seen.groupBy(*one).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")), "repeat-firsts")
+    release_shuffles(spark)
     # Equal contexts: all but the first are repeats as a whole.
-    later = (
+    later = written(
         seen.select(*one, "doc", "text_key", "place", "before", "length")
         .filter(F.col("length") >= LENGTH)
         .join(firsts.filter("n > 1").select(*one, "first"), one)
         .filter(where != F.col("first"))
         .select("doc", "text_key", (F.col("place") - F.col("before")).alias("start"),
-                (F.col("place") - F.col("before") + F.col("length")).cast("int").alias("stop"))
+                (F.col("place") - F.col("before") + F.col("length")).cast("int").alias("stop")),
+        "repeat-later",
     )
+    release_shuffles(spark)
     # Distinct contexts: only their first places can still be repeats of another context.
     sizes = firsts.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
     heads = written(firsts.join(sizes, "mark").select("mark", "first.*", "contexts"), "repeat-places")
+    release_shuffles(spark)
     few = _at_places(docs, heads.filter(F.col("contexts") <= GROUP)).mapInArrow(_heads, HEADS)
     few = few.repartition("mark").sortWithinPartitions("mark", *text, "place")
-    spans = later.unionByName(few.mapInArrow(_spans, SPANS))
+    spans = later.unionByName(written(few.mapInArrow(_spans, SPANS), "repeat-few"))
+    release_shuffles(spark)
     crowded = heads.filter(F.col("contexts") > GROUP)
     if crowded.isEmpty():
         return spans
@@ -532,16 +541,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.unionByName(many)
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+def _with_lists(docs: DataFrame, lists: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc``, ``text``, ``text_key`` of the texts with places, and their ``marks`` and ``places``."""
     text = ["doc", "text_key"]
-    return _only_marked(docs, lists.select(*text), *text).join(lists, text).select("doc", "text", "text_key", "marks", "places")
+    return _only_marked(docs, wanted, *text).join(lists, text).select("doc", "text", "text_key", "marks", "places")
 
 
 def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The same from ``mark``, ``doc``, ``text_key``, ``place``."""
     lists = places.groupBy("doc", "text_key").agg(F.collect_set(F.struct("mark", "place")).alias("all"))
-    return _with_lists(docs, lists.select("doc", "text_key", F.col("all.mark").alias("marks"), F.col("all.place").alias("places")))
+    lists = lists.select("doc", "text_key", F.col("all.mark").alias("marks"), F.col("all.place").alias("places"))
+    return _with_lists(docs, lists, places)
 
 
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
@@ -613,6 +623,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(every.select("doc", "text", "text_key"))
     lists = spans.groupBy(*own).agg(F.collect_set(F.struct("start", "stop")).alias("all"))
     lists = written(lists.select(*own, F.col("all.start").alias("starts"), F.col("all.stop").alias("stops")), "repeat-spans")
+    release_shuffles(docs.sparkSession)
     marked = np.full(FILTER_BITS // 64, -1, np.int64) if with_text else _filter_bits(lists, *own)
     ways = _with_bit(every, *own).mapInArrow(
         _apart(marked), "doc bigint, doc_id bigint, n_bytes bigint, text_key bigint, text string, sha string"

@@ -42,24 +42,24 @@ def _table(path: str, end_id: int) -> PieceArena:
         last = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)
         last[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
 
-        def encode(pieces: list[str]) -> list[bytes]:
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Plain words go to the library many at a time, as one text: each ends with the one
             id that ends a word. Everything else goes piece by piece."""
-            out = [b""] * len(pieces)
-            plain, other = [], []
-            for i, x in enumerate(pieces):
-                (plain if _PLAIN(x) else other).append(i)
-            lines = [" ".join(pieces[i] for i in plain[a : a + _TOGETHER]) for a in range(0, len(plain), _TOGETHER)]
-            for n, x in enumerate(library.encode_batch_fast(lines, add_special_tokens=False)):
-                ids = np.array(x.ids, "<u4")
-                whole, ends = ids.tobytes(), ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
-                words = plain[n * _TOGETHER : (n + 1) * _TOGETHER]
-                for i, a, b in zip(words, [0, *ends[:-1]], ends, strict=True):
-                    out[i] = whole[a:b]
-            found = library.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)
-            for i, x in zip(other, found, strict=True):
-                out[i] = np.array(x.ids, "<u4").tobytes()
-            return out
+            is_plain = np.fromiter(map(bool, map(_PLAIN, pieces)), bool, len(pieces))
+            plain = list(map(pieces.__getitem__, np.flatnonzero(is_plain).tolist()))
+            other = list(map(pieces.__getitem__, np.flatnonzero(~is_plain).tolist()))
+            lines = [" ".join(plain[a : a + _TOGETHER]) for a in range(0, len(plain), _TOGETHER)]
+            whole = [np.array(x.ids, np.int32) for x in library.encode_batch_fast(lines, add_special_tokens=False)]
+            single = [np.array(x.ids, np.int32) for x in library.encode_batch_fast(other, add_special_tokens=False)]
+            words = np.concatenate([*whole, np.zeros(0, np.int32)])
+            lengths = np.empty(len(pieces), np.int64)
+            lengths[is_plain] = np.diff(np.flatnonzero(last[words]), prepend=-1)
+            lengths[~is_plain] = [len(x) for x in single]
+            # Back into the order of the pieces.
+            out = np.empty(lengths.sum(), np.int32)
+            of_plain = np.repeat(is_plain, lengths)
+            out[of_plain], out[~of_plain] = words, np.concatenate([*single, np.zeros(0, np.int32)])
+            return out, lengths
 
         _TABLES[path, end_id] = PieceArena(encode, end_id)
     return _TABLES[path, end_id]

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import PASS_BYTES, mixed, numbers, passes, planes, raw, release_shuffles, sliding_min, table, texts, window_hashes, written
+from gridlens.llm.common import PASS_BYTES, give_back, mixed, numbers, passes, planes, raw, release_shuffles, sliding_min, table, texts, window_hashes, written
 
 LENGTH = 100
 K = 32
@@ -46,7 +46,7 @@ CHUNK_DOCS = 1 << 16
 RANGES = 4
 REST_BITS = 24
 # Contexts sorted together in one numpy pass.
-TOGETHER = 20_000
+TOGETHER = 10_000
 # Bits of the filters that keep texts without repeats from being shuffled: fixed size.
 FILTER_BITS = 1 << 24
 NO_ID = (1 << 63) - 1
@@ -70,7 +70,7 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some MB of their texts, which bounds what a task holds at once."""
     for batch in batches:
-        for a, b in passes(np.diff(raw(batch.column(column))[1]), 4 * PASS_BYTES):
+        for a, b in passes(np.diff(raw(batch.column(column))[1]), 2 * PASS_BYTES):
             yield batch.slice(a, b - a)
 
 
@@ -84,10 +84,10 @@ def _documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 def _minimizers_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Row, places and hashes for every text; short texts are hashed together, long ones by parts."""
     data, at = raw(column)
-    for a, b in passes(np.diff(at)):
+    for a, b in passes(np.diff(at), PASS_BYTES // 2):
         begin, end = int(at[a]), int(at[b])
         if b - a == 1:
-            size, step = end - begin, 1 << 20
+            size, step = end - begin, PASS_BYTES // 2
             for c in range(0, max(1, size - LENGTH + 1), step):
                 places, hashes = minimizers(data[begin + c : min(end, begin + c + step + LENGTH - 1)])
                 yield a, places + c, hashes
@@ -172,6 +172,8 @@ def _send(parts: int, most_marks: int, most_docs: int):
                 held += len(places)
         if documents:
             yield _chunk_rows(chunk, parts, documents, found)
+        documents = found = None
+        give_back()
 
     return run
 
@@ -447,6 +449,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         if rows.num_rows:
             yield from _settle(rows)
+    give_back()
 
 
 def _settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:

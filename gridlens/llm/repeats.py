@@ -38,7 +38,7 @@ LENGTH = 100
 K = 32
 SIDE = LENGTH - K
 # Distinct contexts of one minimizer that a task sorts.
-GROUP = 4096
+GROUP = 1 << 16
 # Minimizers of a chunk, its most documents (two bytes each), ranges of hashes per shuffle partition,
 # and the bits of a hash that are not compared when repeated ones are looked for.
 CHUNK_MARKS = 1 << 18
@@ -378,11 +378,13 @@ def _reach(order: list[int], shared: list[int]) -> list[int]:
         for i in range(n) if step == 1 else range(n - 1, -1, -1):
             if stack:
                 link = shared[i] if step == 1 else shared[i + 1]
-                low, j = link, len(stack) - 1
-                while j >= 0 and stack[j][1] > low:
-                    j -= 1
-                for k in range(j + 1, len(stack)):
-                    stack[k] = (stack[k][0], low)
+                # Members that share more with the last one than the last one with this share the same
+                # with this: the smallest order stands for them.
+                first = None
+                while stack and stack[-1][1] > link:
+                    first = stack.pop()[0]
+                if first is not None and not (stack and stack[-1][1] == link):
+                    stack.append((first, link))
             while stack and stack[-1][0] > order[i]:
                 stack.pop()
             if stack:

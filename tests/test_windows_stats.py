@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlens.operators import placement, selection
+from gridlens.operators import placement, runs, selection
 from gridlens.operators.selection import exact_median
 from gridlens.operators.stats import interval_window_stats
 from gridlens.operators.windows import Grid, explode_windows, window_grid
-from gridlens.schemas import stat_columns
+from gridlens.schemas import STATS, stat_columns
 
 PERIOD = (86400, 2 * 86400)
 
@@ -198,3 +198,65 @@ def test_placement_tables_are_bounded(spark):
     assert 0 < len(crowded.parts) <= placement.SLOTS
     salted, copied = crowded.salted(rows), crowded.copied(rows.select("p").distinct())
     assert salted.count() == 30000 and salted.join(copied, ["p", "salt"], "left_anti").isEmpty()
+
+
+def test_numbers_of_a_segment():
+    """NULL is skipped, NaN lies above all numbers; equal values have no spread, however large."""
+    nan, steps = float("nan"), np.array([0, 0, 600, 0])
+    values = np.array([[3.0, 1.0, nan, nan], [5e8 / 3] * 4, [nan] * 4])
+    known = np.array([[True, True, True, False], [True] * 4, [False] * 4])
+    low, high, counts, numbers = runs.segment_stats(steps, np.array([600, 600, 600, 600]), values, known, 600, STATS)
+    assert low.tolist() == [0, 600] and high.tolist() == [600, 1200]
+    assert counts.tolist() == [[2, 3], [3, 4], [0, 0]]
+    assert numbers[:, 0, 0].tolist() == [1.0, 2.0, 3.0, 2.0, 1.0]
+    assert numbers[0, 0, 1] == 1.0 and numbers[3, 0, 1] == 3.0 and all(np.isnan(numbers[i, 0, 1]) for i in (1, 2, 4))
+    assert numbers[:, 1, 1] == pytest.approx([5e8 / 3] * 4 + [0], abs=1e-6)
+
+
+def test_a_series_over_many_batches_is_one_group(spark, monkeypatch):
+    """Batches of Arrow cut series anywhere; results leave in batches of their own."""
+    monkeypatch.setattr(runs, "VALUES", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        data, rows = intervals(spark)
+        grid = Grid.of(PERIOD)
+        stats, _, _ = interval_window_stats(rows, "t0", "t1", ["pair"], ["host"], ["a", "b"], grid)
+        got = {(r.pair, r.host, r.beginDate): [r[c] for c in stat_columns(["a", "b"])] for r in stats.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute(data, grid)
+    assert got.keys() == want.keys()
+    assert all(g == pytest.approx(want[k]) for k, g in got.items() if None not in g)
+
+
+def test_pieces_are_not_copied_to_segments(spark):
+    """Many pieces of a series that overlap: the rows before the summary grow with the pieces."""
+    rows = spark.range(2000).select(
+        F.lit("p").alias("pair"), F.lit("h").alias("host"), (F.lit(86400) + F.col("id") % 18 * 600).alias("t0"),
+        (F.lit(97200) + F.col("id") % 18 * 600).alias("t1"), F.col("id").cast("double").alias("a"),
+    )
+    stats, _, _ = interval_window_stats(rows, "t0", "t1", ["pair"], ["host"], ["a"], Grid.of(PERIOD))
+    assert "Window" not in stats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_groups_take_no_histograms(spark, monkeypatch):
+    """Histograms cost many times their values in groups of a few rows: such groups are settled at once."""
+    rows = spark.range(3000).select((F.col("id") % 999).alias("k"), ((F.col("id") * 7919) % 1009).cast("double").alias("v"))
+    want = {r.k: r.m for r in rows.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    rounds, real = [], selection._cell_counts
+    monkeypatch.setattr(selection, "_cell_counts", lambda *a: (rounds.append(1), real(*a))[1])
+    assert {r.k: r.medianv for r in exact_median(rows, ["k"], ["v"]).collect()} == want
+    assert not rounds
+    monkeypatch.setattr(selection, "GATHERED", 2)
+    assert {r.k: r.medianv for r in exact_median(rows, ["k"], ["v"]).collect()} == want
+    assert rounds
+
+
+def test_exact_median_of_any_doubles_by_histograms(spark, monkeypatch):
+    monkeypatch.setattr(selection, "GATHERED", 5)
+    test_exact_median_of_any_doubles(spark)
+
+
+def test_giants_by_histograms_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(selection, "GATHERED", 30)
+    test_window_stats_equal_brute_force_at_every_load(spark, 20)

@@ -12,7 +12,8 @@ size (``BUCKETS``) and are not counted but put last, with the other half; so no
 Texts of equal words are one node. Large groups of near copies are not expanded into pairs: every node
 is verified with one partner of another component, chosen by shared prefix grams, again and again as
 long as enough of these pairs link (``PROGRESS``). Buckets that then hold a single component can add nothing. In all others
-every remaining pair between components is compared, so no link between components is lost. Pairs
+every remaining pair between components is compared, so no link between components is lost; a pair is
+taken from the first gram it shares, not from each (``BEFORE``). Pairs
 inside a component that is already connected are not verified: the result has components, not a list
 or count of links.
 
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlens.llm.common import WORD, mixed, numbers, passes, planes, raw, table, texts, word_hashes, written
@@ -54,8 +55,12 @@ RANGES = 4
 ID_BITS = 40
 # Places that grams of one 40-bit hash may be apart from the order.
 SLACK = 2
-# Classes of grams whose parities bound the difference of two sets: 64 bytes a node.
-PARITIES = 512
+# Classes of grams whose parities bound the difference of two sets: 256 bytes a node for pairs; rows of
+# single grams have them folded to 64 bytes.
+PARITIES = 2048
+FOLDED = 512
+# Grams before each gram of a node by which a pair is known from an earlier bucket.
+BEFORE = 8
 # Part of the chosen pairs that must link for another round of one partner each.
 PROGRESS = 0.1
 # Members of one hub that a task verifies; more are spread with a copy of the hub's text.
@@ -313,13 +318,31 @@ def _need(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
 
 
+def _folded(parity: Column) -> Column:
+    """The parities of ``FOLDED`` classes: each of them is made of classes that lie as far apart."""
+    width = FOLDED // 64
+    words = []
+    for i in range(width):
+        word = parity[i]
+        for j in range(i + width, PARITIES // 64, width):
+            word = word.bitwiseXOR(parity[j])
+        words.append(word)
+    return F.array(*words)
+
+
+def _near(x: str, y: str, classes: int) -> Column:
+    """Whether the sets' parities allow so small a difference as that of a link."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(classes // 64)), F.lit(0))
+    return differ <= n + m - 2 * _need(n, m)
+
+
 def _may_link(x: str, y: str) -> Column:
     """Length filter and positional filter at a shared gram (grams of one hash may be out of order),
-    and the bound on the difference of the sets from their parities."""
+    and the bound on the difference of the sets from their folded parities."""
     n, m, i, j = (F.col(f"{t}.{c}") for c, t in (("n", x), ("n", y), ("place", x), ("place", y)))
     room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) + SLACK
-    differ = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITIES // 64)), F.lit(0))
-    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (room >= _need(n, m)) & (differ <= n + m - 2 * _need(n, m))
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (room >= _need(n, m)) & _near(x, y, FOLDED)
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -427,26 +450,41 @@ def _first_partners(entries: DataFrame, tried: DataFrame | None) -> DataFrame:
     return best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
-def _remaining_pairs(entries: DataFrame, tried: DataFrame | None, parities: DataFrame) -> DataFrame:
-    """All pairs of different components that pass the filters and were not verified. In each bucket the largest
-    component is only compared with the others, never with itself."""
+def _pairs_in_buckets(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that share a gram and pass the filters. In each bucket the largest component
+    is only compared with the others, never with itself. A pair that shares one of the ``BEFORE`` grams that come
+    before in both sets (by hash) was in that gram's bucket: texts that share many grams make a pair about once,
+    not once for each gram."""
     groups = entries.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("nodes"))
     major = groups.groupBy("gram").agg(
         F.max_by("label", F.struct("nodes", "label")).alias("major"), F.count(F.lit(1)).alias("labels")
     )
+    before = Window.partitionBy("node").orderBy("gram").rowsBetween(-BEFORE, -1)
+    parities = sets.select("node", _folded(F.col("parity")).alias("parity")).groupBy("node").agg(F.any_value("parity").alias("parity"))
     mixed_grams = written(
-        entries.join(major.filter("labels > 1").drop("labels"), "gram").join(parities, "node"), "jaccard-mixed"
+        entries.join(major.filter("labels > 1").drop("labels"), "gram")
+        .withColumn("before", F.collect_list("gram").over(before)).join(parities, "node"),
+        "jaccard-mixed",
     )
     x, y = mixed_grams.filter("label <> major").alias("x"), mixed_grams.alias("y")
     test = (
         F.expr("x.gram = y.gram and x.label <> y.label and (y.label = y.major or x.node < y.node)") & _may_link("x", "y")
+        & ~F.arrays_overlap("x.before", "y.before")
     )
-    pairs = x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _remaining_pairs(entries: DataFrame, tried: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """All pairs of different components that pass the filters and were not verified."""
     in_order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    ordered = pairs.select(*in_order).distinct()
+    ordered = _pairs_in_buckets(entries, sets).select(*in_order).distinct()
     if tried is not None:
         ordered = ordered.join(tried.select(*in_order), ["a", "b"], "left_anti")
     ordered = written(ordered, "jaccard-remaining")
+    nodes = ordered.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = sets.join(nodes, "node").groupBy("node").agg(F.max("n").alias("n"), F.any_value("parity").alias("parity"))
+    sides = ordered.join(whole.alias("x"), F.expr("a = x.node")).join(whole.alias("y"), F.expr("b = y.node"))
+    ordered = written(sides.filter(_near("x", "y", PARITIES)).select("a", "b"), "jaccard-near")
     # The node with more partners is the hub.
     count = ordered.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("partners"))
     counted = (
@@ -478,8 +516,8 @@ def link_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         labels = _merged(labels, found)
         if found.count() < PROGRESS * pairs.count() or pairs.isEmpty():
             break
-    parities = rows.groupBy(F.col("k1").alias("node")).agg(F.any_value("parity").alias("parity"))
-    rest = written(_remaining_pairs(_labelled(grams, labels), tried, parities), "jaccard-pairs")
+    sets = rows.select(F.col("k1").alias("node"), "n", "parity")
+    rest = written(_remaining_pairs(_labelled(grams, labels), tried, sets), "jaccard-pairs")
     return rows, _merged(labels, written(verify_pairs(rest, bodies), "jaccard-links"))
 
 

@@ -88,6 +88,33 @@ def test_parities_never_exceed_the_difference():
         assert (jaccard._parity(x) == jaccard._parity(x[::-1])).all()
 
 
+def test_texts_that_share_many_grams_make_a_pair_about_once(spark):
+    """A family of sets that share most of a prefix, each in a component of its own but for some: every
+    pair is found, and the join makes few rows more than pairs (one for each shared gram before)."""
+    rng = random.Random(5)
+    sets = {node: sorted(rng.sample(range(-20, 40), 45)) for node in range(1, 41)}
+    sets |= {node: rng.sample(range(1000, 1200), 4) for node in range(41, 61)}
+    label = {node: 1 if node < 6 else node for node in sets}
+    rows = [(g, node, 100, i, label[node]) for node, own in sets.items() for i, g in enumerate(own)]
+    entries = spark.createDataFrame(rows, "gram bigint, node bigint, n int, place int, label bigint")
+    words = [0] * (jaccard.PARITIES // 64)
+    known = spark.createDataFrame([(node, 100, words) for node in sets] * 2, "node bigint, n bigint, parity array<bigint>")
+    found = [tuple(sorted(r)) for r in jaccard._pairs_in_buckets(entries, known).collect()]
+    shared = {(x, y): len(set(sets[x]) & set(sets[y])) for x in sets for y in sets if x < y and label[x] != label[y]}
+    assert set(found) == {pair for pair, n in shared.items() if n}
+    assert len(found) < 1.1 * len(set(found)) < sum(shared.values()) / 20
+    left = jaccard._remaining_pairs(entries, spark.createDataFrame([(9, 8)], "a bigint, b bigint"), known)
+    assert {tuple(sorted(r)) for r in left.collect()} == set(found) - {(8, 9)}
+
+
+def test_folded_parities_are_those_of_fewer_classes(spark):
+    own = np.random.default_rng(3).integers(0, 1 << 63, 900, dtype=np.uint64)
+    place = ((own >> np.uint64(24)) & np.uint64(jaccard.FOLDED - 1)).astype(np.int64)
+    few = np.packbits((np.bincount(place, minlength=jaccard.FOLDED) & 1).astype(np.uint8)).view(np.int64)
+    docs = spark.createDataFrame([(jaccard._parity(own).tolist(),)], "parity array<bigint>")
+    assert docs.select(jaccard._folded(docs.parity)).first()[0] == few.tolist()
+
+
 def test_lists_come_back_as_sent():
     values = np.array([0, 1, 255, 256, (1 << 40) - 1, 7], np.uint64)
     assert numbers(planes(values, 5), 5).tolist() == values.tolist()

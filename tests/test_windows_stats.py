@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlens.operators import placement, runs, selection
+from gridlens import fixtures as fx
+from gridlens.operators import joins, placement, runs, selection
 from gridlens.operators.selection import exact_median
 from gridlens.operators.stats import interval_window_stats
 from gridlens.operators.windows import Grid, explode_windows, window_grid
@@ -260,3 +261,73 @@ def test_exact_median_of_any_doubles_by_histograms(spark, monkeypatch):
 def test_giants_by_histograms_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(selection, "GATHERED", 30)
     test_window_stats_equal_brute_force_at_every_load(spark, 20)
+
+
+def test_the_load_comes_to_the_driver_as_bounded_rows(spark, monkeypatch):
+    """Many series above the limit in many places: a row per slot and per hash, no list of series."""
+    monkeypatch.setattr(placement, "GIANT_HASHES", 16)
+    rows = spark.range(8000).select((F.col("id") % 2000).alias("p"), (F.col("id") % 4000).alias("s"))
+    held, real = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: (held.append(real(df)), held[-1])[1])
+    found = placement.Placement.of(rows, ["p"], ["p", "s"], 1)
+    monkeypatch.undo()
+    values = sum(len(v) if isinstance(v, list) else 1 for r in held[0] for v in r)
+    assert found.giants == frozenset(range(16)) and not found.parts
+    assert values <= 4 * (len({r["_slot"] for r in held[0]}) + 16)
+
+
+def broadcasts(df):
+    """Tables a plan sends to every task, as the lines of their scans or joins."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    sent = [i for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    return [" ".join(lines[i : i + 5]) for i in sent]
+
+
+@pytest.mark.parametrize("gathered", [10_000, 30])
+def test_no_table_of_medians_is_sent_to_the_tasks(spark, monkeypatch, gathered):
+    """Left alone, a join of a written table is planned by the size of its files, whatever they hold once read."""
+    monkeypatch.setattr(selection, "GATHERED", gathered)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    planned, real = [], selection._narrowed
+    monkeypatch.setattr(selection, "_narrowed", lambda *a: (planned.append(real(*a)), planned[-1])[1])
+    data, rows = intervals(spark)
+    data.append((None, "n0", 90000, 110000, 1.0, 2.0))
+    rows = spark.createDataFrame(data * 3, rows.schema)
+    grid = Grid.of(PERIOD)
+    stats, found, _ = interval_window_stats(rows, "t0", "t1", ["pair"], ["host"], ["a", "b"], grid, hot_limit=2)
+    assert found.giants and bool(planned) == (gathered == 30)
+    assert all("ExistingRDD" in sent for df in [stats, *planned] for sent in broadcasts(df))
+    got = {(r.pair, r.host, r.beginDate): [r[c] for c in stat_columns(["a", "b"])] for r in stats.collect()}
+    want = brute(data * 3, grid)
+    assert got.keys() == want.keys()
+    assert all(g == pytest.approx(want[k]) for k, g in got.items() if None not in g)
+
+
+def test_tables_are_sent_by_their_rows(spark, tmp_path, monkeypatch):
+    """Compressed keys: a file of a few kB may hold any number of rows."""
+    spark.range(5000).select("id", F.lit("x").alias("v")).write.parquet(str(tmp_path / "t"))
+    table, rows = spark.read.parquet(str(tmp_path / "t")), spark.range(300).withColumn("id", F.col("id") * 7)
+    few = rows.join(joins.sized(table), "id")
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 4999)
+    many = rows.join(joins.sized(table), "id")
+    assert broadcasts(few) and not broadcasts(many)
+    assert few.count() == many.count() == 300
+
+
+def test_job_rows_send_no_large_table(spark, tmp_path, monkeypatch):
+    """Keys that repeat, have no partner or are NULL join as ever, and no side is planned by its files."""
+    key = F.when(F.col("id") % 9 != 0, F.col("id") % 40)
+    tables = {
+        "lineitem": spark.range(300).select(*[key.alias(c) for c in ("l_orderkey", "l_suppkey", "l_partkey")]),
+        "orders": spark.range(60).select(key.alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey")),
+        "customer": spark.range(6).select(F.col("id").alias("c_custkey")),
+        "supplier": spark.range(50).select((F.col("id") % 30).alias("s_suppkey")),
+        "part": spark.range(35).select(F.col("id").alias("p_partkey")),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    usual = fx.job_rows(spark, str(tmp_path))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    large = fx.job_rows(spark, str(tmp_path))
+    assert broadcasts(usual) and not broadcasts(large)
+    assert large.count() == usual.count() > 300 and large.exceptAll(usual).isEmpty()
